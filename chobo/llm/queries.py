@@ -3,20 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chobo.llm import line_dedup, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chobo.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chobo.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))[1]
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chobo.llm.near_dup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chobo.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))[0].drop("text")
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_mixing": op2_mixing,
     "op4_near_duplicates": op4_near_duplicates,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE,
+    "op2_mixing": mixing.ORACLE,
+    "op10_sharding": sharding.ORACLE,
+}
