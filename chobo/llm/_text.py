@@ -30,6 +30,10 @@ NOT_ALNUM = classes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *rang
 """Once A-Z are lower case, words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]."""
 
 
+WORDS_AND_MARKS = np.where(SPACES, 0, np.where(NOT_ALNUM, 2, 1)).astype(np.uint8)
+"""Words and runs of punctuation, apart."""
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit values whose output bits all depend on all input bits."""
     x = x ^ (x >> U64(33))
@@ -107,9 +111,14 @@ def _segments(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) ->
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, lower: bool = True, hashes: bool = True):
-    """(starts, ends, hashes, first): byte ranges and hashes of all words; first[i]:first[i+1] are those of row i."""
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, lower: bool = True, hashes: bool = True, kinds: np.ndarray | None = None):
+    """(starts, ends, hashes, first): byte ranges and hashes of all words; first[i]:first[i+1] are those of row i.
+
+    kinds: a kind for each byte, 0 for separators; a word then also ends where the kind changes.
+    """
     table = _LOWER if lower else _BYTES
+    if kinds is not None:
+        separators = kinds == 0
     starts, ends, values = [], [], []
     for at, end in _segments(data, offsets, separators):
         part = data[at:end]
@@ -119,6 +128,9 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES
         before[1:] = inside[:-1]
         cut = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end)] - at
         before[cut] = False
+        turn = kinds[part[1:]] != kinds[part[:-1]] if kinds is not None else None
+        if turn is not None:
+            before[1:] &= ~turn
         s = np.flatnonzero(inside & ~before)
         if not len(s):
             continue
@@ -126,6 +138,8 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES
         after[-1] = False
         after[:-1] = inside[1:]
         after[cut[cut > 0] - 1] = False
+        if turn is not None:
+            after[:-1] &= ~turn
         e = np.flatnonzero(inside & ~after) + 1
         starts.append(s + at)
         ends.append(e + at)
@@ -162,3 +176,21 @@ def starts_of(first: np.ndarray, n: int) -> np.ndarray:
 def rows_of(first: np.ndarray) -> np.ndarray:
     """The row number of each word."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, count) of hashed word 1- and 2-grams, sorted by row and bucket.
+
+    Words and runs of punctuation count as words, A-Z as a-z; a word equal to the one before it counts as one fixed word.
+    """
+    _, _, h, first = words(data, offsets, kinds=WORDS_AND_MARKS)
+    h = h.copy()
+    if len(h):
+        again = np.flatnonzero((h[1:] == h[:-1]) & starts_of(first, 2)[:-1]) + 1
+        h[again] = U64(BASE)
+    row = rows_of(first)
+    pair = np.flatnonzero(starts_of(first, 2)) if len(h) else np.empty(0, np.int64)
+    two = grams(h, 2)[pair] if len(pair) else np.empty(0, U64)
+    bucket = np.concatenate((mix(h) >> U64(64 - bits), two >> U64(64 - bits))).astype(np.int64)
+    key, count = np.unique(np.concatenate((row, row[pair])) << bits | bucket, return_counts=True)
+    return key >> bits, key & ((1 << bits) - 1), count

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chobo.llm import line_dedup, mixing, sharding
+from chobo.llm import decontam, line_dedup, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +25,35 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))[1]
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chobo.llm.decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chobo.llm.near_dup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chobo.llm.quality_rules import apply_rules, fit
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1")
+    return apply_rules(docs, fit(docs, trusted)).drop("text")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chobo.llm.quality_classifier import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 4 == 2, F.lit(False))
+    model = train(docs, table(spark, sf_dir, "labels").filter(~held_out("doc_id")))
+    return score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chobo.llm.sharding import shard_documents
 
@@ -40,12 +63,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
+    "op3_decontamination": op3_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
     "op10_sharding": op10_sharding,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_mixing": mixing.ORACLE,
+    "op3_decontamination": decontam.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
