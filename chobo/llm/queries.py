@@ -54,6 +54,15 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from chobo.llm.token_count import token_counts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chobo.llm.sharding import shard_documents
 
@@ -67,6 +76,7 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
+    "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
 }
 
