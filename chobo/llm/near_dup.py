@@ -6,8 +6,9 @@
 3. In each band bucket a class is paired with the bucket's first class and with its neighbour, never with all.
    Sketches drop pairs whose estimate is far below the threshold; the best pair of each class is confirmed on full sets.
 4. Links so far give components. Pairs that cross components follow, then, for buckets that still hold more than one
-   component, all crossing pairs, compared by sketch in blocks. So no bucket is cut short, and a bucket that is one
-   component costs its size, not its square.
+   component, all crossing pairs, compared in blocks by sketch and by a parity bitmap of the full sets, which leaves
+   those near the threshold. So no bucket is cut short, and one that is a single component costs its size, not its
+   square.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chobo.llm import _text
-from chobo.llm._store import drop, shared_dir, stage
+from chobo.llm._store import shared_dir, stage
 from chobo.llm.components import connected_components
 
-BITS = 256
+BITS, SET_BITS = 256, 2048
 SLACK = 0.30
 """A pair whose estimated similarity is under the threshold by more than this is not confirmed: some five deviations."""
 
@@ -98,16 +99,18 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, seed: int, id
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """id, set: the sorted distinct shingle hashes of each document (id, text), as binary."""
+    """id, set, odd: the sorted distinct shingle hashes of each document (id, text), and their parity bitmap, as binary."""
 
     def run(batches):
         for batch in _text.pieces(batches, "text"):
             data, offsets = _text.utf8(batch.column(1))
             _, _, h, first = _text.words(data, offsets)
             sh, at = shingles(h, first, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(sh[at[i] : at[i + 1]]).tobytes() for i in range(batch.num_rows)], pa.binary())], names=["id", "set"])
+            sets = [np.unique(sh[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
+            odd = [np.packbits((np.bincount((x >> np.uint64(7)).astype(np.int64) % SET_BITS, minlength=SET_BITS) & 1).astype(np.uint8)).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(odd, pa.binary())], names=["id", "set", "odd"])
 
-    return docs.mapInArrow(run, "id long, set binary")
+    return docs.mapInArrow(run, "id long, set binary, odd binary")
 
 
 def bits_allowed(similarity: float, samples: int) -> int:
@@ -146,31 +149,52 @@ def _crossing(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _block_pairs(members: DataFrame, most_bits: int, block: int) -> DataFrame:
-    """(a, b), a > b: pairs of one bucket, of different components, whose sketches are near enough.
+def _near_enough(bits: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Can sets of these sizes together, whose parity bitmaps differ in so many bits, be similar enough?
 
-    members: key, id, component, main (in the bucket's largest component), n, n_rest, s0..s3. Rows outside the
-    largest component meet all rows of the bucket, block by block; a task holds two blocks, however large the bucket.
+    The symmetric difference of similar sets is at most a share of their sizes; its parity has a known mean and
+    variance, and only pairs six deviations above go.
+    """
+    most = sizes * (100 - percent) / (100 + percent)
+    e2, e4 = np.exp(-2 * most / SET_BITS), np.exp(-4 * most / SET_BITS)
+    return bits <= SET_BITS * (1 - e2) / 2 + 6 * np.sqrt(np.maximum(SET_BITS * (1 - e4) / 4 - most * e4, 0)) + 2
+
+
+def _block_pairs(members: DataFrame, most_bits: int, percent: int, block: int) -> DataFrame:
+    """(a, b), a > b: pairs of one bucket, of different components, that may be similar enough; each pair once.
+
+    members: key, id, component, main (in the bucket's largest component), n, n_rest, s0..s3, bands (31 bits of each
+    key), odd, size. Rows outside the largest component meet all rows of the bucket, block by block; a task holds two
+    blocks, however large the bucket. A pair that shares several buckets comes from the one of their first common band.
     """
     n_a, n_b = F.ceil(F.col("n_rest") / block).cast("int"), F.ceil(F.col("n") / block).cast("int")
     sketch = [f"s{j}" for j in range(BITS // 64)]
-    left = members.filter("not main").select("key", F.pmod(F.xxhash64("id"), n_a).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), n_b - 1)).alias("y"), F.lit(True).alias("q"), "id", "component", *sketch)
-    right = members.select("key", F.explode(F.sequence(F.lit(0), n_a - 1)).alias("x"), F.pmod(F.xxhash64("id", F.lit(7)), n_b).cast("int").alias("y"), F.lit(False).alias("q"), "id", "component", *sketch)
+    kept = ["id", "component", *sketch, "bands", "odd", "size"]
+    left = members.filter("not main").select("key", F.pmod(F.xxhash64("id"), n_a).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), n_b - 1)).alias("y"), F.lit(True).alias("q"), *kept)
+    right = members.select("key", F.explode(F.sequence(F.lit(0), n_a - 1)).alias("x"), F.pmod(F.xxhash64("id", F.lit(7)), n_b).cast("int").alias("y"), F.lit(False).alias("q"), *kept)
 
     def run(key, table):
+        own = key[0].as_py() & 0x7FFFFFFF
         q = table.column("q").to_numpy(zero_copy_only=False)
-        ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
+        ids, comp, size = (table.column(c).to_numpy() for c in ("id", "component", "size"))
         s = np.stack([table.column(c).to_numpy() for c in sketch], 1).view(np.uint64)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        odd = np.frombuffer(b"".join(x.as_py() for x in table.column("odd")), np.uint64).reshape(len(ids), -1)
         rows, others = np.flatnonzero(q), np.flatnonzero(~q)
         a, b = [], []
-        for i in range(0, len(rows), 256):
-            r = rows[i : i + 256]
+        for i in range(0, len(rows), 64):
+            r = rows[i : i + 64]
             bits = np.zeros((len(r), len(others)), np.int32)
             for j in range(len(sketch)):
                 bits += np.bitwise_count(s[r, j][:, None] ^ s[others, j][None, :])
             u, v = np.nonzero((bits <= most_bits) & (comp[r][:, None] != comp[others][None, :]))
-            a.append(ids[r[u]])
-            b.append(ids[others[v]])
+            for k in range(0, len(u), 20_000):
+                x, y = r[u[k : k + 20_000]], others[v[k : k + 20_000]]
+                good = _near_enough(np.bitwise_count(odd[x] ^ odd[y]).sum(1, dtype=np.int64), size[x] + size[y], percent)
+                x, y = x[good], y[good]
+                good = bands[x, (bands[x] == bands[y]).argmax(1)] == own
+                a.append(ids[x[good]])
+                b.append(ids[y[good]])
         a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (a, b))
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
@@ -221,8 +245,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     sized = shared.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     by_comp = sized.groupBy("key", "component").agg(F.count("*").alias("c"))
     open_keys = by_comp.groupBy("key").agg(F.sum("c").alias("n"), F.max_by("component", F.struct("c", "component")).alias("largest"), F.max("c").alias("most")).filter("n > 3 and most < n")
-    members = sized.join(open_keys, "key").select("key", "id", "component", (F.col("component") == F.col("largest")).alias("main"), "n", (F.col("n") - F.col("most")).alias("n_rest"), *sketch)
-    rest = _block_pairs(members, most, block).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    profiles = sets.select("id", "odd", (F.octet_length("set") / 8).cast("long").alias("size")).join(reps.select("id", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")), "id")
+    members = sized.join(open_keys, "key").select("key", "id", "component", (F.col("component") == F.col("largest")).alias("main"), "n", (F.col("n") - F.col("most")).alias("n_rest"), *sketch).join(profiles, "id")
+    rest = _block_pairs(members, most, percent, block).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     links = stage(links.union(_confirm(rest, sets, percent)), folder, "links-3")
     comps = connected_components(links, folder, "cc3")
 
