@@ -75,7 +75,7 @@ def _rounds(timed: DataFrame, most: float):
     return F.array(*[F.struct(F.lit(r).alias("round"), time(r).alias("time"), step(r).alias("step")) for r in rounds])
 
 
-def mix_sources(docs: DataFrame, seed: int = 20, weights=WEIGHTS, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, seed: int = 20, weights=WEIGHTS, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(mix, account).
 
     mix: the columns of ``docs`` with mix_round and mix_time, one row for each time that a document is taken, not
@@ -83,10 +83,12 @@ def mix_sources(docs: DataFrame, seed: int = 20, weights=WEIGHTS, share: float =
     of ``docs``. Sizes are words ([^\\x20\\x09-\\x0D]+); null and empty texts have none, and are taken in turn as others
     are. Ties of the shuffled order go by id and size; rows that tie in all of these are interchangeable. Sources
     without words have target 0 and nothing of them is taken. Columns of ``docs`` may have any names but those that
-    begin with two underscores.
+    begin with two underscores. size_col: a long column that holds the sizes already; the text need not be among the
+    columns then, and is not moved.
     """
     folder = shared_dir(docs.sparkSession)
-    timed, budget = _finish_times(docs.withColumn("__size", word_count(text_col)), seed, weights, share, most, folder, id_col, source_col)
+    sized = docs.withColumn("__size", F.coalesce(size_col, F.lit(0)) if size_col else word_count(text_col))
+    timed, budget = _finish_times(stage(sized, folder, "sized") if size_col else sized, seed, weights, share, most, folder, id_col, source_col)
     timed = timed.withColumn("__rounds", _rounds(timed, most))
     flat = timed.filter("__target > 0").select("__row", "__size", "__key", F.col(id_col).alias("__id"), F.explode("__rounds").alias("r"))
     steps = flat.groupBy("r.step").agg(F.sum("__size").alias("s"))

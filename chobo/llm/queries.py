@@ -20,9 +20,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from chobo.llm.mixing import mix_sources
-
-    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))[1]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
+    return mixing.mix_sources(docs, size_col="size")[1]
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
