@@ -20,6 +20,8 @@ TRUST = 0.05
 """Share of the raw corpus's distribution that is mixed into the trusted one, so that unseen n-grams have a floor."""
 THRESHOLD = -0.6
 LEAST_WORDS, REPEAT_WORDS, REPEAT_PERCENT = 20, 8, 30
+BROADCAST_IDS = 2_000_000
+"""Trusted ids that are sent to all tasks at most; more are joined by a shuffle of the texts."""
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 
@@ -34,9 +36,10 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     """Count the n-grams of all texts and of those whose id is in ``trusted`` (a column named as id_col).
 
     A task adds up its own counts: at most 2**bits rows leave it, and the sums that reach the driver are that many.
-    Without trusted text every ratio is 0.
+    Without trusted text every ratio is 0. Trusted ids are broadcast while they are few enough.
     """
     ids = trusted.select(F.col(id_col).cast("long").alias("__id")).filter("__id is not null").distinct().withColumn("__t", F.lit(True))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(ids, "__id", "left").select(F.coalesce("__t", F.lit(False)).alias("t"), "text")
 
     def run(batches):
