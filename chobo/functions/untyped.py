@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chobo.functions.text import let, nfkc, strip, yen
+from chobo.functions.text import let, strip, yen
 
 
 def field(v: Column, name: str) -> Column:
@@ -94,4 +94,4 @@ def first_object(c: Column) -> Column:
     return F.try_parse_json(F.when(end.isNotNull(), body))
 
 
-__all__ = ["elements", "field", "first_object", "flag", "is_flag", "is_object", "is_text", "is_whole", "kind", "nfkc", "text", "truthy", "whole"]
+__all__ = ["elements", "field", "first_object", "flag", "is_flag", "is_object", "is_text", "is_whole", "kind", "text", "truthy", "whole"]
