@@ -1,10 +1,10 @@
 """Removal of byte strings that repeat across documents, by suffix order.
 
-1. The windows of LENGTH bytes are told apart by their minimizer, the K-byte string in them with the least hash. A window
-   whose minimizer occurs in one document alone cannot repeat. Minimizers are counted over the whole corpus.
-2. Runs of windows with a common, shared minimizer are cut out as short strings; equal strings are kept once, with the
-   smallest id. All occurrences of a window meet in the part of its minimizer.
-3. Each part is one collection whose Burrows-Wheeler transform and common prefixes are built column by column: every
+1. A window of LENGTH bytes has a minimizer, the K-byte string in it with the least hash. A window whose minimizer occurs
+   in one document alone cannot repeat. They are counted over the whole corpus.
+2. Runs of the windows left that share a minimizer are short strings. All occurrences of a window lie in strings with its
+   minimizer, and where these are all the same string, the inside of a repeated passage, its least id settles them.
+3. Where strings differ, at the edges of passages, their bytes are sent, equal strings once. Each part is one collection whose Burrows-Wheeler transform and common prefixes are built column by column: every
    round inserts one more symbol, from the right, of every string, and rewrites the files that hold the transform. At
    the end suffixes that share LENGTH bytes are neighbours, and the least id of each such group goes back to its strings.
 4. Documents drop the windows for which that id is below their own; overlapping windows are merged.
@@ -18,62 +18,82 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chobo.llm import _text
-from chobo.llm._keys import Sums, blobs, merged
+from chobo.llm._keys import Sums, blobs, merged, pack, unpack
 from chobo.llm._store import map_array, shared_dir, stage, write_array
 
 LENGTH, K = 50, 20
+KEPT_BITS = np.uint64(0xFFFFFFFFFFFF0000)
+"""Bits of a counted minimizer's hash that are moved; two that fall together let a window through, and lose none."""
 MOST_WINDOWS = 64
 """Windows in one cut string, at most: strings stay short however a text repeats itself."""
 HOT = 50_000
 """Minimizers of more documents than this are split: their windows go to the parts of their own hashes."""
-HOLD = 8 << 20
-"""Bytes of cut strings that a task holds before it sends them on."""
+HOLD = 1 << 20
+"""Strings that a task holds before it sends them on."""
+SPILL = 48 << 20
+"""Bytes of a collection's records from which on they go through files."""
 DONE = 0xFF
 """Marks a string that has been inserted whole; no byte of UTF-8."""
 
 
-def _runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
-    """(start, windows, key, row, hash, window hashes) of the runs of windows with one minimizer, block by block."""
-    width = length - k + 1
-    at = 0
-    n = len(data)
+def _blocks(data: np.ndarray, length: int):
+    """(at, end, sums, inverse) of blocks of window starts: sums and powers from which any string's hash follows."""
+    at, n = 0, len(data)
     while at + length <= n:
         end = min(at + _text.SEGMENT, n - length + 1)
         part = data[at : end + length - 1]
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_text._BYTES[part] * _text.powers(_text.BASE, len(part)), out=sums[1:])
-        inverse = _text.powers(_text.INVERSE, len(part) + 1)
-        low = _text.mix((sums[k:] - sums[:-k]) * inverse[: len(part) - k + 1])
+        yield at, end, sums, _text.powers(_text.INVERSE, len(part) + 1)
+        at = end
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int, only: np.ndarray | None = None):
+    """(start, windows, key, row, hash) of the runs of windows with one k-byte minimizer; of ``only`` those, if given."""
+    width = length - k + 1
+    out = []
+    for at, end, sums, inverse in _blocks(data, length):
+        low = (sums[k:] - sums[:-k]) * inverse[: len(sums) - k]
         have = 1
         while have * 2 <= width:
             low = np.minimum(low[:-have], low[have:])
             have *= 2
         if have < width:
             low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
-        i = np.arange(at, end)
-        row = np.searchsorted(offsets, i, "right") - 1
-        good = i + length <= offsets[row + 1]
-        i, row, low = i[good], row[good], low[good]
-        if len(i):
-            new = np.r_[True, (low[1:] != low[:-1]) | (i[1:] != i[:-1] + 1) | (row[1:] != row[:-1])]
-            begin = np.flatnonzero(new)
-            place = np.arange(len(i)) - np.repeat(begin, np.diff(np.r_[begin, len(i)]))
-            begin = np.flatnonzero(place % MOST_WINDOWS == 0)
-            start, count = i[begin], np.diff(np.r_[begin, len(i)])
-            s, e = start - at, start - at + count + length - 1
-            yield start, count, _text.mix(low[begin] + np.uint64(1)), row[begin], _text.mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)), lambda w, a=at, sums=sums, inverse=inverse: _text.mix((sums[w - a + length] - sums[w - a]) * inverse[w - a] + np.uint64(length))
-        at = end
-
-
-def _all_runs(data, offsets, length, k):
-    parts = list(_runs(data, offsets, length, k))
-    if not parts:
-        return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)), []
-    return tuple(np.concatenate([p[j] for p in parts]) for j in range(5)), parts
+        last = np.searchsorted(offsets, at, "right") - 1
+        row = np.repeat(np.arange(last, len(offsets) - 1), np.diff(np.clip(offsets[last:], at, end)))
+        good = np.arange(at, end) + length <= offsets[row + 1]
+        if only is not None:
+            good &= only[at:end]
+        i = np.flatnonzero(good)
+        if not len(i):
+            continue
+        row, low = row[i], low[i]
+        new = np.r_[True, (low[1:] != low[:-1]) | (i[1:] != i[:-1] + 1) | (row[1:] != row[:-1])]
+        begin = np.flatnonzero(new)
+        place = np.arange(len(i)) - np.repeat(begin, np.diff(np.r_[begin, len(i)]))
+        begin = np.flatnonzero(place % MOST_WINDOWS == 0)
+        s, count = i[begin], np.diff(np.r_[begin, len(i)])
+        e = s + count + length - 1
+        out.append((s + at, count, _text.mix(low[begin] + np.uint64(1)), row[begin], _text.mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return tuple(np.concatenate([x[j] for x in out]) for j in range(5))
+
+
+def _window_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows that begin at ``at`` (sorted)."""
+    out = np.empty(len(at), np.uint64)
+    for begin, end, sums, inverse in _blocks(data, length):
+        i, j = np.searchsorted(at, [begin, end])
+        w = at[i:j] - begin
+        out[i:j] = _text.mix((sums[w + length] - sums[w]) * inverse[w] + np.uint64(length))
+    return out
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -82,23 +102,27 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.arange(int(to[-1]) if len(to) else 0) + np.repeat(start - (to - size), size)]
 
 
-def _distinct(key, h, doc, times, data, start, size):
-    """One of each (key, h): least doc, sum of times, and its bytes."""
+def _distinct(key, h, doc):
+    """(one, number): an entry with the least doc for each (key, h), and which of them each entry belongs to."""
     order = np.lexsort((doc, h, key))
-    key, h = key[order], h[order]
-    at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])]) if len(key) else np.empty(0, np.int64)
-    total = np.add.reduceat(times[order], at) if len(at) else times[:0]
-    one = order[at]
-    return key[at], h[at], doc[one], total, _gather(data, start[one], size[one]), size[one]
+    a, b = key[order], h[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(key) else np.empty(0, bool)
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
 
-class _File:
-    """An array in a file of its own, which is gone when the array is."""
+def _rewritten(records: np.ndarray) -> np.ndarray:
+    """The records, written in order to a new file that is gone when the array is, and mapped from there.
 
-    def __new__(cls, dtype, n: int) -> np.ndarray:
-        with tempfile.TemporaryFile() as f:
-            f.truncate(max(1, n) * np.dtype(dtype).itemsize)
-            return np.memmap(f, dtype, "r+", shape=(max(1, n),))[:n]
+    A collection of less than SPILL bytes stays in memory.
+    """
+    if records.nbytes < SPILL:
+        return records
+    with tempfile.TemporaryFile() as f:
+        records.tofile(f)
+        f.flush()
+        return np.memmap(f, records.dtype, "r") if len(records) else records
 
 
 def suffix_order(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,36 +131,43 @@ def suffix_order(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     Column-wise insertion. The transform holds, for each suffix so far in order, the symbol before it. The suffix one
     longer lies after all that begin with smaller symbols and after as many of its own symbol as the transform has
     before it; its common prefix is one more than the least between the two places it came from. Each round reads
-    the four columns from their files and writes them anew, longer by one entry a string.
+    the records from their file and writes them anew, longer by one for each string: string (from bit 24), length
+    (bits 16 to 23), common prefix (bits 8 to 15), symbol (bits 0 to 7). Strings have fewer than 255 bytes.
     """
     m, size = len(first) - 1, np.diff(first)
-    bwt, lcp, string, length = _File(np.uint8, m), _File(np.uint8, m + 1), _File(np.int32, m), _File(np.uint8, m)
-    bwt[:] = np.where(size > 0, data[np.minimum(first[1:] - 1, max(0, len(data) - 1))], DONE) if m else 0
-    lcp[:-1], lcp[-1], string[:], length[:] = 0, 255, np.arange(m), 0
+    field = lambda r, at: (r >> np.uint64(at)).astype(np.uint8)
+    ends = np.where(size > 0, data[np.maximum(first[1:] - 1, 0)], DONE) if m and len(data) else np.full(m, DONE)
+    records = _rewritten(np.arange(m, dtype=np.uint64) << np.uint64(24) | ends.astype(np.uint64))
+    counts, last = np.bincount(ends, minlength=256), np.arange(m)
     for j in range(1, int(size.max()) + 1 if m else 1):
-        order = np.argsort(bwt, kind="stable")
-        order = order[: len(order) - int(np.count_nonzero(bwt == DONE))]
-        new = length[order] == j - 1
-        symbol = bwt[order]
-        same = np.r_[False, symbol[1:] == symbol[:-1]]
-        k = np.flatnonzero((new | np.r_[False, new[:-1]]) & same)
-        k = k[np.argsort(-order[k - 1], kind="stable")]
-        pairs = np.stack((order[k - 1] + 1, order[k] + 1), 1).ravel()
-        value = np.minimum.reduceat(lcp, pairs)[::2] + 1 if len(pairs) else np.empty(0, np.uint8)
-        n = len(bwt) + int(new.sum())
-        put = np.zeros(n, bool)
-        put[m + np.flatnonzero(new)] = True
-        keep = ~put
-        who = string[order[new]]
+        order = np.argsort(records.astype(np.uint8), kind="stable")[: len(records) - counts[DONE]]
+        new = np.zeros(len(records), bool)
+        new[last] = True
+        new = new[order]
+        put = np.flatnonzero(new)
+        near = new.copy()
+        near[1:] |= new[:-1]
+        begins = np.cumsum(counts[:DONE]) - counts[:DONE]
+        near[begins[begins < len(near)]] = False
+        k = np.flatnonzero(near)
+        low, high = order[k - 1] + 1, order[k] + 1
+        by = np.argsort(-low)
+        k = k[by]
+        common = np.append(field(records, 8), np.uint8(255))
+        value = np.minimum.reduceat(common, np.stack((low[by], high[by]), 1).ravel())[::2] + np.uint64(1) if len(k) else np.empty(0, np.uint64)
+        who = (records[order[put]] >> np.uint64(24)).astype(np.int64)
         before = size[who] - j - 1
-        columns = _File(np.uint8, n), _File(np.uint8, n + 1), _File(np.int32, n), _File(np.uint8, n)
-        for column, old, fresh in zip(columns, (bwt, lcp[:-1], string, length), (np.where(before >= 0, data[np.maximum(first[who] + before, 0)], DONE), 0, who, j), strict=True):
-            column[: n][keep] = old
-            column[: n][put] = fresh
-        bwt, lcp, string, length = columns
-        lcp[m + k] = value
-        lcp[-1] = 255
-    return np.asarray(string), np.asarray(length), np.asarray(lcp[:-1])
+        symbol = np.where(before >= 0, data[np.maximum(first[who] + before, 0)], DONE)
+        fresh = who.astype(np.uint64) << np.uint64(24) | np.uint64(j << 16) | symbol.astype(np.uint64)
+        out = np.empty(len(records) + len(put), np.uint64)
+        keep = np.ones(len(out), bool)
+        keep[m + put] = False
+        out[keep] = records
+        out[m + put] = fresh
+        out[m + k] = out[m + k] & ~np.uint64(0xFF00) | value << np.uint64(8)
+        records, last = _rewritten(out), m + put
+        counts = counts + np.bincount(symbol, minlength=256)
+    return (records >> np.uint64(24)).astype(np.int64), field(records, 16), field(records, 8)
 
 
 def _least_ids(data: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
@@ -155,7 +186,7 @@ def _least_ids(data: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int)
 def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """id, t, a, b: byte ranges a:b of the text that are windows of a document with a smaller id. docs: id, t, text.
 
-    Windows are told apart by hashes of 64 bits twice, then by their bytes.
+    Strings are told apart by their minimizer's hash of 64 bits and another of 48, and windows within them by their bytes.
     """
     spark = docs.sparkSession
     parts = 2 << max(2, math.ceil(math.log2(max(1, docs.rdd.getNumPartitions()))))
@@ -165,7 +196,8 @@ def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int =
         sums = Sums()
         send = lambda: (lambda q, c: blobs(q, c, (q >> np.uint64(64 - bits)).astype(np.int64)))(*sums.take())
         for batch in _text.pieces(batches, "text"):
-            (_, _, key, row, _), _ = _all_runs(*_text.utf8(batch.column(2)), length, k)
+            _, _, key, row, _ = _runs(*_text.utf8(batch.column(2)), length, k)
+            key &= KEPT_BITS
             if len(key):
                 order = np.lexsort((row, key))
                 key, row = key[order], row[order]
@@ -179,110 +211,182 @@ def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int =
         p = part[0].as_py()
         write_array(f"{folder}/shared/keys-{p}", keys[counts > 1])
         write_array(f"{folder}/shared/hot-{p}", keys[counts > hot])
-        return pa.table({"part": pa.array([p], pa.int32())})
+        return pa.table({"part": pa.array([p], pa.int32()), "hot": [int((counts > hot).sum())]})
 
-    stored = {r.part for r in docs.mapInArrow(count, "part int, keys binary, counts binary").groupBy("part").applyInArrow(store, "part int").collect()}
+    stored = {r.part: r.hot for r in docs.mapInArrow(count, "part int, keys binary, counts binary").groupBy("part").applyInArrow(store, "part int, hot long").collect()}
 
-    def cut(batches):
+    def lookup():
         open_files: dict = {}
 
         def known(name, keys):
             unique, back = np.unique(keys, return_inverse=True)
-            found, part = np.zeros(len(unique), bool), (unique >> np.uint64(64 - bits)).astype(np.int64)
-            for p in stored.intersection(np.unique(part).tolist()):
+            found = np.zeros(len(unique), bool)
+            part = ((unique & np.uint64(parts - 1)) if name == "many" else (unique >> np.uint64(64 - bits))).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                if name == "keys" and p not in stored or name == "hot" and not stored.get(p):
+                    continue
                 if (name, p) not in open_files:
                     open_files[name, p] = map_array(f"{folder}/shared/{name}-{p}", np.uint64)
-                have = open_files[name, p]
+                have, i = open_files[name, p], order[cut[p] : cut[p + 1]]
                 if len(have):
-                    a, b = np.searchsorted(part, [p, p + 1])
-                    found[a:b] = have[np.minimum(np.searchsorted(have, unique[a:b]), len(have) - 1)] == unique[a:b]
+                    found[i] = have[np.minimum(np.searchsorted(have, unique[i]), len(have) - 1)] == unique[i]
             return found[back]
 
-        held, size_held = [], 0
+        return known
 
-        def send():
-            key, h, doc, times, data, size = _distinct(*(np.concatenate([x[j] for x in held]) for j in range(4)), np.concatenate([x[4] for x in held]), np.r_[0, np.cumsum(np.concatenate([x[5] for x in held]))][:-1], np.concatenate([x[5] for x in held]))
+    def shared_runs(known, data, offsets, want):
+        """Runs of the windows that may repeat: of very common minimizers, or of all others."""
+        runs = _runs(data, offsets, length, k)
+        key = runs[2] & KEPT_BITS
+        good = known("keys", key)
+        if any(stored.values()):
+            wide = known("hot", key)
+            good &= wide if want == "hot" else ~wide
+        elif want == "hot":
+            good[:] = False
+        return tuple(x[good] for x in runs)
+
+    def gather(with_bytes):
+        """What a task has of each part: its strings once each, with their bytes if asked for, and where its texts have them."""
+        columns = ["key", "h", "doc", "size", "data", "number", "row", "place", "id", "t"] if with_bytes else ["key", "h", "doc", "size", "number", "row", "place", "id", "t"]
+
+        def send(held):
+            squeeze = zstandard.ZstdCompressor(level=3)
+            key, h, row, place, size, ids, ts = (np.concatenate([x[j] for x in held]) for j in range(7))
+            data = np.concatenate([x[7] for x in held]) if with_bytes else np.empty(0, np.uint8)
+            start = np.cumsum(size) - size
             part = (key & np.uint64(parts - 1)).astype(np.int64)
-            start = np.r_[0, np.cumsum(size)][:-1]
             rows = []
             for p in np.unique(part):
                 i = np.flatnonzero(part == p)
-                rows.append((int(p), key[i].tobytes(), h[i].tobytes(), doc[i].tobytes(), times[i].astype(np.int64).tobytes(), size[i].astype(np.int32).tobytes(), _gather(data, start[i], size[i]).tobytes()))
-            n = len(rows)
-            none = pa.nulls(n)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 7)), none.cast(pa.int64()), none.cast(pa.int64()), *(none.cast(pa.list_(kind)) for kind in (pa.int64(), pa.int64(), pa.int32()))], names=names)
-
-        for batch in _text.pieces(batches, "text"):
-            data, offsets = _text.utf8(batch.column(2))
-            (start, count, key, row, h), blocks = _all_runs(data, offsets, length, k)
-            if not len(start):
-                continue
-            good = known("keys", key)
-            start, count, key, row, h = (x[good] for x in (start, count, key, row, h))
-            if not len(start):
-                continue
-            # windows of very common minimizers go one by one
-            wide = known("hot", key)
-            if wide.any():
-                w = _gather(np.arange(len(data)), start[wide], count[wide])
-                own = np.empty(len(w), np.uint64)
-                edge = 0
-                for b in blocks:
-                    to = int(b[0][-1] + b[1][-1])
-                    i = (w >= edge) & (w < to)
-                    own[i] = b[5](w[i])
-                    edge = to
-                order = np.argsort(np.r_[start[~wide], w], kind="stable")
-                start, count, key, row, h = (np.r_[x, y][order] for x, y in ((start[~wide], w), (count[~wide], np.ones(len(w), np.int64)), (key[~wide], _text.mix(own)), (row[~wide], np.repeat(row[wide], count[wide])), (h[~wide], own)))
-            ids = batch.column(0).to_numpy()
-            new = np.flatnonzero(_first_of(key, h, row))
-            held.append(_distinct(key[new], h[new], ids[row[new]], np.ones(len(new), np.int64), data, start[new], count[new] + length - 1))
-            size_held += len(held[-1][4])
-            at = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            some = np.flatnonzero(np.diff(at))
-            lists = pa.array(np.r_[at[:-1][some], at[-1]].astype(np.int32))
-            taken = batch.take(pa.array(some))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int32()), *(pa.nulls(len(some), pa.binary()) for _ in range(6)), taken.column(0), taken.column(1), *(pa.ListArray.from_arrays(lists, pa.array(x)) for x in (key.view(np.int64), h.view(np.int64), (start - offsets[row]).astype(np.int32)))], names=names)
-            if size_held > HOLD:
-                yield send()
-                held, size_held = [], 0
-        if held:
-            yield send()
-
-    names = ["part", "key", "h", "doc", "times", "size", "data", "id", "t", "keys", "hs", "starts"]
-    kinds = "part int, key binary, h binary, doc binary, times binary, size binary, data binary, id long, t long, keys array<long>, hs array<long>, starts array<int>"
-    found = stage(docs.mapInArrow(cut, kinds), folder, "cut")
+                one, number = _distinct(key[i], h[i], ids[row[i]])
+                one = i[one]
+                own, back = np.unique(row[i], return_inverse=True)
+                arrays = {"key": key[one], "h": h[one] & KEPT_BITS, "doc": ids[row[one]], "size": size[one].astype(np.uint8), "number": number.astype(np.uint32), "row": back.astype(np.uint32), "place": place[i].astype(np.uint32), "id": ids[own], "t": ts[own]}
+                if with_bytes:
+                    arrays["data"] = _gather(data, start[one], size[one])
+                rows.append((int(p), *(squeeze.compress(pack(np.ascontiguousarray(arrays[c]))) for c in columns)))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in range(1, len(columns) + 1))], names=["part", *columns])
+
+        def run(batches):
+            known = lookup()
+            held, n_held, row_base = [], 0, 0
+            for batch in _text.pieces(batches, "text"):
+                data, offsets = _text.utf8(batch.column(2))
+                start, count, key, row, h = shared_runs(known, data, offsets, "cold")
+                if with_bytes and len(start):
+                    good = known("many", key)
+                    start, count, key, row, h = (x[good] for x in (start, count, key, row, h))
+                if not len(start):
+                    continue
+                size = count + length - 1
+                held.append((key, h, row + row_base, start - offsets[row], size, batch.column(0).to_numpy(), batch.column(1).to_numpy(), _gather(data, start, size) if with_bytes else None))
+                row_base += batch.num_rows
+                n_held += len(start)
+                if n_held > HOLD:
+                    yield send(held)
+                    held, n_held, row_base = [], 0, 0
+            if held:
+                yield send(held)
+
+        return docs.mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in columns))
+
+    def reader(table):
+        loosen = zstandard.ZstdDecompressor()
+        return lambda c, kind: [unpack(loosen.decompress(x.as_py()), kind) for x in table.column(c)]
+
+    def found(batches):
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c.astype(np.int32)), pa.array(d.astype(np.int32))], names=["id", "t", "a", "b"]) for a, b, c, d in batches], pa.schema([("id", pa.int64()), ("t", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
+
+    def places(get):
+        """(number of the string among the blob's, id, t, place) of each blob."""
+        for own, row, place, ids, ts in zip(get("number", np.uint32), get("row", np.uint32), get("place", np.uint32), get("id", np.int64), get("t", np.int64), strict=True):
+            yield own.astype(np.int64), ids[row], ts[row], place.astype(np.int64)
+
+    def settle(part, table):
+        """Places of strings that no other string shares a minimizer with; the other minimizers are stored as many."""
+        get = reader(table)
+        keys, h, docs_of, sizes = get("key", np.uint64), get("h", np.uint64), get("doc", np.int64), get("size", np.uint8)
+        key, doc, size = np.concatenate(keys), np.concatenate(docs_of), np.concatenate(sizes).astype(np.int64)
+        one, number = _distinct(key, np.concatenate(h), doc)
+        unique, back, times = np.unique(key[one], return_inverse=True, return_counts=True)
+        write_array(f"{folder}/shared/many-{part[0].as_py()}", unique[times > 1])
+        sole = (times == 1)[back]
+        out, base = [], 0
+        for blob, (own, ids, ts, place) in zip(keys, places(get), strict=True):
+            s = number[base + own]
+            base += len(blob)
+            hit = sole[s] & (doc[one][s] < ids)
+            out.append((ids[hit], ts[hit], place[hit], place[hit] + size[one][s[hit]]))
+        return found(out)
 
     def answer(part, table):
-        whole = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), kind)
-        size = whole("size", np.int32).astype(np.int64)
-        key, h, doc, times, data, size = _distinct(whole("key", np.uint64), whole("h", np.uint64), whole("doc", np.int64), whole("times", np.int64), whole("data", np.uint8), np.r_[0, np.cumsum(size)][:-1], size)
+        """Places of the other strings, from the suffix order of all of them."""
+        get = reader(table)
+        keys = get("key", np.uint64)
+        key, doc, size = np.concatenate(keys), np.concatenate(get("doc", np.int64)), np.concatenate(get("size", np.uint8)).astype(np.int64)
+        data = np.concatenate(get("data", np.uint8))
+        first = np.cumsum(size) - size
+        one, number = _distinct(key, np.concatenate(get("h", np.uint64)), doc)
+        data, size, doc = _gather(data, first[one], size[one]), size[one], doc[one]
         least = _least_ids(data, size, doc, length)
         n = size - length + 1
         string = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
-        # a string of one document that nothing precedes changes nothing
-        used = (times > 1) | (np.bincount(string, weights=least < doc[string], minlength=len(n)) > 0)
-        new = np.r_[True, (string[1:] != string[:-1]) | (least[1:] != least[:-1])] if len(string) else np.empty(0, bool)
-        begin = np.flatnonzero(new)
+        offset = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
+        begin = np.flatnonzero(np.r_[True, (string[1:] != string[:-1]) | (least[1:] != least[:-1])])
         end = np.r_[begin[1:], len(string)]
-        i = used[string[begin]]
-        begin, end = begin[i], end[i]
-        s = string[begin]
-        return pa.table({"key": key[s].view(np.int64), "h": h[s].view(np.int64), "a": place[begin].astype(np.int32), "b": (place[end - 1] + length).astype(np.int32), "least": least[begin]})
-
-    answers = found.filter("part is not null").select("part", "key", "h", "doc", "times", "size", "data").groupBy("part").applyInArrow(answer, "key long, h long, a int, b int, least long")
-    answers = stage(answers, folder, "answers")
-    places = found.filter("part is null").select("id", "t", F.explode(F.arrays_zip("keys", "hs", "starts")).alias("x")).select("id", "t", F.col("x.keys").alias("key"), F.col("x.hs").alias("h"), F.col("x.starts").alias("start"))
-    return places.join(answers, ["key", "h"]).filter("least < id").select("id", "t", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
-
-
-def _first_of(key: np.ndarray, h: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Mask of one entry for each (key, h, row)."""
-    order = np.lexsort((h, key, row))
-    a, b, c = key[order], h[order], row[order]
-    out = np.zeros(len(key), bool)
-    out[order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]]] = True
+        a, b, low = offset[begin], offset[end - 1] + length, least[begin]
+        # runs of windows with one least id: those of string s are run_at[s]:run_at[s+1]
+        run_at = np.searchsorted(string[begin], np.arange(len(n) + 1))
+        out, base = [], 0
+        for blob, (own, ids, ts, place) in zip(keys, places(get), strict=True):
+            s = number[base + own]
+            base += len(blob)
+            runs = run_at[s + 1] - run_at[s]
+            which = np.repeat(np.arange(len(s)), runs)
+            r = np.arange(len(which)) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(run_at[s], runs)
+            hit = low[r] < ids[which]
+            which, r = which[hit], r[hit]
+            out.append((ids[which], ts[which], place[which] + a[r], place[which] + b[r]))
+        return found(out)
+
+    def single(batches):
+        known = lookup()
+        for batch in _text.pieces(batches, "text"):
+            data, offsets = _text.utf8(batch.column(2))
+            start, count, _, _, _ = shared_runs(known, data, offsets, "hot")
+            if len(start):
+                w = _gather(np.arange(len(data)), start, count)
+                h, row = _window_hashes(data, w, length), np.searchsorted(offsets, w, "right") - 1
+                other = _string_hashes(_gather(data, w, np.full(len(w), length)), np.arange(len(w) + 1) * length)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(other.view(np.int64)), pa.array((w - offsets[row]).astype(np.int32))], names=["id", "t", "h", "g", "a"])
+
+    ranges = "id long, t long, a int, b int"
+    # settle() also stores which minimizers are left, so it is run once and written
+    out = stage(gather(False).groupBy("part").applyInArrow(settle, ranges), folder, "settled")
+    out = out.unionByName(gather(True).groupBy("part").applyInArrow(answer, ranges))
+    if any(stored.values()):
+        # windows of a very common minimizer are whole strings of their own: their least ids are plain minima
+        windows = docs.mapInArrow(single, "id long, t long, h long, g long, a int")
+        least = windows.groupBy("h", "g").agg(F.min("id").alias("least"))
+        out = out.unionByName(windows.join(least, ["h", "g"]).filter("least < id").select("id", "t", "a", (F.col("a") + length).alias("b")))
+    return out
+
+
+def _string_hashes(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes of the strings data[first[i]:first[i+1]], block by block."""
+    out = np.empty(len(first) - 1, np.uint64)
+    at = 0
+    while at < len(out):
+        to = max(at + 1, int(np.searchsorted(first, first[at] + _text.SEGMENT, "right")) - 1)
+        part = data[first[at] : first[to]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_text._BYTES[part] * _text.powers(0xC2B2AE3D27D4EB4F, len(part)), out=sums[1:])
+        s, e = first[at:to] - first[at], first[at + 1 : to + 1] - first[at]
+        out[at:to] = _text.mix((sums[e] - sums[s]) * _text.powers(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64), len(part) + 1)[s] + (e - s).astype(np.uint64))
+        at = to
     return out
 
 

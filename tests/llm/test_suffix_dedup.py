@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from chobo.llm.suffix_dedup import remove_repeats, suffix_order
 
@@ -26,7 +27,9 @@ def brute(docs, length):
     return {i: sorted(v) for i, v in out.items()}
 
 
-def test_suffix_order_and_common_prefixes():
+@pytest.mark.parametrize("spill", [0, 1 << 30])
+def test_suffix_order_and_common_prefixes(monkeypatch, spill):
+    monkeypatch.setattr("chobo.llm.suffix_dedup.SPILL", spill)
     r = random.Random(3)
     strings = ["".join(r.choice("ab") for _ in range(r.randint(1, 12))).encode() for _ in range(60)] + [b"aaaa", b"aaaa"]
     data, first = np.frombuffer(b"".join(strings), np.uint8), np.r_[0, np.cumsum([len(s) for s in strings])]
