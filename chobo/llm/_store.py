@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write ``df`` as Parquet below ``folder`` and read it back: lineage ends there."""
     path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
