@@ -36,17 +36,17 @@ def add_up(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
 class Sums:
     """Adds up keys over the batches of a task."""
 
-    def __init__(self) -> None:
-        self.runs, self.size = [], 0
+    def __init__(self, most: int = FLUSH) -> None:
+        self.runs, self.size, self.most = [], 0, most
 
     def add(self, keys: np.ndarray) -> bool:
         """True if it is time to send."""
         self.runs.append(add_up(keys))
         self.size += len(self.runs[-1][0])
-        if self.size > FLUSH and len(self.runs) > 1:
+        if self.size > self.most and len(self.runs) > 1:
             self.runs = [self.take()]
             self.size = len(self.runs[0][0])
-        return self.size > FLUSH
+        return self.size > self.most
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = (np.concatenate([r[i] for r in self.runs]) if self.runs else np.empty(0, kind) for i, kind in ((0, np.uint64), (1, np.int64)))

@@ -41,7 +41,7 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)).alias("held_out"), "text")
-    return score(docs, train(docs.filter("not held_out"))).drop("text")
+    return score(docs, train(docs.filter("not held_out"), order=3)).drop("text")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
