@@ -30,15 +30,15 @@ def _words(data, offsets):
 
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item (the id as text), words array<long> of each test item that has words."""
+    """row (a number of its own), item (the id as text), words array<long> of each test item that has words."""
 
     def run(batches):
         for batch in _text.pieces(batches, "text"):
-            h, first = _words(*_text.utf8(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h))], names=["item", "words"])
+            h, first = _words(*_text.utf8(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h))], names=["row", "item", "words"])
 
     ids = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    return items.select(ids.alias("item"), F.col(text_col).alias("text")).mapInArrow(run, "item string, words array<long>").filter(F.size("words") > 0)
+    return items.select(F.monotonically_increasing_id().alias("row"), ids.alias("item"), F.col(text_col).alias("text")).mapInArrow(run, "row long, item string, words array<long>").filter(F.size("words") > 0)
 
 
 def term_counts(docs: DataFrame, terms: np.ndarray, text_col: str = "text") -> DataFrame:
@@ -81,37 +81,37 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, id_col: str =
 
 
 def _anchors(items: list, counts: dict, length: int, anchors: int) -> list[tuple]:
-    """(item, term, offset): the rarest terms of every window of the items."""
+    """(row, term, offset): the rarest terms of every window of the items (row, words)."""
     found = set()
-    for item, words in items:
+    for row, words in items:
         rank = [(counts.get(w, 0), i) for i, w in enumerate(words)]
         for s in range(max(1, len(words) - length + 1)):
             for _, i in sorted(rank[s : s + length])[:anchors]:
-                found.add((item, words[i], i))
+                found.add((row, words[i], i))
     return sorted(found)
 
 
 def candidates(docs: DataFrame, items: DataFrame, folder: str, length: int = LENGTH, anchors: int = ANCHORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, item, shift: alignments (position in the document less offset in the item) at which the rarest terms agree.
+    """id, row, shift: alignments (position in the document less offset in the item) at which the rarest terms agree.
 
-    items: item, words. The terms of a block of items, at most about BLOCK_WORDS, are known to all tasks at once.
+    items: row (which no two share), words. The terms of a block of items, at most about BLOCK_WORDS, are known to all tasks at once.
     """
     spark = docs.sparkSession
     total = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / BLOCK_WORDS))
-    out = spark.createDataFrame([], "id long, item string, shift int")
+    out = spark.createDataFrame([], "id long, row long, shift int")
     for k in range(blocks if total else 0):
-        some = [(r.item, list(r.words)) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
+        some = [(r.row, list(r.words)) for r in items.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == k).collect()]
         if not some:
             continue
         counts = {r.term: r.n for r in term_counts(docs, np.unique(np.concatenate([np.array(w, np.int64) for _, w in some])), text_col).collect()}
         rare = _anchors(some, counts, length, anchors)
         index = stage(build_index(docs, np.unique(np.array([t for _, t, _ in rare], np.int64)), id_col, text_col), folder, f"index-{k}")
-        sizes = {item: min(anchors, len(words)) for item, words in some}
-        table = pa.table({"least": pa.array([sizes[r[0]] for r in rare], pa.int32()), "item": [r[0] for r in rare], "term": pa.array([r[1] for r in rare], pa.int64()), "offset": pa.array([r[2] for r in rare], pa.int32())})
-        hits = index.join(spark.createDataFrame(table), "term").select("id", "item", "offset", "least", F.explode("positions").alias("p"))
-        hits = hits.groupBy("id", "item", (F.col("p") - F.col("offset")).alias("shift")).agg(F.count("*").alias("n"), F.max("least").alias("least")).filter("n >= least")
-        out = out.unionByName(hits.select("id", "item", "shift"))
+        sizes = {row: min(anchors, len(words)) for row, words in some}
+        table = pa.table({"least": pa.array([sizes[r[0]] for r in rare], pa.int32()), "row": pa.array([r[0] for r in rare], pa.int64()), "term": pa.array([r[1] for r in rare], pa.int64()), "offset": pa.array([r[2] for r in rare], pa.int32())})
+        hits = index.join(spark.createDataFrame(table), "term").select("id", "row", "offset", "least", F.explode("positions").alias("p"))
+        hits = hits.groupBy("id", "row", (F.col("p") - F.col("offset")).alias("shift")).agg(F.count("*").alias("n"), F.max("least").alias("least")).filter("n >= least")
+        out = out.unionByName(hits.select("id", "row", "shift"))
     return out
 
 
@@ -134,7 +134,9 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, perce
     folder = shared_dir(docs.sparkSession)
     items = stage(item_words(items, item_col, item_text), folder, "items")
     found = candidates(docs, items, folder, length, ANCHORS, id_col, text_col)
-    found = found.distinct().join(items, "item").groupBy("id").agg(F.collect_list(F.struct("item", "shift", "words")).alias("__at")).withColumnRenamed("id", "__id")
+    # an item's words stand once in a document's row, however often they are looked for in it
+    found = found.groupBy("id", "row").agg(F.collect_list("shift").alias("shifts"))
+    found = found.join(items, "row").groupBy("id").agg(F.collect_list(F.struct("item", "shifts", "words")).alias("__at")).withColumnRenamed("id", "__id")
     new = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     names = [c for c in docs.columns if c not in new]
     joined = docs.select(*names).join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").select(*names, F.col(text_col).alias("__text"), "__at")
@@ -149,13 +151,14 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, perce
                 own = h[first[i] : first[i + 1]]
                 hit, ids = np.zeros(len(own), bool), set()
                 for c in at[i]:
-                    item, shift, words = c["item"].as_py(), c["shift"].as_py(), c["words"].values.to_numpy()
-                    a, b = max(0, shift), min(len(own), shift + len(words))
-                    if b <= a:
-                        continue
-                    for x, y in _runs(own[a:b] == words[a - shift : b - shift], min(length, len(words))):
-                        hit[a + x : a + y] = True
-                        ids.add(item)
+                    item, words = c["item"].as_py(), c["words"].values.to_numpy()
+                    for shift in c["shifts"].values.to_numpy().tolist():
+                        a, b = max(0, shift), min(len(own), shift + len(words))
+                        if b <= a:
+                            continue
+                        for x, y in _runs(own[a:b] == words[a - shift : b - shift], min(length, len(words))):
+                            hit[a + x : a + y] = True
+                            ids.add(item)
                 n_hit[i], n_items[i] = hit.sum(), len(ids)
                 if ids:
                     sha[i] = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
