@@ -1,11 +1,13 @@
 """Written stages and shared model files, kept in the folder that ``spark.checkpoint.dir`` names.
 
 Every executor and the driver can reach that folder, so a stage that has been written outlives the executor that
-made it. Python's own temporary folder is used only where the session names no folder (a local test session).
+made it. Python's own temporary folder is used only where the session names no folder and Spark runs in this one process
+(a local test session); on a cluster a session without one is refused.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -21,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/chobo-{uuid.uuid4().hex}"
@@ -28,9 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(hadoop)
     fs.deleteOnExit(hadoop)
+    for folders in _scopes:
+        folders.append(path)
     return path
 
 
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end the folders that operators made within it: what they gave must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop(spark, *path.rsplit("/", 1))
+
+
 def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write ``df`` as Parquet below ``folder`` and read it back: lineage ends there."""
     path = f"{folder}/{name}"

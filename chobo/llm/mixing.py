@@ -9,19 +9,23 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chobo.llm import _names
 from chobo.llm._store import shared_dir, stage
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-TIMES = 8192
-"""Virtual time is cut into so many steps a round to find where the budget ends."""
+PART_ROWS, PART_WORDS = 1 << 20, 1 << 24
+"""Rows and words of a part of the sorted order, about."""
 
 
 def word_count(text_col: str = "text"):
-    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(_names.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -45,70 +49,70 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return t.select("source", "source_size", F.coalesce(F.least("stop", F.col("level") * F.col("w")), F.col("stop")).alias("target"))
 
 
-def _finish_times(docs: DataFrame, seed: int, weights, share: float, most: float, folder: str, id_col: str, source_col: str) -> tuple[DataFrame, float]:
-    """(rows, budget). rows: those of ``docs`` (with __size) and __source_size, __target, __upto (words of the source up to and with the row), __row.
+def _running(rows: DataFrame, by: list, parts: int, folder: str, name: str) -> DataFrame:
+    """rows with part, at (the row's place in its part) and run: the sum of ``size`` up to and with the row in order ``by``.
 
-    Sums run in two steps: over blocks of the shuffled order, then within a block, so that no task sees a whole source.
+    The order is one range sort. A part adds up its own rows as they pass, and the parts' sums, one row each, give
+    where each part begins; so no task and no group sees more than a part.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.withColumns({"__key": key, "__src": F.col(source_col)})
-    by_source = stage(rows.groupBy(F.col("__src").alias("source")).agg(F.sum("__size").alias("source_size"), F.count("*").alias("n")), folder, "sources")
-    n, total = by_source.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
-    blocks = 1 << max(0, min(16, math.ceil(math.log2(max(1, n / 4000)))))
-    rows = rows.withColumn("__block", F.floor(F.conv(F.substring("__key", 1, 4), 16, 10).cast("int") / (65536 // blocks)).cast("int"))
-    sums = rows.groupBy("__src", "__block").agg(F.sum("__size").alias("s"))
-    sums = sums.withColumn("__base", F.sum("s").over(Window.partitionBy("__src").orderBy("__block")) - F.col("s"))
-    targets = source_targets(by_source.drop("n"), weights, share, most)
-    sums = sums.join(targets, F.col("__src").eqNullSafe(F.col("source"))).select(F.col("__src").alias("__s"), F.col("__block").alias("__b"), "__base", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    w = Window.partitionBy("__src", "__block").orderBy("__key", id_col, "__size").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("__own", F.sum("__size").over(w)).join(sums, F.col("__src").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
-    out = out.withColumn("__upto", F.col("__base") + F.col("__own")).drop("__base", "__own", "__s", "__b", "__src", "__block")
-    return stage(out.withColumn("__row", F.monotonically_increasing_id()), folder, "finish"), total * float(min(share, most))
+    ordered = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
 
+    def run(batches):
+        part, at, before = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            own = np.cumsum(batch.column(batch.schema.get_field_index("size")).to_numpy()) + before
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n)), pa.array(own)], names=[*batch.schema.names, "part", "at", "own"])
+            at, before = at + n, int(own[-1]) if n else before
 
-def _rounds(timed: DataFrame, most: float):
-    """Array of (round, time, step) of a row, while its virtual time can fall within the budget."""
-    rounds = range(max(1, math.ceil(most)))
-    # times run up to the latest: a source of a few huge documents may finish well after time 1
-    time = lambda r: (F.col("__source_size") * F.lit(r) + F.col("__upto")) / F.col("__target")
-    step = lambda r: F.least(F.floor(time(r) * TIMES), F.lit(2 * TIMES)).cast("int")
-    return F.array(*[F.struct(F.lit(r).alias("round"), time(r).alias("time"), step(r).alias("step")) for r in rounds])
+    summed = stage(ordered.mapInArrow(run, _names.with_fields(ordered, ordered.columns, "part int, at long, own long")), folder, name)
+    begins = summed.groupBy("part").agg(F.max("own").alias("s"))
+    begins = begins.select(F.col("part").alias("p"), (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("begin"))
+    # one row for each part of the sort
+    return summed.join(F.broadcast(begins), F.col("part") == F.col("p")).withColumn("run", F.col("begin") + F.col("own")).drop("p", "begin", "own")
 
 
-def mix_sources(docs: DataFrame, seed: int = 20, weights=WEIGHTS, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, seed: int = 20, weights=WEIGHTS, share: float = SHARE, most: float = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None, part_rows: int = PART_ROWS, part_words: int = PART_WORDS) -> tuple[DataFrame, DataFrame]:
     """(mix, account).
 
-    mix: the columns of ``docs`` with mix_round and mix_time, one row for each time that a document is taken, not
-    sorted; ``ordered(mix)`` range-sorts it. account: id_col, size, source_size, target, taken, mix_times for each row
-    of ``docs``. Sizes are words ([^\\x20\\x09-\\x0D]+); null and empty texts have none, and are taken in turn as others
-    are. Ties of the shuffled order go by id and size; rows that tie in all of these are interchangeable. Sources
-    without words have target 0 and nothing of them is taken. Columns of ``docs`` may have any names but those that
-    begin with two underscores. size_col: a long column that holds the sizes already; the text need not be among the
-    columns then, and is not moved.
+    mix: the columns of ``docs`` with mix_round and mix_time, one row for each time that a document is taken, in the
+    order of the mix: partitions and rows within them follow virtual time. account: id_col, size, source_size, target,
+    taken, mix_times for each row of ``docs``. Sizes are words ([^\\x20\\x09-\\x0D]+); null and empty texts have none,
+    and are taken in turn as others are. Ties of the shuffled order and of virtual time go by id, size and the text's
+    hash; rows that tie in all of these are interchangeable. Sources without words have target 0 and nothing of them
+    is taken. Columns may have any names; those named as the results are replaced. size_col: a long column that holds
+    the sizes already; the text need not be among the columns then.
+
+    Rows are numbered and written once. Both range sorts, by source and shuffled key and then by virtual time, move
+    numbers only; texts are joined to what was taken at the end.
     """
-    folder = shared_dir(docs.sparkSession)
-    sized = docs.withColumn("__size", F.coalesce(size_col, F.lit(0)) if size_col else word_count(text_col))
-    timed, budget = _finish_times(stage(sized, folder, "sized") if size_col else sized, seed, weights, share, most, folder, id_col, source_col)
-    timed = timed.withColumn("__rounds", _rounds(timed, most))
-    flat = timed.filter("__target > 0").select("__row", "__size", "__key", F.col(id_col).alias("__id"), F.explode("__rounds").alias("r"))
-    steps = flat.groupBy("r.step").agg(F.sum("__size").alias("s"))
-    steps = steps.withColumn("before", F.sum("s").over(Window.orderBy("step")) - F.col("s"))
-    cut = steps.filter((F.col("before") <= F.lit(budget)) & (F.col("before") + F.col("s") > F.lit(budget))).orderBy("step").first()
-    last, before = (cut["step"], cut["before"]) if cut else (2 * TIMES + 1, 0)
-    edge = flat.filter(F.col("r.step") == last).withColumn("upto", F.sum("__size").over(Window.orderBy("r.time", "__key", "__id", "__size", "r.round", "__row").rowsBetween(Window.unboundedPreceding, 0)))
-    edge = edge.filter(F.col("upto") + before <= F.lit(budget)).groupBy(F.col("__row").alias("__edge")).agg(F.collect_set("r.round").alias("__more"))
-    taken = timed.join(edge, F.col("__row") == F.col("__edge"), "left")
-    taken = taken.withColumn("__taken", F.when(F.col("__target") > 0, F.filter("__rounds", lambda r: (r.step < last) | F.coalesce(F.array_contains("__more", r["round"]), F.lit(False)))).otherwise(F.array().cast(dict(timed.dtypes)["__rounds"])))
-    account = taken.select(id_col, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.size("__taken")).alias("taken"), F.size("__taken").cast("long").alias("mix_times"))
-    names = [c for c in docs.columns if c not in ("mix_round", "mix_time")]
-    mix = taken.select(*names, F.explode("__taken").alias("__r")).select(*names, F.col("__r.round").alias("mix_round"), F.col("__r.time").alias("mix_time"))
-    return mix, account
-
-
-def ordered(mix: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The mix in its order: range-partitioned by virtual time and sorted within each part."""
-    by = [F.col("mix_time"), F.col("mix_round")]
-    return (mix.repartitionByRange(partitions, *by) if partitions else mix.repartitionByRange(*by)).sortWithinPartitions(*by)
+    folder, spark = shared_dir(docs.sparkSession), docs.sparkSession
+    size = F.coalesce(_names.col(size_col), F.lit(0)).cast("long") if size_col else word_count(text_col)
+    tie = F.xxhash64(_names.col(text_col)) if text_col in docs.columns else F.lit(0).cast("long")
+    rows, names = _names.packed(docs, ["mix_round", "mix_time"], n=F.monotonically_increasing_id(), size=size, tie=tie)
+    rows = stage(rows, folder, "rows")
+    key = F.unhex(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(_names.field(id_col).cast("string"), F.lit("")))))
+    small = rows.select("n", "size", "tie", _names.field(id_col).alias("id"), _names.field(source_col).alias("src"), key.alias("key"))
+    by_source = stage(small.groupBy(F.col("src").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), folder, "sources")
+    n, total = by_source.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // part_rows + 1, total // part_words + 1)
+    targets = source_targets(by_source.drop("n"), weights, share, most)
+    targets = targets.withColumn("others", F.sum("source_size").over(Window.orderBy(F.col("source").asc_nulls_last())) - F.col("source_size"))
+
+    timed = _running(small, [F.col("src").asc_nulls_last(), "key", "id", "size", "tie", "n"], parts, folder, "shuffled").drop("part", "at")
+    timed = timed.join(targets, F.col("src").eqNullSafe(F.col("source"))).withColumn("upto", F.col("run") - F.col("others"))
+    timed = stage(timed.select("n", "size", "tie", "id", "key", "source_size", "target", "upto"), folder, "finish")
+    again = F.explode(F.sequence(F.lit(0), F.lit(max(1, math.ceil(most)) - 1)))
+    queue = timed.filter("target > 0").select("n", "size", "tie", "id", "key", "source_size", "target", "upto", again.alias("round"))
+    queue = queue.withColumn("time", (F.col("source_size") * F.col("round") + F.col("upto")) / F.col("target")).drop("source_size", "target", "upto")
+    queue = _running(queue, ["time", "key", "id", "size", "tie", "round", "n"], parts, folder, "queue")
+    taken = queue.filter(F.col("run") <= F.lit(total * float(min(share, most)))).select("n", "round", "time", "part", "at")
+
+    times = taken.groupBy("n").agg(F.count("*").alias("mix_times"))
+    account = timed.join(times, "n", "left").withColumn("mix_times", F.coalesce("mix_times", F.lit(0)))
+    account = account.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("mix_times")).alias("taken"), "mix_times")
+    mix = rows.select("n", "row").join(taken, "n").repartitionById(parts, F.col("part")).sortWithinPartitions("at")
+    return _names.unpacked(mix, names, F.col("round").alias("mix_round"), F.col("time").alias("mix_time")), account
 
 
 ORACLE = r"""

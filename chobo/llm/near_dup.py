@@ -2,9 +2,10 @@
 
 1. Every text becomes its set of hashed word shingles, MinHash samples, band keys and an odd sketch: the samples
    hashed into a parity bitmap, so that the XOR of two bitmaps has few bits set when most samples agree.
-2. Copies of one word sequence collapse into a class held by its smallest id; only classes are compared.
-3. In each band bucket a class is paired with the bucket's first class and with its neighbour, never with all.
-   Sketches drop pairs whose estimate is far below the threshold; the best pair of each class is confirmed on full sets.
+2. Copies of one word sequence collapse into a class, numbered in the order of the classes' smallest ids; only classes
+   are compared.
+3. In each band bucket a class is paired with the bucket's first class, never with all. Sketches drop pairs whose
+   estimate is far below the threshold; the best pair of each class is confirmed on full sets.
 4. Links so far give components. Pairs that cross components follow, then, for buckets that still hold more than one
    component, all crossing pairs, compared in blocks by sketch and by a parity bitmap of the full sets, which leaves
    those near the threshold. So no bucket is cut short, and one that is a single component costs its size, not its
@@ -19,10 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from chobo.llm import _text
-from chobo.llm._store import shared_dir, stage
+from chobo.llm import _names, _text
+from chobo.llm._store import drop, shared_dir, stage
 from chobo.llm.components import connected_components
 
 BITS, SET_BITS = 256, 2048
@@ -62,15 +62,15 @@ def _fingerprints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, words: int, bands: int, rows: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, f1, f2 (of the word sequence), n_shingles, bands array<long>, s0..s3 (the odd sketch) of every document."""
+def signatures(docs: DataFrame, words: int, bands: int, rows: int, seed: int) -> DataFrame:
+    """id, t, f1, f2 (of the word sequence), n_shingles, bands array<long>, s0..s3 (the odd sketch) of docs (id, t, text)."""
     k = bands * rows
 
     def run(batches):
         a, b = _multipliers(k, seed)
         sample_salt = (np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
         for batch in _text.pieces(batches, "text"):
-            data, offsets = _text.utf8(batch.column(1))
+            data, offsets = _text.utf8(batch.column(2))
             _, _, h, first = _text.words(data, offsets)
             sh, at = shingles(h, first, words)
             n = batch.num_rows
@@ -92,10 +92,10 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, seed: int, id
             sizes = np.array([len(np.unique(sh[at[i] : at[i + 1]])) for i in range(n)], np.int64)
             f = _fingerprints(h, first)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f[0]), pa.array(f[1]), pa.array(sizes), lists, *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(BITS // 64))], names=["id", "f1", "f2", "n_shingles", "bands", *(f"s{j}" for j in range(BITS // 64))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f[0]), pa.array(f[1]), pa.array(sizes), lists, *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(BITS // 64))], names=["id", "t", "f1", "f2", "n_shingles", "bands", *(f"s{j}" for j in range(BITS // 64))])
 
-    schema = "id long, f1 long, f2 long, n_shingles long, bands array<long>, " + ", ".join(f"s{j} long" for j in range(BITS // 64))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema = "id long, t long, f1 long, f2 long, n_shingles long, bands array<long>, " + ", ".join(f"s{j} long" for j in range(BITS // 64))
+    return docs.mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -201,39 +201,32 @@ def _block_pairs(members: DataFrame, most_bits: int, percent: int, block: int) -
     return left.union(right).groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 40, rows: int = 4, seed: int = 20, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id, kept, one row for each row of ``docs``.
-
-    Documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of ``words``-word shingles (A-Z
-    lower-cased, words parted by white space; a shorter text is one shingle). component_id is the smallest id that
-    links reach, kept marks that document. Null, empty and blank texts have an empty set, are linked with nothing and
-    kept. Repeated rows get equal answers. Ids are longs; a null id counts as a document of its own, unlinked.
-    Other columns of ``docs`` are ignored. At similarity 0.75 a pair of classes shares no band with
-    probability (1 - 0.75**rows)**bands: 2.5e-7; its sketches hold it back with probability 1.3e-8, and a crossing pair
-    found only in the blocks may also be held back by the bitmap of the full sets, six deviations wide.
-    """
+def _components(docs: DataFrame, words: int, percent: int, bands: int, rows: int, seed: int, block: int) -> DataFrame:
+    """id, t, n_shingles, root_id, root_t of docs (id, t, text): the least id of the component, and the hash of its text."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
     sketch = [f"s{j}" for j in range(BITS // 64)]
     most = bits_allowed(max(0.0, percent / 100 - SLACK), bands * rows)
-    signed = stage(signatures(docs, words, bands, rows, seed, id_col, text_col), folder, "signed")
+    signed = stage(signatures(docs, words, bands, rows, seed), folder, "signed")
     some = signed.filter("n_shingles > 0 and id is not null")
-    classes = some.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    reps = some.join(classes, ["f1", "f2"]).filter("id = rep").dropDuplicates(["id"])
-
-    near = lambda other: sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{other}.{c}"))) for c in sketch), F.lit(0))
-    w = Window.partitionBy("key").orderBy("id")
-    row = F.struct("id", *sketch)
-    banded = reps.select("id", *sketch, F.explode("bands").alias("key"))
-    banded = banded.select("key", "id", *sketch, F.first(row).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("p"), F.lag(row).over(w).alias("q"), F.lead("id").over(w).alias("next"))
-    shared = banded.filter("q is not null or next is not null").select("key", "id", *sketch, F.col("p.id").alias("p"), near("p").alias("p_bits"), F.col("q.id").alias("q"), near("q").alias("q_bits"))
-    shared = stage(shared, folder, "shared")
-    pairs = shared.filter("q is not null").select(F.col("id").alias("a"), F.explode(F.array(F.struct(F.col("p").alias("b"), F.col("p_bits").alias("bits")), F.struct(F.col("q").alias("b"), F.col("q_bits").alias("bits")))).alias("o")).select("a", "o.b", "o.bits")
-    pairs = stage(pairs.filter(F.col("bits") <= most).groupBy("a", "b").agg(F.min("bits").alias("bits")), folder, "pairs")
-
-    wanted = shared.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-    sets = stage(shingle_sets(texts, words).dropDuplicates(["id"]), folder, "sets")
+    # numbers follow the order of the ids, so the least number of a component is that of its least id
+    classes = some.groupBy("f1", "f2").agg(F.min(F.struct("id", "t")).alias("rep")).select("f1", "f2", "rep.id", "rep.t")
+    classes = classes.repartitionByRange("id", "t", "f1", "f2").sortWithinPartitions("id", "t", "f1", "f2").withColumn("c", F.monotonically_increasing_id())
+    classes = stage(classes, folder, "classes")
+    one = ["id", "t", "f1", "f2"]
+    reps = some.join(classes, one).dropDuplicates(one)
+
+    banded = reps.select(F.col("c").alias("id"), F.explode("bands").alias("key"))
+    firsts = banded.groupBy("key").agg(F.min("id").alias("p"), F.count("*").alias("n")).filter("n > 1")
+    shared = stage(banded.join(firsts, "key"), folder, "shared")
+    sketches = lambda name: reps.select(F.col("c").alias(name), F.array(*sketch).alias(f"s_{name}"))
+    bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    pairs = shared.filter("id > p").select(F.col("id").alias("a"), F.col("p").alias("b")).distinct().join(sketches("a"), "a").join(sketches("b"), "b")
+    pairs = stage(pairs.select("a", "b", bits.alias("bits")).filter(F.col("bits") <= most), folder, "pairs")
+
+    wanted = classes.join(shared.select(F.col("id").alias("c")).distinct(), "c", "left_semi").select("id", "t", "c")
+    texts = docs.join(wanted, ["id", "t"]).dropDuplicates(["id", "t"]).select(F.col("c").alias("id"), "text")
+    sets = stage(shingle_sets(texts, words), folder, "sets")
 
     best = pairs.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
     links = stage(_confirm(best, sets, percent), folder, "links-1")
@@ -242,17 +235,60 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     links = links.union(stage(_confirm(rest, sets, percent), folder, "links-2"))
     comps = connected_components(links, folder, "cc2")
 
-    # A bucket of up to three classes has had all its pairs; so has one that is a single component.
-    sized = shared.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # A bucket of two classes has had its pair; one that is a single component needs no more.
+    sized = shared.select("key", "id").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     by_comp = sized.groupBy("key", "component").agg(F.count("*").alias("c"))
-    open_keys = by_comp.groupBy("key").agg(F.sum("c").alias("n"), F.max_by("component", F.struct("c", "component")).alias("largest"), F.max("c").alias("most")).filter("n > 3 and most < n")
-    profiles = sets.select("id", "odd", (F.octet_length("set") / 8).cast("long").alias("size")).join(reps.select("id", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")), "id")
-    members = sized.join(open_keys, "key").select("key", "id", "component", (F.col("component") == F.col("largest")).alias("main"), "n", (F.col("n") - F.col("most")).alias("n_rest"), *sketch).join(profiles, "id")
+    open_keys = by_comp.groupBy("key").agg(F.sum("c").alias("n"), F.max_by("component", F.struct("c", "component")).alias("largest"), F.max("c").alias("most")).filter("n > 2 and most < n")
+    profiles = sets.select("id", "odd", (F.octet_length("set") / 8).cast("long").alias("size"))
+    profiles = profiles.join(reps.select(F.col("c").alias("id"), *sketch, F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")), "id")
+    members = sized.join(open_keys, "key").select("key", "id", "component", (F.col("component") == F.col("largest")).alias("main"), "n", (F.col("n") - F.col("most")).alias("n_rest")).join(profiles, "id")
     rest = _block_pairs(members, most, percent, block).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     links = stage(links.union(_confirm(rest, sets, percent)), folder, "links-3")
     comps = connected_components(links, folder, "cc3")
+    for name in ("shared", "pairs", "sets", "links-1", "links-2"):
+        drop(spark, folder, name)
 
-    rep_of = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
+    found = classes.join(comps.withColumnRenamed("id", "c"), "c", "left").select("f1", "f2", F.coalesce("component", "c").alias("component"))
+    roots = found.join(classes.select(F.col("c").alias("component"), F.col("id").alias("root_id"), F.col("t").alias("root_t")), "component").drop("component")
     # the groups of copies may be very large: this join splits them, a window could not
-    out = signed.join(rep_of, ["f1", "f2"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return signed.select("id", "t", "f1", "f2", "n_shingles").join(roots, ["f1", "f2"], "left").select("id", "t", "n_shingles", *(F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col(f"root_{x}")).otherwise(F.col(x)).alias(f"root_{x}") for x in ("id", "t")))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list:
+    return [_names.col(id_col).cast("long").alias("id"), F.xxhash64(_names.col(text_col)).alias("t")]
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 40, rows: int = 4, seed: int = 20, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_shingles, component_id, kept, one row for each row of ``docs``.
+
+    Documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of ``words``-word shingles (A-Z
+    lower-cased, words parted by white space; a shorter text is one shingle). component_id is the smallest id that
+    links reach, kept marks that document. Null, empty and blank texts have an empty set, are linked with nothing and
+    kept. Repeated rows get equal answers; rows that share an id but not a text are documents of their own, each with
+    its own links. Ids are longs; a null id counts as a document of its own, unlinked. Other columns of ``docs`` are
+    ignored. At similarity 0.75 a pair of classes shares no band with probability (1 - 0.75**rows)**bands: 2.5e-7; its
+    sketches hold it back with probability 1.3e-8, and a crossing pair found only in the blocks may also be held back
+    by the bitmap of the full sets, six deviations wide.
+    """
+    out = _components(docs.select(*_keyed(docs, id_col, text_col), _names.col(text_col).alias("text")), words, percent, bands, rows, seed, block)
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("root_id").alias("component_id"), F.coalesce(F.col("id") == F.col("root_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 40, rows: int = 4, seed: int = 20, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: one of each component stays, of its least id and, of that, one text.
+
+    Components are those of ``near_duplicates``. Texts without words, and rows without an id, all stay. Of rows that
+    repeat the id and the text that stays, one stays. Columns may have any names.
+    """
+    keys = _keyed(docs, id_col, text_col)
+    folder = shared_dir(docs.sparkSession)
+    found = _components(docs.select(*keys, _names.col(text_col).alias("text")), words, percent, bands, rows, seed, block)
+    # an id and a text that go with all their rows, or, where ``again``, with all but one
+    marked = found.filter("n_shingles > 0 and id is not null").groupBy("id", "t").agg(F.count("*").alias("n"), F.bool_and((F.col("id") == F.col("root_id")) & (F.col("t") == F.col("root_t"))).alias("root"))
+    marked = stage(marked.filter("not root or n > 1").select("id", "t", "root"), folder, "marked")
+    packed, names = _names.packed(docs, [], **{k: c for k, c in zip(("id", "t"), keys, strict=True)})
+    out = packed.join(marked.select("id", "t"), ["id", "t"], "left_anti")
+    again = marked.filter("root")
+    if not again.isEmpty():
+        out = out.unionByName(packed.join(again.select("id", "t"), ["id", "t"], "left_semi").dropDuplicates(["id", "t"]))
+    return _names.unpacked(out, names)

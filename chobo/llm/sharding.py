@@ -10,30 +10,48 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from chobo.llm import _names
 from chobo.llm._store import shared_dir, stage
 
 LIMIT = 1 << 20
-ID_BITS = 48
-"""Bits that come from the id; as many more come from the row's number, for rows that share an id."""
+ID_BITS, TEXT_BITS, ROW_BITS = 48, 64, 48
+"""Bits that come from the id; then, for rows that share an id, from the text; then, for repeated rows, from their number."""
 
 
-def _bits(column):
-    return F.lpad(F.conv(F.substring(F.md5(column), 1, ID_BITS // 4), 16, 2), ID_BITS, "0")
+def _hash_bits(column):
+    return F.lpad(F.conv(F.substring(F.md5(column), 1, 12), 16, 2), 48, "0")
 
 
-def _leaves(fine: DataFrame, start: int, depth: int, limit: int) -> DataFrame:
-    """fine (bits, bytes, n): sums of buckets of ``depth`` bits. Each with its leaf: the first of its prefixes that fits.
+def _bits(id_col, depth: int):
+    """The first ``depth`` bits of a row (id, tie, n)."""
+    known = [_hash_bits(F.coalesce(id_col.cast("string"), F.lit("")))]
+    if depth > ID_BITS:
+        known.append(F.lpad(F.bin("tie"), TEXT_BITS, "0"))
+    if depth > ID_BITS + TEXT_BITS:
+        known.append(_hash_bits(F.col("n").cast("string")))
+    return F.substring(F.concat(*known), 1, depth)
 
-    Prefixes of up to ``start`` bits are known not to fit. A bucket for which none fits has leaf null.
+
+def _leaves(fine: DataFrame, start: int, depth: int, limit: int, folder: str) -> DataFrame:
+    """bits, shard, shard_bytes, shard_docs: fine (bits, bytes, docs; buckets of ``depth`` bits) with the leaf of each.
+
+    A leaf is a prefix that fits and whose own prefix does not; those of up to ``start`` bits are known not to fit. A
+    bucket for which none fits is absent. A prefix is only ever joined with its two halves, and buckets with the
+    prefixes of such lengths as leaves have.
     """
-    at = fine.select("bits", "bytes", "n", F.explode(F.sequence(F.lit(start + 1), F.lit(depth))).alias("d")).withColumn("prefix", F.substring("bits", F.lit(1), F.col("d")))
-    w = Window.partitionBy("prefix")
-    at = at.withColumns({"leaf_bytes": F.sum("bytes").over(w), "leaf_docs": F.sum("n").over(w)})
-    fits = (F.col("leaf_bytes") <= limit) | (F.col("leaf_docs") <= 1)
-    best = at.groupBy("bits").agg(F.min(F.when(fits, F.struct("d", "prefix", "leaf_bytes", "leaf_docs"))).alias("leaf"))
-    return best.select("bits", F.col("leaf.prefix").alias("shard"), F.col("leaf.leaf_bytes").alias("shard_bytes"), F.col("leaf.leaf_docs").alias("shard_docs"))
+    at = fine.select("bytes", "docs", F.explode(F.transform(F.sequence(F.lit(start + 1), F.lit(depth)), lambda d: F.substring("bits", F.lit(1), d))).alias("prefix"))
+    nodes = stage(at.groupBy("prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs")), folder, f"nodes-{depth}")
+    fits = (F.col("shard_bytes") <= limit) | (F.col("shard_docs") <= 1)
+    d = F.length("prefix")
+    above = nodes.filter(~fits).select(F.col("prefix").alias("above"))
+    whole = nodes.filter(fits & (d == start + 1))
+    leaves = stage(whole.union(nodes.filter(fits & (d > start + 1)).join(above, F.substring("prefix", F.lit(1), d - 1) == F.col("above"), "left_semi")), folder, f"leaves-{depth}")
+    depths = sorted(r[0] for r in leaves.select(F.length("prefix")).distinct().collect())
+    if not depths:
+        return leaves.select(F.col("prefix").alias("bits"), F.col("prefix").alias("shard"), "shard_bytes", "shard_docs")
+    mine = fine.select("bits", F.explode(F.array(*[F.substring("bits", 1, k) for k in depths])).alias("shard"))
+    return mine.join(leaves.withColumnRenamed("prefix", "shard"), "shard").select("bits", "shard", "shard_bytes", "shard_docs")
 
 
 def shard_documents(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", step: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -42,16 +60,18 @@ def shard_documents(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id",
     documents: all columns of ``docs`` with n_bytes (UTF-8 bytes of the text; null has none), shard (the bucket's hash
     bits, ``""`` while one shard holds all), depth (their number), shard_bytes, shard_docs, over_limit. directory: one
     row a shard. A shard has at most ``limit`` bytes, but for a single document that is larger; that has a shard of
-    its own with over_limit true. Rows that share an id share its bits, and part, if they must, on bits of their row
-    number; so do null ids. Columns named as the results are replaced. An empty table has no shard.
+    its own with over_limit true. Rows that share an id, or have none, share its bits, and part, if they must, on bits
+    of their text; repeated rows, which are interchangeable, on those of a row number. Columns may have any names;
+    those named as the results are replaced. An empty table has no shard.
 
     Splitting works on sums by prefix, not on documents: one pass gives the sums of all prefixes that the total calls
     for, and another follows only below buckets that are still too large. The directory stays a table.
     """
     folder = shared_dir(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("n_bytes", "shard", "depth", "shard_bytes", "shard_docs", "over_limit")]
-    rows = docs.select(*names, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("__row"))
-    rows = stage(rows.withColumn("__bits", F.concat(_bits(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), _bits(F.col("__row").cast("string")))), folder, "rows")
+    new = ["n_bytes", "shard", "depth", "shard_bytes", "shard_docs", "over_limit"]
+    text = _names.col(text_col)
+    rows, names = _names.packed(docs, new, n_bytes=F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), tie=F.xxhash64(text), n=F.monotonically_increasing_id())
+    rows = stage(rows, folder, "rows")
     total, n = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     if total <= limit or n <= 1:
         parts = [rows.withColumns({"shard": F.lit(""), "shard_bytes": F.lit(total).cast("long"), "shard_docs": F.lit(n).cast("long")})]
@@ -59,21 +79,21 @@ def shard_documents(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id",
     else:
         parts, left, depth = [], n, 0
         step = step or max(4, math.ceil(math.log2(total / limit)) + 4)
-        rest = rows
+        rest, most = rows, ID_BITS + TEXT_BITS + ROW_BITS
         while left:
-            start, depth = depth, min(depth + step, 2 * ID_BITS)
+            start, depth = depth, min(depth + step, most)
             step = 8
-            keyed = rest.withColumn("__fine", F.substring("__bits", 1, depth))
-            fine = keyed.groupBy(F.col("__fine").alias("bits")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n"))
-            leaves = stage(_leaves(fine, start, depth, limit), folder, f"leaves-{depth}")
-            joined = keyed.join(leaves, F.col("__fine") == F.col("bits")).drop("bits", "__fine")
-            parts.append(joined.filter("shard is not null"))
-            left = leaves.filter("shard is null").count() if depth < 2 * ID_BITS else 0
-            rest = joined.filter("shard is null").drop("shard", "shard_bytes", "shard_docs")
+            bits = _bits(_names.field(id_col), depth)
+            fine = stage(rest.groupBy(bits.alias("bits")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("docs")), folder, f"fine-{depth}")
+            leaves = stage(_leaves(fine, start, depth, limit, folder), folder, f"shards-{depth}")
+            keyed = rest.withColumn("fine", bits)
+            parts.append(keyed.join(leaves, F.col("fine") == F.col("bits")).drop("fine", "bits"))
+            left = fine.join(leaves, "bits", "left_anti").limit(1).count() if depth < most else 0
+            rest = keyed.join(leaves.select("bits"), F.col("fine") == F.col("bits"), "left_anti").drop("fine")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    out = out.select(*names, "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit).alias("over_limit"))
+    out = _names.unpacked(out, names, "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit).alias("over_limit"))
     directory = out.groupBy("shard", "depth", "shard_bytes", "shard_docs", "over_limit").agg(F.count("*").alias("rows")).drop("rows")
     return out, directory
 
