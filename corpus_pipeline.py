@@ -8,20 +8,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from chobo.llm._store import shared_dir, stage
+from chobo.llm import _names
+from chobo.llm._store import drop, scratch, shared_dir, stage
 from chobo.llm.decontam import contamination
-from chobo.llm.mixing import mix_sources, ordered
-from chobo.llm.near_dup import near_duplicates
+from chobo.llm.mixing import mix_sources
+from chobo.llm.near_dup import drop_near_duplicates
 from chobo.llm.quality_classifier import score, train
 from chobo.llm.sharding import shard_documents
 
 
-def _set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+def _set_aside(docs: DataFrame, *results: str) -> tuple[DataFrame, list]:
     """docs without columns of these names, and what selects its columns again."""
-    moved = {c: f"__own_{c}" for c in docs.columns if c in names}
-    return docs.withColumnsRenamed(moved), [F.col(f"`{moved.get(c, c)}`").alias(c) for c in docs.columns]
+    moved, taken = {}, {*docs.columns, *results}
+    for c in docs.columns:
+        if c in results:
+            name = c
+            while name in taken:
+                name = f"own_{name}"
+            taken.add(name)
+            moved[c] = name
+    return docs.withColumnsRenamed(moved), [_names.col(moved.get(c, c)).alias(c) for c in docs.columns]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +41,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id, and one row of it."""
-    gone = near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    one = left.withColumn("__one", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
-    return one.filter("doc_id is null or __one = 1").drop("__one")
+    return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources in its order. A document that the mix takes twice is in it twice."""
     docs, back = _set_aside(docs, "mix_round", "mix_time")
-    return ordered(mix_sources(docs)[0]).select(*back)
+    return mix_sources(docs)[0].select(*back)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,14 +69,17 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: The classifier's floating-point updates are not SQL; tests hold the stages against brute force instead.
+#: The classifier's floating-point updates are not SQL; tests/llm/test_pipeline.py holds each stage and run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; what nothing reads any more is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_dir(spark)
     for k, (_, apply) in enumerate(STAGES):
-        docs = stage(apply(spark, docs, sf_dir), folder, f"stage-{k}")
+        with scratch(spark):
+            docs = stage(apply(spark, docs, sf_dir), folder, f"stage-{k}")
+        if k:
+            drop(spark, folder, f"stage-{k - 1}")
     return docs
