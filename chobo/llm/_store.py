@@ -103,3 +103,35 @@ def map_array(path: str, dtype) -> np.ndarray:
                 own.write(block)
         own.flush()
         return np.memmap(own.name, dtype=dtype, mode="r") if os.path.getsize(own.name) else np.empty(0, dtype)
+
+
+@contextlib.contextmanager
+def stream(path: str, mode: str):
+    """A file of the shared folder, read ("rb") or written ("wb") from end to end."""
+    url = urlparse(path)
+    if url.scheme in ("", "file"):
+        if mode == "rb":
+            with open(url.path, "rb") as f:
+                yield f
+            return
+        os.makedirs(os.path.dirname(url.path), exist_ok=True)
+        # what an earlier file there holds is written over, which is cheaper than to free it first
+        with open(os.open(url.path, os.O_WRONLY | os.O_CREAT, 0o644), "wb") as f:
+            yield f
+            f.truncate()
+        return
+    fs, inner = _filesystem(path)
+    if mode == "wb":
+        fs.create_dir(os.path.dirname(inner), recursive=True)
+    with fs.open_input_stream(inner) if mode == "rb" else fs.open_output_stream(inner) as f:
+        yield f
+
+
+def remove(path: str) -> None:
+    """Delete a file of the shared folder."""
+    url = urlparse(path)
+    if url.scheme in ("", "file"):
+        os.remove(url.path)
+        return
+    fs, inner = _filesystem(path)
+    fs.delete_file(inner)

@@ -2,19 +2,23 @@
 
 1. A window of LENGTH bytes has a minimizer, the K-byte string in it with the least hash. A window whose minimizer occurs
    in one document alone cannot repeat. They are counted over the whole corpus.
-2. Runs of the windows left that share a minimizer are short strings. All occurrences of a window lie in strings with its
-   minimizer, and where these are all the same string, the inside of a repeated passage, its least id settles them.
-3. Where strings differ, at the edges of passages, their bytes are sent, equal strings once. Each part is one collection whose Burrows-Wheeler transform and common prefixes are built column by column: every
-   round inserts one more symbol, from the right, of every string, and rewrites the files that hold the transform. At
-   the end suffixes that share LENGTH bytes are neighbours, and the least id of each such group goes back to its strings.
+2. Runs of the windows left that share a minimizer are short strings, and all occurrences of a window lie in strings with
+   its minimizer. Strings are dealt to parts by it; a task sends equal ones once, with their least id.
+3. Each part is one collection whose Burrows-Wheeler transform and common prefixes are built column by column: every
+   round inserts one more symbol, from the right, of every string, and reads the transform's file from end to end to
+   write the next. At the end suffixes that share LENGTH bytes are neighbours, and the least id of each such group goes
+   back to its strings.
 4. Documents drop the windows for which that id is below their own; overlapping windows are merged.
+
+A minimizer of very many documents would make one part large. Its windows become strings of their own, dealt by their own
+hashes, and go through the same construction.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +26,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chobo.llm import _text
+from chobo.llm import _names, _text
 from chobo.llm._keys import Sums, blobs, merged, pack, unpack
-from chobo.llm._store import map_array, shared_dir, stage, write_array
+from chobo.llm._store import map_array, remove, shared_dir, stage, stream, write_array
 
 LENGTH, K = 50, 20
 KEPT_BITS = np.uint64(0xFFFFFFFFFFFF0000)
@@ -32,13 +36,16 @@ KEPT_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 MOST_WINDOWS = 64
 """Windows in one cut string, at most: strings stay short however a text repeats itself."""
 HOT = 50_000
-"""Minimizers of more documents than this are split: their windows go to the parts of their own hashes."""
+"""Minimizers of more documents than this are split: their windows are strings of their own."""
 HOLD = 1 << 20
 """Strings that a task holds before it sends them on."""
-SPILL = 48 << 20
-"""Bytes of a collection's records from which on they go through files."""
+PART_BYTES = 32 << 20
+"""Bytes of text for each part, about."""
+BLOCK = 1 << 16
+"""Records of a transform that are in memory at once."""
 DONE = 0xFF
-"""Marks a string that has been inserted whole; no byte of UTF-8."""
+"""Marks a suffix that no symbol comes before; no byte of UTF-8."""
+BYTES = np.arange(256, dtype=np.uint8)
 
 
 def _blocks(data: np.ndarray, length: int):
@@ -112,85 +119,213 @@ def _distinct(key, h, doc):
     return order[new], number
 
 
-def _rewritten(records: np.ndarray) -> np.ndarray:
-    """The records, written in order to a new file that is gone when the array is, and mapped from there.
+class _Piles:
+    """What the passes over a transform know of each symbol: where its suffixes begin, and what was seen of it so far."""
+
+    def __init__(self, before: int, counts: np.ndarray) -> None:
+        self.begins = before + np.cumsum(counts) - counts
+        self.seen = np.zeros(256, np.int64)
+        self.fresh = np.zeros(256, bool)
+        self.low = np.full(256, 255, np.uint8)
+
 
-    A collection of less than SPILL bytes stays in memory.
+def _pairs(symbol: np.ndarray, common: np.ndarray, fresh: np.ndarray, piles: _Piles):
+    """One block of a transform: the suffixes one symbol longer than fresh ones, and those next after them.
+
+    symbol, common: the block's symbols and common prefixes; fresh: its places whose suffixes were inserted last. Gives
+    (first symbol, place in the next transform, common prefix, is it new?), sorted by symbol and place, and for the new
+    ones which of ``fresh`` they extend.
     """
-    if records.nbytes < SPILL:
-        return records
-    with tempfile.TemporaryFile() as f:
-        records.tofile(f)
-        f.flush()
-        return np.memmap(f, records.dtype, "r") if len(records) else records
-
-
-def suffix_order(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, length, common prefix with the one before) of all suffixes in order, for strings data[first[i]:first[i+1]].
-
-    Column-wise insertion. The transform holds, for each suffix so far in order, the symbol before it. The suffix one
-    longer lies after all that begin with smaller symbols and after as many of its own symbol as the transform has
-    before it; its common prefix is one more than the least between the two places it came from. Each round reads
-    the records from their file and writes them anew, longer by one for each string: string (from bit 24), length
-    (bits 16 to 23), common prefix (bits 8 to 15), symbol (bits 0 to 7). Strings have fewer than 255 bytes.
+    n = len(symbol)
+    flag = symbol.astype(np.uint16)
+    flag[fresh] |= 256
+    order = np.argsort(symbol, kind="stable")
+    flag = flag[order]
+    own = flag.astype(np.uint8)
+    bounds = np.append(np.searchsorted(own, BYTES), n)
+    bounds[DONE + 1 :] = bounds[DONE]
+    start, count = bounds[:256], np.diff(bounds)
+    put = np.flatnonzero(flag[: bounds[DONE]] >= 256)
+    after = put + 1
+    after = after[after < bounds[own[put].astype(np.int64) + 1]]
+    carried = start[(count > 0) & piles.fresh]
+    some = np.zeros(n, bool)
+    some[put] = some[after] = some[carried] = True
+    k = np.flatnonzero(some)
+    c = own[k].astype(np.int64)
+    place = piles.begins[c] + piles.seen[c] + k - start[c]
+    value = np.zeros(len(k), np.uint8)
+    opening = k == start[c]
+    inner = np.flatnonzero(~opening)
+    if len(inner):
+        low, high = order[k[inner] - 1] + 1, order[k[inner]] + 1
+        # from the last to the first: what lies between one range and the next is then empty
+        by = np.argsort((0xFFFF - np.minimum(low, 0xFFFF)).astype(np.uint16), kind="stable")
+        ends = np.stack((low[by], high[by]), 1).ravel()
+        value[inner[by]] = np.minimum.reduceat(np.append(common, np.uint8(255)), ends)[::2] + np.uint8(1)
+    for i in np.flatnonzero(opening & (piles.seen[c] > 0)).tolist():
+        value[i] = min(int(piles.low[c[i]]), int(common[: order[k[i]] + 1].min())) + 1
+    number = np.empty(n, np.int64)
+    number[fresh] = np.arange(len(fresh))
+    longer = flag[k] >= 256
+    source = number[order[k[longer]]]
+    here = np.flatnonzero(count[:DONE])
+    last = order[bounds[here + 1] - 1]
+    piles.low = np.minimum(piles.low, common.min())
+    by = np.argsort(last)
+    tail = np.minimum.reduceat(np.append(common, np.uint8(255)), np.append(last[by] + 1, n)) if len(by) else np.empty(0, np.uint8)
+    piles.low[here[by]] = np.minimum.accumulate(tail[::-1])[::-1][: len(by)]
+    piles.fresh[here] = flag[bounds[here + 1] - 1] >= 256
+    piles.seen += np.append(count[:DONE], 0)
+    return own[k], place, value, longer, source
+
+
+def suffix_transform(data: np.ndarray, first: np.ndarray, folder: str) -> str:
+    """The Burrows-Wheeler transform and common prefixes of the strings data[first[i]:first[i+1]], as a file in ``folder``.
+
+    Strings have fewer than 255 bytes and do not get longer from one to the next. Column-wise construction: a round
+    inserts one symbol of each string, from the right; shorter strings begin later, so that all end in the last round.
+    A record is the symbol before a suffix (low byte) and the suffix's common prefix with the one before it (high
+    byte). The suffix one longer lies after all that begin with smaller symbols and after as many of its own symbol as
+    the transform has before it; its common prefix is one more than the least between the two places it came from.
+    A round reads the file from end to end, block by block, and writes the next one: memory holds a block and one
+    entry for each string.
     """
     m, size = len(first) - 1, np.diff(first)
-    field = lambda r, at: (r >> np.uint64(at)).astype(np.uint8)
-    ends = np.where(size > 0, data[np.maximum(first[1:] - 1, 0)], DONE) if m and len(data) else np.full(m, DONE)
-    records = _rewritten(np.arange(m, dtype=np.uint64) << np.uint64(24) | ends.astype(np.uint64))
-    counts, last = np.bincount(ends, minlength=256), np.arange(m)
-    for j in range(1, int(size.max()) + 1 if m else 1):
-        order = np.argsort(records.astype(np.uint8), kind="stable")[: len(records) - counts[DONE]]
-        new = np.zeros(len(records), bool)
-        new[last] = True
-        new = new[order]
-        put = np.flatnonzero(new)
-        near = new.copy()
-        near[1:] |= new[:-1]
-        begins = np.cumsum(counts[:DONE]) - counts[:DONE]
-        near[begins[begins < len(near)]] = False
-        k = np.flatnonzero(near)
-        low, high = order[k - 1] + 1, order[k] + 1
-        by = np.argsort(-low)
-        k = k[by]
-        common = np.append(field(records, 8), np.uint8(255))
-        value = np.minimum.reduceat(common, np.stack((low[by], high[by]), 1).ravel())[::2] + np.uint64(1) if len(k) else np.empty(0, np.uint64)
-        who = (records[order[put]] >> np.uint64(24)).astype(np.int64)
-        before = size[who] - j - 1
-        symbol = np.where(before >= 0, data[np.maximum(first[who] + before, 0)], DONE)
-        fresh = who.astype(np.uint64) << np.uint64(24) | np.uint64(j << 16) | symbol.astype(np.uint64)
-        out = np.empty(len(records) + len(put), np.uint64)
-        keep = np.ones(len(out), bool)
-        keep[m + put] = False
-        out[keep] = records
-        out[m + put] = fresh
-        out[m + k] = out[m + k] & ~np.uint64(0xFF00) | value << np.uint64(8)
-        records, last = _rewritten(out), m + put
-        counts = counts + np.bincount(symbol, minlength=256)
-    return (records >> np.uint64(24)).astype(np.int64), field(records, 16), field(records, 8)
-
-
-def _least_ids(data: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """For each window of each string, string by string: the least doc of any string that holds the window."""
-    first = np.r_[0, np.cumsum(size)]
-    string, n, lcp = suffix_order(data, first)
-    begin = np.flatnonzero(lcp < length)
-    least = np.repeat(np.minimum.reduceat(doc[string], begin), np.diff(np.r_[begin, len(string)]))
-    window = np.r_[0, np.cumsum(size - length + 1)]
-    full = n >= length
-    out = np.empty(int(window[-1]), np.int64)
-    out[window[string[full]] + size[string[full]] - n[full]] = least[full]
+    rounds = int(size[0]) if m else 0
+    begins = np.searchsorted(-size, np.arange(-rounds, 1), "right")  # strings that are in from round r on
+    path = [f"{folder}/transform-0", f"{folder}/transform-1"]
+    with stream(path[0], "wb") as target:
+        target.write(np.full(m, DONE, np.uint16).data)
+    counts = np.zeros(256, np.int64)
+    total = m
+    at, symbol, of = (np.empty(0, kind) for kind in (np.int64, np.uint8, np.int64))
+    fix_at, fix = np.empty(0, np.int64), np.empty(0, np.uint8)
+    for r in range(rounds + 1):
+        old, new = path[r % 2], path[(r + 1) % 2]
+        # what the round brings: strings whose empty suffix gets its symbol, and the suffixes found in the last one
+        opened = np.arange(begins[r - 1] if r else 0, begins[r]) if r < rounds else np.empty(0, np.int64)
+        opened_symbol = data[first[opened + 1] - 1] if len(opened) else np.empty(0, np.uint8)
+        counts += np.bincount(symbol, minlength=256) + np.bincount(opened_symbol, minlength=256)
+        total += len(at)
+        piles = _Piles(m, np.append(counts[:DONE], 0))
+        found = []
+        with stream(old, "rb") as source, stream(new, "wb") as target:
+            for a in range(0, total, BLOCK):
+                b = min(a + BLOCK, total)
+                i, j = np.searchsorted(at, (a, b))
+                x, y = np.searchsorted(fix_at, (a, b))
+                block = np.frombuffer(source.read(2 * (b - a - (j - i))), np.uint16)
+                if j > i:
+                    here, have = at[i:j] - a, block
+                    block = np.empty(b - a, np.uint16)
+                    keep = np.ones(b - a, bool)
+                    keep[here] = False
+                    block[keep] = have
+                    block[here] = symbol[i:j]
+                else:
+                    here, block = np.empty(0, np.int64), block.copy()
+                if y > x:
+                    block[fix_at[x:y] - a] = (block[fix_at[x:y] - a] & np.uint16(0xFF)) | (fix[x:y].astype(np.uint16) << np.uint16(8))
+                u, v = (np.searchsorted(opened, (a, b)) if len(opened) else (0, 0))
+                if v > u:
+                    block[opened[u:v] - a] = opened_symbol[u:v]
+                target.write(block.data)
+                if r == rounds:
+                    continue
+                fresh = np.concatenate((opened[u:v] - a, here))
+                whose = np.concatenate((opened[u:v], of[i:j]))
+                pair = block.view(np.uint8)
+                *some, extends = _pairs(np.ascontiguousarray(pair[0::2]), np.ascontiguousarray(pair[1::2]), fresh, piles)
+                found.append((*some, whose[extends]))
+        if r == rounds or not found:
+            continue
+        # entries of a block come by symbol and place: those of all blocks are in order once they are by symbol
+        begin, fix_at, fix, new_one, of = (np.concatenate([f[q] for f in found]) for q in range(5))
+        by = np.argsort(begin[new_one], kind="stable")
+        at, of = fix_at[new_one][by], of[by]
+        by = np.argsort(begin, kind="stable")
+        fix_at, fix = fix_at[by], fix[by]
+        left = first[of + 1] - first[of] - (r + 1 - (rounds - size[of])) - 1
+        symbol = np.where(left >= 0, data[np.maximum(first[of] + left, 0)], np.uint8(DONE)).astype(np.uint8)
+    remove(path[rounds % 2])
+    return path[(rounds + 1) % 2]
+
+
+def _blocks_of(path: str):
+    """(place of the first record, records) of each block of a transform."""
+    at = 0
+    with stream(path, "rb") as source:
+        while raw := source.read(2 * BLOCK):
+            records = np.frombuffer(raw, np.uint16)
+            yield at, records
+            at += len(records)
+
+
+def read_back(path: str, size: np.ndarray):
+    """(length, places) for suffixes of each length from 0 on: where those of the first strings are in the transform.
+
+    A suffix's place follows from that of the suffix one shorter, by as many of its symbol as come before it.
+    """
+    m, total, counts = len(size), 0, np.zeros(256, np.int64)
+    for _, records in _blocks_of(path):
+        counts += np.bincount(records.astype(np.uint8), minlength=256)
+        total += len(records)
+    piles = _Piles(m, np.append(counts[:DONE], 0))
+    longer = np.zeros(total, np.int32 if total < 1 << 31 else np.int64)
+    for a, records in _blocks_of(path):
+        symbol = records.astype(np.uint8)
+        order = np.argsort(symbol, kind="stable")
+        own = symbol[order]
+        bounds = np.append(np.searchsorted(own, BYTES), len(own))
+        longer[a + order] = (piles.begins + piles.seen - bounds[:256])[own] + np.arange(len(own))
+        piles.seen += np.diff(bounds)
+    place = np.arange(m)
+    for n in range(int(size[0]) + 1 if m else 0):
+        yield n, place
+        place = longer[place[: int(np.searchsorted(-size, -n - 1, "right"))]].astype(np.int64)
+
+
+def _groups(path: str, length: int, total: int) -> np.ndarray:
+    """For each place of the transform the number of its group: suffixes that share ``length`` bytes."""
+    out = np.empty(total, np.int32 if total < 1 << 31 else np.int64)
+    last = -1
+    for a, records in _blocks_of(path):
+        own = out[a : a + len(records)]
+        np.cumsum(records >> np.uint16(8) < length, out=own)
+        own += last
+        last = int(own[-1])
     return out
 
 
+def _least_ids(data: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int, folder: str) -> np.ndarray:
+    """For each window of each string, string by string: the least doc of any string that holds the window."""
+    if not len(size):
+        return np.empty(0, np.int64)
+    by = np.argsort(-size, kind="stable")
+    at = np.cumsum(size) - size
+    data, window, doc, size = _gather(data, at[by], size[by]), (np.cumsum(size - length + 1) - (size - length + 1))[by], doc[by], size[by]
+    path = suffix_transform(data, np.r_[0, np.cumsum(size)], f"{folder}/{uuid.uuid4().hex}")
+    group = _groups(path, length, len(data) + len(size))
+    low = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
+    out = np.empty(int((size - length + 1).sum()), group.dtype)
+    for n, place in read_back(path, size):
+        if n >= length:
+            own = group[place]
+            out[window[: len(place)] + size[: len(place)] - n] = own
+            np.minimum.at(low, own, doc[: len(place)])
+    remove(path)
+    return low[out]
+
+
 def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """id, t, a, b: byte ranges a:b of the text that are windows of a document with a smaller id. docs: id, t, text.
 
     Strings are told apart by their minimizer's hash of 64 bits and another of 48, and windows within them by their bytes.
     """
-    spark = docs.sparkSession
-    parts = 2 << max(2, math.ceil(math.log2(max(1, docs.rdd.getNumPartitions()))))
-    bits = parts.bit_length() - 1
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(4, math.ceil(math.log2(max(1, total / PART_BYTES))))
+    parts = 1 << bits
 
     def count(batches):
         sums = Sums()
@@ -221,11 +356,11 @@ def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int =
         def known(name, keys):
             unique, back = np.unique(keys, return_inverse=True)
             found = np.zeros(len(unique), bool)
-            part = ((unique & np.uint64(parts - 1)) if name == "many" else (unique >> np.uint64(64 - bits))).astype(np.int64)
+            part = (unique >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(cut)).tolist():
-                if name == "keys" and p not in stored or name == "hot" and not stored.get(p):
+                if p not in stored or name == "hot" and not stored[p]:
                     continue
                 if (name, p) not in open_files:
                     open_files[name, p] = map_array(f"{folder}/shared/{name}-{p}", np.uint64)
@@ -236,62 +371,56 @@ def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int =
 
         return known
 
-    def shared_runs(known, data, offsets, want):
-        """Runs of the windows that may repeat: of very common minimizers, or of all others."""
+    def strings(known, data, offsets):
+        """(start, windows, key, row, hash) of the runs of windows that may repeat, and of the single windows of hot minimizers."""
         runs = _runs(data, offsets, length, k)
         key = runs[2] & KEPT_BITS
         good = known("keys", key)
-        if any(stored.values()):
-            wide = known("hot", key)
-            good &= wide if want == "hot" else ~wide
-        elif want == "hot":
-            good[:] = False
-        return tuple(x[good] for x in runs)
-
-    def gather(with_bytes):
-        """What a task has of each part: its strings once each, with their bytes if asked for, and where its texts have them."""
-        columns = ["key", "h", "doc", "size", "data", "number", "row", "place", "id", "t"] if with_bytes else ["key", "h", "doc", "size", "number", "row", "place", "id", "t"]
+        if not any(stored.values()):
+            return tuple(x[good] for x in runs)
+        wide = good & known("hot", key)
+        start, count, row = (x[wide] for x in (runs[0], runs[1], runs[3]))
+        w = _gather(np.arange(len(data)), start, count)
+        h = _window_hashes(data, w, length)
+        single = (w, np.ones(len(w), np.int64), _text.mix(h + np.uint64(1)), np.repeat(row, count), h)
+        return tuple(np.concatenate((x[good & ~wide], y)) for x, y in zip(runs, single, strict=True))
+
+    columns = ["key", "h", "doc", "size", "data", "number", "row", "place", "id", "t"]
+
+    def gather(batches):
+        """What a task has of each part: its strings once each, and where its texts have them."""
+        known = lookup()
+        squeeze = zstandard.ZstdCompressor(level=3)
 
         def send(held):
-            squeeze = zstandard.ZstdCompressor(level=3)
-            key, h, row, place, size, ids, ts = (np.concatenate([x[j] for x in held]) for j in range(7))
-            data = np.concatenate([x[7] for x in held]) if with_bytes else np.empty(0, np.uint8)
+            key, h, row, place, size, ids, ts, data = (np.concatenate([x[j] for x in held]) for j in range(8))
             start = np.cumsum(size) - size
             part = (key & np.uint64(parts - 1)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
             rows = []
-            for p in np.unique(part):
-                i = np.flatnonzero(part == p)
+            for i in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
                 one, number = _distinct(key[i], h[i], ids[row[i]])
                 one = i[one]
                 own, back = np.unique(row[i], return_inverse=True)
-                arrays = {"key": key[one], "h": h[one] & KEPT_BITS, "doc": ids[row[one]], "size": size[one].astype(np.uint8), "number": number.astype(np.uint32), "row": back.astype(np.uint32), "place": place[i].astype(np.uint32), "id": ids[own], "t": ts[own]}
-                if with_bytes:
-                    arrays["data"] = _gather(data, start[one], size[one])
-                rows.append((int(p), *(squeeze.compress(pack(np.ascontiguousarray(arrays[c]))) for c in columns)))
+                arrays = {"key": key[one], "h": h[one] & KEPT_BITS, "doc": ids[row[one]], "size": size[one].astype(np.uint8), "data": _gather(data, start[one], size[one]), "number": number.astype(np.uint32), "row": back.astype(np.uint32), "place": place[i].astype(np.uint32), "id": ids[own], "t": ts[own]}
+                rows.append((int(part[i[0]]), *(squeeze.compress(pack(np.ascontiguousarray(arrays[c]))) for c in columns)))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in range(1, len(columns) + 1))], names=["part", *columns])
 
-        def run(batches):
-            known = lookup()
-            held, n_held, row_base = [], 0, 0
-            for batch in _text.pieces(batches, "text"):
-                data, offsets = _text.utf8(batch.column(2))
-                start, count, key, row, h = shared_runs(known, data, offsets, "cold")
-                if with_bytes and len(start):
-                    good = known("many", key)
-                    start, count, key, row, h = (x[good] for x in (start, count, key, row, h))
-                if not len(start):
-                    continue
-                size = count + length - 1
-                held.append((key, h, row + row_base, start - offsets[row], size, batch.column(0).to_numpy(), batch.column(1).to_numpy(), _gather(data, start, size) if with_bytes else None))
-                row_base += batch.num_rows
-                n_held += len(start)
-                if n_held > HOLD:
-                    yield send(held)
-                    held, n_held, row_base = [], 0, 0
-            if held:
+        held, n_held, row_base = [], 0, 0
+        for batch in _text.pieces(batches, "text"):
+            data, offsets = _text.utf8(batch.column(2))
+            start, count, key, row, h = strings(known, data, offsets)
+            if not len(start):
+                continue
+            size = count + length - 1
+            held.append((key, h, row + row_base, start - offsets[row], size, batch.column(0).to_numpy(), batch.column(1).to_numpy(), _gather(data, start, size)))
+            row_base += batch.num_rows
+            n_held += len(start)
+            if n_held > HOLD:
                 yield send(held)
-
-        return docs.mapInArrow(run, "part int, " + ", ".join(f"{c} binary" for c in columns))
+                held, n_held, row_base = [], 0, 0
+        if held:
+            yield send(held)
 
     def reader(table):
         loosen = zstandard.ZstdDecompressor()
@@ -305,25 +434,8 @@ def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int =
         for own, row, place, ids, ts in zip(get("number", np.uint32), get("row", np.uint32), get("place", np.uint32), get("id", np.int64), get("t", np.int64), strict=True):
             yield own.astype(np.int64), ids[row], ts[row], place.astype(np.int64)
 
-    def settle(part, table):
-        """Places of strings that no other string shares a minimizer with; the other minimizers are stored as many."""
-        get = reader(table)
-        keys, h, docs_of, sizes = get("key", np.uint64), get("h", np.uint64), get("doc", np.int64), get("size", np.uint8)
-        key, doc, size = np.concatenate(keys), np.concatenate(docs_of), np.concatenate(sizes).astype(np.int64)
-        one, number = _distinct(key, np.concatenate(h), doc)
-        unique, back, times = np.unique(key[one], return_inverse=True, return_counts=True)
-        write_array(f"{folder}/shared/many-{part[0].as_py()}", unique[times > 1])
-        sole = (times == 1)[back]
-        out, base = [], 0
-        for blob, (own, ids, ts, place) in zip(keys, places(get), strict=True):
-            s = number[base + own]
-            base += len(blob)
-            hit = sole[s] & (doc[one][s] < ids)
-            out.append((ids[hit], ts[hit], place[hit], place[hit] + size[one][s[hit]]))
-        return found(out)
-
     def answer(part, table):
-        """Places of the other strings, from the suffix order of all of them."""
+        """Ranges of the texts that go, from the suffix order of all strings of the part."""
         get = reader(table)
         keys = get("key", np.uint64)
         key, doc, size = np.concatenate(keys), np.concatenate(get("doc", np.int64)), np.concatenate(get("size", np.uint8)).astype(np.int64)
@@ -331,7 +443,7 @@ def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int =
         first = np.cumsum(size) - size
         one, number = _distinct(key, np.concatenate(get("h", np.uint64)), doc)
         data, size, doc = _gather(data, first[one], size[one]), size[one], doc[one]
-        least = _least_ids(data, size, doc, length)
+        least = _least_ids(data, size, doc, length, f"{folder}/scratch")
         n = size - length + 1
         string = np.repeat(np.arange(len(n)), n)
         offset = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
@@ -352,42 +464,8 @@ def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int =
             out.append((ids[which], ts[which], place[which] + a[r], place[which] + b[r]))
         return found(out)
 
-    def single(batches):
-        known = lookup()
-        for batch in _text.pieces(batches, "text"):
-            data, offsets = _text.utf8(batch.column(2))
-            start, count, _, _, _ = shared_runs(known, data, offsets, "hot")
-            if len(start):
-                w = _gather(np.arange(len(data)), start, count)
-                h, row = _window_hashes(data, w, length), np.searchsorted(offsets, w, "right") - 1
-                other = _string_hashes(_gather(data, w, np.full(len(w), length)), np.arange(len(w) + 1) * length)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(other.view(np.int64)), pa.array((w - offsets[row]).astype(np.int32))], names=["id", "t", "h", "g", "a"])
-
-    ranges = "id long, t long, a int, b int"
-    # settle() also stores which minimizers are left, so it is run once and written
-    out = stage(gather(False).groupBy("part").applyInArrow(settle, ranges), folder, "settled")
-    out = out.unionByName(gather(True).groupBy("part").applyInArrow(answer, ranges))
-    if any(stored.values()):
-        # windows of a very common minimizer are whole strings of their own: their least ids are plain minima
-        windows = docs.mapInArrow(single, "id long, t long, h long, g long, a int")
-        least = windows.groupBy("h", "g").agg(F.min("id").alias("least"))
-        out = out.unionByName(windows.join(least, ["h", "g"]).filter("least < id").select("id", "t", "a", (F.col("a") + length).alias("b")))
-    return out
-
-
-def _string_hashes(data: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashes of the strings data[first[i]:first[i+1]], block by block."""
-    out = np.empty(len(first) - 1, np.uint64)
-    at = 0
-    while at < len(out):
-        to = max(at + 1, int(np.searchsorted(first, first[at] + _text.SEGMENT, "right")) - 1)
-        part = data[first[at] : first[to]]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_text._BYTES[part] * _text.powers(0xC2B2AE3D27D4EB4F, len(part)), out=sums[1:])
-        s, e = first[at:to] - first[at], first[at + 1 : to + 1] - first[at]
-        out[at:to] = _text.mix((sums[e] - sums[s]) * _text.powers(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64), len(part) + 1)[s] + (e - s).astype(np.uint64))
-        at = to
-    return out
+    sent = docs.mapInArrow(gather, "part int, " + ", ".join(f"{c} binary" for c in columns))
+    return stage(sent.groupBy("part").applyInArrow(answer, "id long, t long, a int, b int"), folder, "ranges")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, keep_bytes: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,9 +477,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     may fall within a character. Other columns are ignored.
     """
     folder = shared_dir(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    text = _names.col(text_col)
+    rows = docs.select(_names.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     ranges = repeated_ranges(rows.filter("id is not null and text is not null"), folder, length, k, hot)
-    ranges = ranges.groupBy("id", "t").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    # a set: rows that repeat id and text have the same ranges
+    ranges = ranges.groupBy("id", "t").agg(F.collect_set(F.struct("a", "b")).alias("r")).select("id", "t", "r.a", "r.b")
     joined = rows.join(ranges, ["id", "t"], "left").select("id", "text", "a", "b")
 
     def run(batches):

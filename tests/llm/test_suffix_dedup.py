@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from chobo.llm.suffix_dedup import remove_repeats, suffix_order
+from chobo.llm import suffix_dedup
+from chobo.llm.suffix_dedup import remove_repeats
 
 
 def brute(docs, length):
@@ -27,16 +28,23 @@ def brute(docs, length):
     return {i: sorted(v) for i, v in out.items()}
 
 
-@pytest.mark.parametrize("spill", [0, 1 << 30])
-def test_suffix_order_and_common_prefixes(monkeypatch, spill):
-    monkeypatch.setattr("chobo.llm.suffix_dedup.SPILL", spill)
+@pytest.mark.parametrize("block", [3, 64, 1 << 16])
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
+def test_transform_and_common_prefixes(monkeypatch, tmp_path, block, letters):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
     r = random.Random(3)
-    strings = ["".join(r.choice("ab") for _ in range(r.randint(1, 12))).encode() for _ in range(60)] + [b"aaaa", b"aaaa"]
-    data, first = np.frombuffer(b"".join(strings), np.uint8), np.r_[0, np.cumsum([len(s) for s in strings])]
-    string, length, lcp = suffix_order(data, first)
-    got = [strings[s][len(strings[s]) - n :] if n else b"" for s, n in zip(string.tolist(), length.tolist())]
-    assert got == sorted(got) and len(got) == sum(map(len, strings)) + len(strings)
-    for a, b, c in zip(got, got[1:], lcp[1:].tolist()):
+    strings = ["".join(r.choice(letters) for _ in range(r.randint(1, 12))).encode() for _ in range(60)] + [b"aaaa", b"aaaa"]
+    strings.sort(key=len, reverse=True)
+    size = np.array([len(s) for s in strings])
+    path = suffix_dedup.suffix_transform(np.frombuffer(b"".join(strings), np.uint8), np.r_[0, np.cumsum(size)], str(tmp_path))
+    records = np.fromfile(path, np.uint16)
+    got = [None] * len(records)
+    for n, places in suffix_dedup.read_back(path, size):
+        for s, p in zip(strings, places.tolist()):
+            got[p] = s[len(s) - n :] if n else b""
+    assert None not in got and got == sorted(got) and len(got) == sum(map(len, strings)) + len(strings)
+    assert [f.name for f in tmp_path.iterdir()] == [path.rsplit("/", 1)[1]]
+    for a, b, c in zip(got, got[1:], (records >> 8).tolist()[1:]):
         n = 0
         while n < min(len(a), len(b)) and a[n] == b[n]:
             n += 1
@@ -48,7 +56,7 @@ def texts(seed):
     words = ["alpha", "béta", "gamma", "δ", "of", "the", "and", "zeta", "eta", "日本"]
     para = [" ".join(r.choice(words) for _ in range(r.randint(8, 30))) for _ in range(12)]
     docs = [" ".join(r.choice(para) if r.random() < 0.4 else " ".join(r.choice(words) for _ in range(20)) for _ in range(r.randint(0, 5))) for _ in range(40)]
-    return docs + [docs[3], docs[3], "", None, "a" * 400, "b" + "a" * 300, "x" * 49, "x" * 50, "x" * 50]
+    return docs + [docs[3], docs[3], "", None, "a" * 400, "b" + "a" * 300, "x" * 49, "x" * 50, "x" * 50, " ".join(para) * 40, "y" + " ".join(para) * 40, "é" * 5000]
 
 
 def test_against_brute_force(spark):
