@@ -41,6 +41,8 @@ HOLD = 1 << 20
 """Strings that a task holds before it sends them on."""
 PART_BYTES = 32 << 20
 """Bytes of text for each part, about."""
+SEGMENT = 1 << 17
+"""Bytes that are hashed at once: their arrays stay in the processor's cache."""
 BLOCK = 1 << 16
 """Records of a transform that are in memory at once."""
 DONE = 0xFF
@@ -52,7 +54,7 @@ def _blocks(data: np.ndarray, length: int):
     """(at, end, sums, inverse) of blocks of window starts: sums and powers from which any string's hash follows."""
     at, n = 0, len(data)
     while at + length <= n:
-        end = min(at + _text.SEGMENT, n - length + 1)
+        end = min(at + SEGMENT, n - length + 1)
         part = data[at : end + length - 1]
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_text._BYTES[part] * _text.powers(_text.BASE, len(part)), out=sums[1:])
@@ -334,7 +336,7 @@ def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int =
             _, _, key, row, _ = _runs(*_text.utf8(batch.column(2)), length, k)
             key &= KEPT_BITS
             if len(key):
-                order = np.lexsort((row, key))
+                order = np.argsort(key, kind="stable")  # rows ascend
                 key, row = key[order], row[order]
                 if sums.add(key[np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])]]):
                     yield send()
@@ -390,7 +392,7 @@ def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int =
     def gather(batches):
         """What a task has of each part: its strings once each, and where its texts have them."""
         known = lookup()
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=1)
 
         def send(held):
             key, h, row, place, size, ids, ts, data = (np.concatenate([x[j] for x in held]) for j in range(8))
@@ -465,7 +467,8 @@ def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int =
         return found(out)
 
     sent = docs.mapInArrow(gather, "part int, " + ", ".join(f"{c} binary" for c in columns))
-    return stage(sent.groupBy("part").applyInArrow(answer, "id long, t long, a int, b int"), folder, "ranges")
+    # each part is a task of its own, however small
+    return stage(sent.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(answer, "id long, t long, a int, b int"), folder, "ranges")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, keep_bytes: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
