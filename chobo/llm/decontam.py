@@ -1,27 +1,27 @@
 """Benchmark decontamination with a positional inverted index of the training texts.
 
-The index holds one row for each term and document with the term's positions. A test passage is found from its rarest
-terms: their posting lists, each shifted by the term's offset in the passage, are intersected on (document, item,
-alignment), and the alignments left are confirmed word by word on the text.
+The index is stored once: for each block of texts, and each term that a test passage asks for, a posting list of rows and
+positions. An exact passage is found from its rarest terms: their posting lists, each shifted by the term's offset in the
+passage, are intersected on (document, item, alignment), and the alignments left are confirmed word by word on the text.
+A proximity match needs an item's rarest terms within so many words, in any order; it is read from the same lists.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from chobo.llm import _text
+from chobo.llm import _names, _text
 from chobo.llm._store import shared_dir, stage
 
 LENGTH, ANCHORS = 13, 3
-BLOCK_WORDS = 1 << 20
-"""Words of test items that are looked for at once; a larger test set is done in blocks of about this size."""
+MOST_TERMS = 1 << 20
+"""Terms that tasks are told of beforehand (8 MB); with more, they index every word and a join leaves those asked for."""
 
 
 def _words(data, offsets):
@@ -37,82 +37,131 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
             h, first = _words(*_text.utf8(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h))], names=["row", "item", "words"])
 
-    ids = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    return items.select(F.monotonically_increasing_id().alias("row"), ids.alias("item"), F.col(text_col).alias("text")).mapInArrow(run, "row long, item string, words array<long>").filter(F.size("words") > 0)
+    ids = F.coalesce(_names.col(id_col).cast("string"), F.lit(""))
+    return items.select(F.monotonically_increasing_id().alias("row"), ids.alias("item"), _names.col(text_col).alias("text")).mapInArrow(run, "row long, item string, words array<long>").filter(F.size("words") > 0)
 
 
-def term_counts(docs: DataFrame, terms: np.ndarray, text_col: str = "text") -> DataFrame:
-    """term, n: occurrences of each of ``terms`` (sorted word hashes) in the texts. One row a term leaves each task."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+def _known(terms: DataFrame, most: int):
+    """A broadcast of the sorted terms (term), or None if there are too many to send."""
+    if terms.limit(most + 1).count() > most:
+        return None
+    return terms.sparkSession.sparkContext.broadcast(np.sort(np.array([r.term for r in terms.collect()], np.int64)))
 
-    def run(batches):
-        terms = shared.value
-        n = np.zeros(len(terms), np.int64)
-        for batch in _text.pieces(batches, "text"):
-            h, _ = _words(*_text.utf8(batch.column(0)))
-            at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-            n += np.bincount(at[terms[at] == h], minlength=len(terms))
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(terms[some]), pa.array(n[some])], names=["term", "n"])
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
+def build_index(docs: DataFrame, terms: DataFrame, folder: str, most_terms: int = MOST_TERMS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, keys, counts) of docs (key, text), written once.
 
-def build_index(docs: DataFrame, terms: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """term, id, positions array<int>: the positional index, of all words or of ``terms`` (sorted word hashes) only."""
-    shared = None if terms is None else docs.sparkSession.sparkContext.broadcast(terms)
+    index: term, block, docs array<int>, positions array<int>, a row for each block of texts and each of ``terms``
+    (term) in it; entry i of both arrays is one occurrence. keys: block, doc, key. counts: term, n.
+    """
+    shared = _known(terms, most_terms)
 
     def run(batches):
+        known = None if shared is None else shared.value
+        block = TaskContext.get().partitionId() << 32
         for batch in _text.pieces(batches, "text"):
             h, first = _words(*_text.utf8(batch.column(1)))
             row = _text.rows_of(first)
             place = np.arange(len(h)) - first[:-1][row]
-            if shared is not None:
-                t = shared.value
-                keep = np.flatnonzero(t[np.minimum(np.searchsorted(t, h), len(t) - 1)] == h) if len(t) else np.empty(0, np.int64)
+            if known is not None:
+                keep = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h) if len(known) else np.empty(0, np.int64)
                 h, row, place = h[keep], row[keep], place[keep]
-            order = np.lexsort((place, h, row))
+            order = np.argsort(h, kind="stable")  # rows and positions ascend
             h, row, place = h[order], row[order], place[order]
-            new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(h)].astype(np.int32)), pa.array(place.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(h[new]), batch.column(0).take(pa.array(row[new])), lists], names=["term", "id", "positions"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "term long, id long, positions array<int>")
-
-
-def _anchors(items: list, counts: dict, length: int, anchors: int) -> list[tuple]:
-    """(row, term, offset): the rarest terms of every window of the items (row, words)."""
-    found = set()
-    for row, words in items:
-        rank = [(counts.get(w, 0), i) for i, w in enumerate(words)]
-        for s in range(max(1, len(words) - length + 1)):
-            for _, i in sorted(rank[s : s + length])[:anchors]:
-                found.add((row, words[i], i))
-    return sorted(found)
-
-
-def candidates(docs: DataFrame, items: DataFrame, folder: str, length: int = LENGTH, anchors: int = ANCHORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, row, shift: alignments (position in the document less offset in the item) at which the rarest terms agree.
-
-    items: row (which no two share), words. The terms of a block of items, at most about BLOCK_WORDS, are known to all tasks at once.
+            new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+            # one more row, without a term, for the keys of the block's texts
+            at = pa.array(np.r_[new, len(h), len(h)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (row, place)]
+            keys = pa.ListArray.from_arrays(pa.array(np.r_[np.zeros(len(new) + 1), batch.num_rows].astype(np.int32)), batch.column(0))
+            term = pa.array(np.r_[h[new], 0], mask=np.r_[np.zeros(len(new), bool), True])
+            yield pa.RecordBatch.from_arrays([term, pa.array(np.full(len(new) + 1, block)), *lists, keys], names=["term", "block", "docs", "positions", "keys"])
+            block += 1
+
+    made = stage(docs.select("key", "text").mapInArrow(run, "term long, block long, docs array<int>, positions array<int>, keys array<long>"), folder, "index")
+    index = made.filter("term is not null").select("term", "block", "docs", "positions")
+    if shared is None:
+        index = index.join(terms, "term", "left_semi")
+    keys = made.filter("term is null").select("block", F.posexplode("keys").alias("doc", "key"))
+    return index, keys, index.groupBy("term").agg(F.sum(F.size("docs")).alias("n"))
+
+
+def rare_terms(items: DataFrame, counts: DataFrame, length: int = LENGTH, anchors: int = ANCHORS) -> DataFrame:
+    """row, term, offset, least, near, slop: the rarest terms of items (row, words), by counts (term, n).
+
+    offset: where one of the ``anchors`` rarest terms of some window is in the item; least: how many must agree. near
+    marks the item's rarest ``anchors`` terms, once each; slop: one and a half times the item's words.
     """
-    spark = docs.sparkSession
-    total = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(total / BLOCK_WORDS))
-    out = spark.createDataFrame([], "id long, row long, shift int")
-    for k in range(blocks if total else 0):
-        some = [(r.row, list(r.words)) for r in items.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == k).collect()]
-        if not some:
-            continue
-        counts = {r.term: r.n for r in term_counts(docs, np.unique(np.concatenate([np.array(w, np.int64) for _, w in some])), text_col).collect()}
-        rare = _anchors(some, counts, length, anchors)
-        index = stage(build_index(docs, np.unique(np.array([t for _, t, _ in rare], np.int64)), id_col, text_col), folder, f"index-{k}")
-        sizes = {row: min(anchors, len(words)) for row, words in some}
-        table = pa.table({"least": pa.array([sizes[r[0]] for r in rare], pa.int32()), "row": pa.array([r[0] for r in rare], pa.int64()), "term": pa.array([r[1] for r in rare], pa.int64()), "offset": pa.array([r[2] for r in rare], pa.int32())})
-        hits = index.join(spark.createDataFrame(table), "term").select("id", "row", "offset", "least", F.explode("positions").alias("p"))
-        hits = hits.groupBy("id", "row", (F.col("p") - F.col("offset")).alias("shift")).agg(F.count("*").alias("n"), F.max("least").alias("least")).filter("n >= least")
-        out = out.unionByName(hits.select("id", "row", "shift"))
-    return out
+    placed = items.select("row", F.posexplode("words").alias("offset", "term")).join(counts, "term", "left")
+
+    def run(key, table):
+        order = np.argsort(table.column("offset").to_numpy())
+        words, n = table.column("term").to_numpy()[order], table.column("n").fill_null(0).to_numpy()[order]
+        rank = np.lexsort((np.arange(len(n)), n))
+        place = np.empty(len(n), np.int64)
+        place[rank] = np.arange(len(n))
+        width = min(length, len(n))
+        windows = np.lib.stride_tricks.sliding_window_view(place, width)
+        least = min(anchors, width)
+        chosen = set(rank[np.unique(np.sort(windows, 1)[:, :least])].tolist())
+        near = {}
+        for i in rank.tolist():
+            if len(near) < anchors:
+                near.setdefault(int(words[i]), i)
+        rows = sorted(chosen | set(near.values()))
+        marks = set(near.values())
+        return pa.table({"row": pa.array([key[0].as_py()] * len(rows)), "term": pa.array(words[rows]), "offset": pa.array([i if i in chosen else None for i in rows], pa.int32()), "least": pa.array([least] * len(rows), pa.int32()), "near": pa.array([i in marks for i in rows]), "slop": pa.array([len(n) * 3 // 2] * len(rows), pa.int32())})
+
+    return placed.groupBy("row").applyInArrow(run, "row long, term long, offset int, least int, near boolean, slop int")
+
+
+def exact_candidates(index: DataFrame, rare: DataFrame) -> DataFrame:
+    """block, doc, row, shift: alignments (position in the document less offset in the item) at which the rarest terms agree."""
+    wanted = rare.filter("offset is not null").select("row", "term", "offset", "least")
+    hits = index.join(wanted, "term").select("block", "row", "offset", "least", F.explode(F.arrays_zip("docs", "positions")).alias("p"))
+    hits = hits.groupBy("block", F.col("p.docs").alias("doc"), "row", (F.col("p.positions") - F.col("offset")).alias("shift")).agg(F.count("*").alias("n"), F.max("least").alias("least"))
+    return hits.filter("n >= least").select("block", "doc", "row", "shift")
+
+
+def proximity_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, block, doc, position: where all terms of a query follow within its slop, in any order.
+
+    queries: query, term, slop (words from the first to the last, both included). A match is given by the first of its
+    words; of several with one first word the query and document come once for it. The documents of a query's rarest
+    term are found first, and the other lists are read for these only.
+    """
+    wanted = queries.groupBy("query", "term").agg(F.max("slop").alias("slop"))
+    df = index.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+    rarest = wanted.join(df, "term", "left").groupBy("query").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"), F.count("*").alias("n_terms"))
+    docs = index.join(rarest, "term").select("query", "n_terms", "block", F.explode(F.array_distinct("docs")).alias("doc"))
+    # lists of the blocks that hold a query's rarest term, then of its documents
+    rows = index.join(wanted, "term").join(docs.select("query", "block").distinct(), ["query", "block"], "left_semi")
+    rows = rows.select("query", "block", "term", "slop", F.explode(F.arrays_zip("docs", "positions")).alias("p")).select("query", "block", F.col("p.docs").alias("doc"), "term", "slop", F.col("p.positions").alias("position"))
+    found = rows.join(docs, ["query", "block", "doc"]).groupBy("query", "block", "doc").agg(F.max("n_terms").alias("n_terms"), F.max("slop").alias("slop"), F.collect_list(F.struct("position", "term")).alias("at")).filter(F.size("at") >= F.col("n_terms"))
+
+    def run(batches):
+        for batch in batches:
+            of, places = [], []
+            for i in range(batch.num_rows):
+                at = batch.column("at")[i].values
+                position, term = at.field(0).to_numpy(), at.field(1).to_numpy()
+                order = np.argsort(position)
+                position, kind = position[order], np.unique(term, return_inverse=True)[1][order]
+                n, slop = batch.column("n_terms")[i].as_py(), batch.column("slop")[i].as_py()
+                if len(set(kind.tolist())) < n:
+                    continue
+                held, end = np.zeros(n, np.int64), 0
+                for begin in range(len(position)):
+                    while end < len(position) and position[end] < position[begin] + slop:
+                        held[kind[end]] += 1
+                        end += 1
+                    if held.all():
+                        of.append(i)
+                        places.append(int(position[begin]))
+                    held[kind[begin]] -= 1
+            of = pa.array(of, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in ("query", "block", "doc")), pa.array(places, pa.int32())], names=["query", "block", "doc", "position"])
+
+    return found.mapInArrow(run, _names.with_fields(found, ["query", "block", "doc"], "position int"))
 
 
 def _runs(same: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -121,37 +170,50 @@ def _runs(same: np.ndarray, least: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= least]
 
 
-def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, one row a row.
+def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_terms: int = MOST_TERMS) -> DataFrame:
+    """All columns of ``docs`` with n_words, n_hit, n_items, items_sha256, contaminated, n_near, one row a row.
 
     Words: [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ once A-Z are lower case. A window is ``length`` consecutive words of an
     item; an item of fewer is one window, one of none has none. n_hit: words of the document within occurrences of
     windows; n_items: items with occurring windows, whose ids as sorted text make items_sha256 (of the empty text if
-    there are none); contaminated: n_hit > 0 and 100 * n_hit >= percent * n_words. Null and empty texts have no words.
-    Items that share an id count as one, null ids as ``""``. Rows that share a document id, or have none, are judged
-    by their own texts. Columns named as the results are replaced.
+    there are none); contaminated: n_hit > 0 and 100 * n_hit >= percent * n_words. n_near: items whose rarest ANCHORS
+    terms occur, in any order, within one and a half times the item's words; it decides nothing. Null and empty texts
+    have no words. Items that share an id count as one, null ids as ``""``. Rows that share a document id, or have
+    none, are judged by their own texts. Columns may have any names; those named as the results are replaced.
     """
     folder = shared_dir(docs.sparkSession)
     items = stage(item_words(items, item_col, item_text), folder, "items")
-    found = candidates(docs, items, folder, length, ANCHORS, id_col, text_col)
+    terms = items.select(F.explode("words").alias("term")).distinct()
+    text = _names.col(text_col)
+    # a text's results depend on the text alone: its hash is the key
+    index, keys, counts = build_index(docs.select(F.xxhash64(text).alias("key"), text.alias("text")), terms, folder, most_terms)
+    rare = stage(rare_terms(items, counts, length, ANCHORS), folder, "rare")
+    exact = exact_candidates(index, rare).withColumn("near", F.lit(False))
+    near = proximity_matches(index, rare.filter("near").select(F.col("row").alias("query"), "term", "slop"))
+    near = near.select("block", "doc", F.col("query").alias("row"), F.lit(None).cast("int").alias("shift"), F.lit(True).alias("near")).distinct()
+    found = exact.union(near).join(keys, ["block", "doc"])
     # an item's words stand once in a document's row, however often they are looked for in it
-    found = found.groupBy("id", "row").agg(F.collect_list("shift").alias("shifts"))
-    found = found.join(items, "row").groupBy("id").agg(F.collect_list(F.struct("item", "shifts", "words")).alias("__at")).withColumnRenamed("id", "__id")
-    new = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    names = [c for c in docs.columns if c not in new]
-    joined = docs.select(*names).join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").select(*names, F.col(text_col).alias("__text"), "__at")
+    found = found.groupBy("key", "row").agg(F.collect_set("shift").alias("shifts"), F.max("near").alias("near"))
+    found = found.join(items, "row").groupBy("key").agg(F.collect_list(F.struct("item", "shifts", F.when(F.size("shifts") > 0, F.col("words")).alias("words"), "near")).alias("at"))
+    rows, names = _names.packed(docs, ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"], text=text, key=F.xxhash64(text))
+    joined = rows.join(found, "key", "left").select("row", "text", "at")
 
     def run(batches):
         none = hashlib.sha256(b"").hexdigest()
-        for batch in _text.pieces(batches, "__text"):
-            h, first = _words(*_text.utf8(batch.column(len(names))))
-            at = batch.column(len(names) + 1)
-            n_words, n_hit, n_items, sha = np.diff(first), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [none] * batch.num_rows
+        for batch in _text.pieces(batches, "text"):
+            h, first = _words(*_text.utf8(batch.column(1)))
+            at, n = batch.column(2), batch.num_rows
+            n_words, n_hit, n_items, n_near, sha = np.diff(first), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [none] * n
             for i in np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False)):
                 own = h[first[i] : first[i + 1]]
-                hit, ids = np.zeros(len(own), bool), set()
+                hit, ids, close = np.zeros(len(own), bool), set(), set()
                 for c in at[i]:
-                    item, words = c["item"].as_py(), c["words"].values.to_numpy()
+                    item = c["item"].as_py()
+                    if c["near"].as_py():
+                        close.add(item)
+                    if not c["words"].is_valid:
+                        continue
+                    words = c["words"].values.to_numpy()
                     for shift in c["shifts"].values.to_numpy().tolist():
                         a, b = max(0, shift), min(len(own), shift + len(words))
                         if b <= a:
@@ -159,30 +221,14 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, perce
                         for x, y in _runs(own[a:b] == words[a - shift : b - shift], min(length, len(words))):
                             hit[a + x : a + y] = True
                             ids.add(item)
-                n_hit[i], n_items[i] = hit.sum(), len(ids)
+                n_hit[i], n_items[i], n_near[i] = hit.sum(), len(ids), len(close)
                 if ids:
                     sha[i] = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
             bad = (n_hit > 0) & (100 * n_hit >= percent * n_words)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(sha), pa.array(bad)], names=[*names, *new])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(sha), pa.array(bad), pa.array(n_near)], names=["row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"])
 
-    kinds = ", ".join(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return joined.mapInArrow(run, kinds + ", n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-
-
-def proximity_matches(index: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
-    """query, id, position: windows of ``slop`` words from ``position`` on that hold all terms of a query, in any order.
-
-    queries: query, term (word hashes as in the index). The documents of a query's rarest term are found first, and the
-    other lists are read for these only.
-    """
-    wanted = queries.select("query", "term").distinct()
-    n = wanted.groupBy("query").agg(F.count("*").alias("n_terms"))
-    df = index.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    rarest = wanted.join(df, "term", "left").groupBy("query").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"))
-    docs = index.join(rarest, "term").select("query", "id").distinct()
-    rows = wanted.join(index, "term").join(docs, ["query", "id"], "left_semi").join(n, "query").select("query", "id", "term", "n_terms", F.explode("positions").alias("position"))
-    w = Window.partitionBy("query", "id").orderBy("position").rangeBetween(0, slop - 1)
-    return rows.withColumn("seen", F.size(F.collect_set("term").over(w))).filter("seen = n_terms").select("query", "id", "position")
+    results = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long"
+    return _names.unpacked(joined.mapInArrow(run, _names.with_fields(joined, ["row"], results)), names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 ORACLE = r"""
@@ -195,8 +241,18 @@ ns AS (SELECT DISTINCT n FROM wi),
 dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM d, ns WHERE len(w) >= n),
 x AS (SELECT doc_id, p, dw.n, item FROM dw JOIN wi ON dw.n = wi.n AND array_to_string(w[p : p + dw.n - 1], ' ') = wi.win),
 h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM x) GROUP BY doc_id),
+b AS (SELECT row_number() OVER () AS rn, item, w FROM i WHERE len(w) > 0),
+o AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d),
+c AS (SELECT term, count(*) AS n FROM o GROUP BY term),
+u AS (SELECT rn, slop, term, min(pos) AS pos FROM (SELECT rn, len(w) * 3 // 2 AS slop, unnest(w) AS term, unnest(range(len(w))) AS pos FROM b) GROUP BY rn, slop, term),
+rare AS (SELECT rn, slop, term FROM u LEFT JOIN c USING (term) QUALIFY row_number() OVER (PARTITION BY rn ORDER BY coalesce(n, 0), pos) <= 3),
+sizes AS (SELECT rn, count(*) AS n_terms FROM rare GROUP BY rn),
+seen AS (SELECT doc_id, rn, n_terms, count(DISTINCT term) OVER (PARTITION BY doc_id, rn ORDER BY pos RANGE BETWEEN CURRENT ROW AND slop - 1 FOLLOWING) AS s
+         FROM o JOIN rare USING (term) JOIN sizes USING (rn)),
+nr AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM seen JOIN b USING (rn) WHERE s = n_terms GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM x) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nr USING (doc_id)
 """

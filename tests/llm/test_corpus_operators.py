@@ -128,10 +128,24 @@ def test_decontamination(spark, docs, texts):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
-def test_proximity(spark):
-    index = spark.createDataFrame([(1, 7, [0, 9]), (2, 7, [4, 30]), (3, 7, [6]), (1, 8, [0]), (2, 8, [50])], "term long, id long, positions array<int>")
-    q = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3)], "query string, term long")
-    assert sorted(map(tuple, decontam.proximity_matches(index, q, 6).collect())) == [("a", 7, 0), ("a", 7, 4), ("b", 7, 4)]
+def test_proximity(spark, docs, texts, tmp_path):
+    rows, df = docs
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    turned = words(texts[2])[5:25][::-1]
+    items = [(1, " ".join(turned)), (2, texts[9]), (3, "one two"), (4, "nowhere at all"), (5, "a"), (None, texts[2][:60])]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    want = collections.Counter()
+    n = collections.Counter(w for i, t, *_ in [*rows, rows[3], rows[3]] for w in words(t))
+    for item, text in items:
+        own = words(text)
+        terms = list(dict.fromkeys(w for _, _, w in sorted((n[w], k, w) for k, w in enumerate(own))))[:3]
+        for i, t, *_ in rows:
+            at = [(p, w) for p, w in enumerate(words(t)) if w in terms]
+            want[i] += bool(terms) and any({w for q, w in at if p <= q < p + len(own) * 3 // 2} == set(terms) for p, _ in at)
+    for most in (1 << 20, 3):  # terms sent to all tasks, or joined
+        got = {r.doc_id: r for r in decontam.contamination(df, frame, most_terms=most).collect()}
+        assert {i: got[i].n_near for i, *_ in rows} == {i: want[i] for i, *_ in rows}
+    assert sum(want.values()) > 5
 
 
 def test_sharding(docs):
