@@ -46,7 +46,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages are less than a twentieth."""
-    docs, back = _set_aside(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    docs, back = _set_aside(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
     return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("not contaminated").select(*back)
 
 
