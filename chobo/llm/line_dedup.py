@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chobo.llm import _names
+
 WINDOW = 3
 
 
@@ -18,36 +20,36 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
 
     Lines are parted by a line feed and compared as they are. Occurrences are ordered by id (null first), then by the
     text's hash, then by position; a row that repeats another's id and text counts as the same document, so neither
-    loses by the other. Windows of blank lines alone are no windows, and texts of fewer lines have none, so both
-    stay. Null texts stay null with no lines; an empty text has one line. Windows are compared by two 64-bit hashes.
-    Columns named as the results are replaced.
+    loses by the other. Windows of blank lines alone are no windows: they carry no text, and every document with two
+    blank lines between paragraphs would lose its layout. Texts of fewer lines than a window have none and stay. Null texts stay null with no lines; an empty text has one line. Windows are compared by two 64-bit hashes.
+    Columns may have any names; those named as the results are replaced.
 
     Counting is pre-aggregated before it is shuffled, and the one join on windows may be split where one is common.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_spans")]
-    base = docs.select(*names).withColumns({"__id": F.col(id_col), "__t": F.xxhash64(text_col), "__lines": F.split(text_col, "\n", -1)})
-    n = F.size("__lines")
-    at = lambda i, k: F.element_at(F.col("__lines"), i + k + 1)
-    cut = lambda i: F.struct(i.alias("pos"), F.xxhash64(*[at(i, k) for k in range(window)]).alias("h1"), F.xxhash64(F.lit(1), *[at(i, k) for k in reversed(range(window))]).alias("h2"), F.concat(*[at(i, k) for k in range(window)]).rlike(r"[^\x20\x09-\x0D]").alias("text"))
-    found = base.filter(n >= window).select("__id", "__t", F.explode(F.transform(F.sequence(F.lit(0), n - window), cut)).alias("w"))
-    found = found.filter("w.text").select("__id", "__t", "w.pos", "w.h1", "w.h2")
-    first = found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("__id", "__t", "pos")).alias("first")).filter("times > 1").drop("times")
-    later = found.join(first, ["h1", "h2"]).filter(~F.struct("__id", "__t", "pos").eqNullSafe(F.col("first"))).select("__id", "__t", "pos").distinct()
-    w = Window.partitionBy("__id", "__t").orderBy("pos")
+    text = _names.col(text_col)
+    base, names = _names.packed(docs, ["n_lines", "n_removed", "n_spans"], id=_names.col(id_col), t=F.xxhash64(text), text=text, lines=F.split(text, "\n", -1))
+    n = F.size("lines")
+    at = lambda i, k: F.element_at(F.col("lines"), i + k + 1)
+    cut = lambda i: F.struct(i.alias("pos"), F.xxhash64(*[at(i, k) for k in range(window)]).alias("h1"), F.xxhash64(F.lit(1), *[at(i, k) for k in reversed(range(window))]).alias("h2"), F.concat(*[at(i, k) for k in range(window)]).rlike(r"[^\x20\x09-\x0D]").alias("full"))
+    found = base.filter(n >= window).select("id", "t", F.explode(F.transform(F.sequence(F.lit(0), n - window), cut)).alias("w"))
+    found = found.filter("w.full").select("id", "t", "w.pos", "w.h1", "w.h2")
+    first = found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("id", "t", "pos")).alias("first")).filter("times > 1").drop("times")
+    later = found.join(first, ["h1", "h2"]).filter(~F.struct("id", "t", "pos").eqNullSafe(F.col("first"))).select("id", "t", "pos").distinct()
+    w = Window.partitionBy("id", "t").orderBy("pos")
     runs = later.withColumn("new", (F.col("pos") >= F.lag("pos", 1, -window - 1).over(w) + window + 1).cast("int")).withColumn("run", F.sum("new").over(w))
-    runs = runs.groupBy("__id", "__t", "run").agg(F.min("pos").alias("a"), (F.max("pos") + window).alias("b"))
-    spans = runs.groupBy("__id", "__t").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("__spans")).withColumnsRenamed({"__id": "__i", "__t": "__u"})
-    joined = base.join(spans, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__u")), "left")
-    begins = F.concat(F.array(F.lit(0)), F.transform("__spans", lambda s: s.b))
-    ends = F.concat(F.transform("__spans", lambda s: s.a), F.array(n))
-    kept = F.flatten(F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda g: F.slice("__lines", g.a + 1, g.b - g.a)))
-    hit = F.col("__spans").isNotNull()
-    removed = F.aggregate("__spans", F.lit(0), lambda s, x: s + x.b - x.a)
+    runs = runs.groupBy("id", "t", "run").agg(F.min("pos").alias("a"), (F.max("pos") + window).alias("b"))
+    spans = runs.groupBy("id", "t").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")).withColumnsRenamed({"id": "i", "t": "u"})
+    joined = base.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u")), "left")
+    begins = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s.b))
+    ends = F.concat(F.transform("spans", lambda s: s.a), F.array(n))
+    kept = F.flatten(F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda g: F.slice("lines", g.a + 1, g.b - g.a)))
+    hit = F.col("spans").isNotNull()
+    removed = F.aggregate("spans", F.lit(0), lambda s, x: s + x.b - x.a)
     return joined.select(
-        *[F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(text_col)).alias(text_col) if c == text_col else F.col(c) for c in names],
-        F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
+        *[F.when(hit, F.array_join(kept, "\n")).otherwise(F.col("text")).alias(c) if c == text_col else _names.field(c).alias(c) for c in names],
+        F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
         F.when(hit, removed).otherwise(0).cast("long").alias("n_removed"),
-        F.when(hit, F.size("__spans")).otherwise(0).cast("long").alias("n_spans"),
+        F.when(hit, F.size("spans")).otherwise(0).cast("long").alias("n_spans"),
     )
 
 

@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chobo.llm import _text
+from chobo.llm import _names, _text
 from chobo.llm._keys import FLUSH, Sums, blobs, merged, pack, unpack
 from chobo.llm._store import drop, map_array, shared_dir, stage, write_array
 
 END = np.uint64(0x5851F42D4C957F2D)
 U32 = np.uint64(32)
+PART_BYTES = 32 << 20
+"""Bytes of text for each part of a model of order 2, about; one of order 3 has parts half as large."""
 
 
 def _with_end(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,8 +233,9 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     if order not in (2, 3):
         raise ValueError("order must be 2 or 3")
     folder = shared_dir(docs.sparkSession)
-    texts = docs.select(F.col(text_col).alias("text"))
-    parts = 1 << max(3, math.ceil(math.log2(max(1, texts.rdd.getNumPartitions()))) + order - 2)
+    texts = docs.select(_names.col(text_col).alias("text"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = 1 << max(3, math.ceil(math.log2(max(1, size / PART_BYTES))) + order - 2)
     m = Model(folder, parts, order=order)
     blob = "part int, keys binary, counts binary"
 
@@ -252,13 +255,21 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
         p = key[0].as_py()
         write_array(f"{folder}/model/words-{p}", keys)
         write_array(f"{folder}/model/counts-{p}", counts)
-        top = np.argsort(-counts, kind="stable")[:64]
-        return pa.table({"part": [p], "n": [len(keys)], "tokens": [int(counts.sum())], "top": [top.tolist()], "times": [counts[top].tolist()]})
+        return pa.table({"part": [p], "n": [len(keys)], "tokens": [int(counts.sum())]})
 
-    found = {r.part: r for r in texts.mapInArrow(count_words, blob).groupBy("part").applyInArrow(store_words, "part long, n long, tokens long, top array<long>, times array<long>").collect()}
+    found = {r.part: r for r in texts.mapInArrow(count_words, blob).repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(store_words, "part long, n long, tokens long").collect()}
     m.words = np.cumsum([0, *(found[p].n if p in found else 0 for p in range(parts))]).tolist()
     m.tokens = sum(r.tokens for r in found.values())
-    hot = [i + m.words[p] for p, r in found.items() for i, t in zip(r.top, r.times, strict=True) if t * parts * 8 > m.tokens]
+
+    def hot_words(batches):
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                if p in found:
+                    some = np.flatnonzero(map_array(f"{folder}/model/counts-{p}", np.int64) * (parts * 8) > m.tokens)
+                    yield pa.RecordBatch.from_arrays([pa.array(some + m.words[p])], names=["word"])
+
+    # words with more than an eighth of a part's share: of these there are fewer than 8 * parts
+    hot = [r.word for r in docs.sparkSession.range(0, parts, 1, min(parts, 64)).mapInArrow(hot_words, "word long").collect()]
     m.hot = np.array(sorted([*hot, m.n_words]), np.uint64)
     if m.n_words >= 1 << 32:
         raise ValueError("more than 2**32 words: a bigram is no longer one 64-bit key")
@@ -302,7 +313,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
 
     # every part has its arrays, also one in which no bigram falls
     empty = docs.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"), *[F.lit(b"").alias(c) for c in ("keys", "counts")])
-    pairs = texts.mapInArrow(count_pairs, blob).union(empty).groupBy("part")
+    pairs = texts.mapInArrow(count_pairs, blob).union(empty).repartitionById(parts, F.col("part")).groupBy("part")
     if order == 3:
         found = {r.part: r for r in pairs.applyInArrow(store_pairs, "part long, n long, texts long").collect()}
         m.places = np.cumsum([0, *(found[p].n for p in range(parts))]).tolist()
@@ -346,7 +357,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
         repeats = [(int(i), of[part == i], what[:, part == i]) for i in np.unique(part)]
         return sums_of(p, have, before, repeats, more)
 
-    counted = pairs.applyInArrow(store_pairs, sums_schema) if order == 2 else texts.mapInArrow(count_triples, blob).union(empty).groupBy("part").applyInArrow(store_triples, sums_schema)
+    counted = pairs.applyInArrow(store_pairs, sums_schema) if order == 2 else texts.mapInArrow(count_triples, blob).union(empty).repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(store_triples, sums_schema)
     sums = stage(counted, folder, "sums")
     seen = sums.filter("part = -1").agg(*[F.coalesce(F.sum(F.col("seen")[i]), F.lit(0)) for i in range(5 if order == 2 else 12)]).first()
     m.pairs, m.discounts = seen[0], _discounts(seen[1:5])
@@ -403,17 +414,18 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     Tokens are words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) and one end. n_known: tokens seen in training.
     base_score: the log10 probability by add-one counts; score: by the model; perplexity: 10 ** (-score / n_tokens).
     Null and empty texts are an end alone. Words that training had not share one unknown word; after one of them the
-    lower orders alone count. Untrained, every word is as likely. Columns named as the results are replaced.
+    lower orders alone count. Untrained, every word is as likely. Columns may have any
+    names; those named as the results are replaced.
     """
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
-    names = [c for c in docs.columns if c not in new]
+    rows, names = _names.packed(docs, new, text=_names.col(text_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m, reader = shared.value, None
-        for batch in _text.pieces(batches, "__text", _text.BATCH_BYTES // (1 if m.order == 2 else 4)):
+        for batch in _text.pieces(batches, "text", _text.BATCH_BYTES // (1 if m.order == 2 else 4)):
             reader = reader or _Reader(m)
-            _, _, h, first = _text.words(*_text.utf8(batch.column(len(names))))
+            _, _, h, first = _text.words(*_text.utf8(batch.column(1)))
             h, first = _with_end(h, first)
             row = _text.rows_of(first)
             before, token, counts = _sequences(reader, h, first)
@@ -458,7 +470,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 p[seen] += (c - _discount(c, m.top_discounts)) / top[seen]
             size = np.diff(first)
             s = np.bincount(row, weights=np.log10(p), minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(size), pa.array(np.bincount(row[counts > 0], minlength=batch.num_rows)), pa.array(np.full(batch.num_rows, m.tokens)), pa.array(np.bincount(row, weights=base, minlength=batch.num_rows)), pa.array(s), pa.array(10.0 ** np.minimum(-s / size, 300))], names=[*names, *new])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(np.bincount(row[counts > 0], minlength=batch.num_rows)), pa.array(np.full(batch.num_rows, m.tokens)), pa.array(np.bincount(row, weights=base, minlength=batch.num_rows)), pa.array(s), pa.array(10.0 ** np.minimum(-s / size, 300))], names=["row", *new])
 
-    kinds = ", ".join(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(run, kinds + ", n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    results = "n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    return _names.unpacked(rows.mapInArrow(run, _names.with_fields(rows, ["row"], results)), names, *new)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chobo.llm import _text
+from chobo.llm import _names, _text
 
 BITS = 18
 MOST_ROWS = 16_384
@@ -42,12 +42,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     by all tasks; the updates, which are sequential, run in one task over about ``most_rows`` rows in the order of
     their hashed ids. Without labelled rows all weights are 0 and every score is 0.5.
     """
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(label_col).cast("int").alias("__y"))
+    known = labels.filter(_names.col(label_col).isNotNull() & _names.col(id_col).isNotNull()).groupBy(_names.col(id_col).cast("long").alias("__id")).agg(F.min(_names.col(label_col)).cast("int").alias("__y"))
     n = known.count()
-    parts = 1 << 20
+    parts = 1 << 40
     some = known if n <= most_rows else known.filter(F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(parts)) < int(parts * most_rows / n))
     # at most about most_rows rows of two numbers
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(some), "__id")
+    rows = docs.select(_names.col(id_col).cast("long").alias("__id"), _names.col(text_col).alias("text")).join(F.broadcast(some), "__id")
     rows = rows.select(F.xxhash64("__id", F.lit(12)).alias("o"), F.col("__y").alias("y"), "text")
 
     def featurise(batches):
@@ -86,18 +86,17 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with score (0 to 1, higher for label 1) and predicted (1 if score >= threshold, else 0).
 
-    Null and empty texts have no features: their score is that of the bias alone. Columns named as the results are
-    replaced. Every row is scored on its own, whole text.
+    Null and empty texts have no features: their score is that of the bias alone. Columns may have any
+    names; those named as the results are replaced. Every row is scored on its own, whole text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    rows, names = _names.packed(docs, ["score", "predicted"], text=_names.col(text_col))
 
     def run(batches):
         m = shared.value
-        for batch in _text.pieces(batches, "__text"):
-            row, bucket, value = _rows(*_text.utf8(batch.column(len(names))), m.bits)
+        for batch in _text.pieces(batches, "text"):
+            row, bucket, value = _rows(*_text.utf8(batch.column(1)), m.bits)
             s = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=m.weights[bucket] * value, minlength=batch.num_rows) + m.bias, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["row", "score", "predicted"])
 
-    kinds = ", ".join(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(run, kinds + ", score double, predicted int")
+    return _names.unpacked(rows.mapInArrow(run, _names.with_fields(rows, ["row"], "score double, predicted int")), names, "score", "predicted")

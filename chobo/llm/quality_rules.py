@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chobo.llm import _text
+from chobo.llm import _names, _text
 
 BITS = 16
 TRUST = 0.05
@@ -38,9 +38,9 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     A task adds up its own counts: at most 2**bits rows leave it, and the sums that reach the driver are that many.
     Without trusted text every ratio is 0. Trusted ids are broadcast while they are few enough.
     """
-    ids = trusted.select(F.col(id_col).cast("long").alias("__id")).filter("__id is not null").distinct().withColumn("__t", F.lit(True))
+    ids = trusted.select(_names.col(id_col).cast("long").alias("__id")).filter("__id is not null").distinct().withColumn("__t", F.lit(True))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(ids, "__id", "left").select(F.coalesce("__t", F.lit(False)).alias("t"), "text")
+    rows = docs.select(_names.col(id_col).cast("long").alias("__id"), _names.col(text_col).alias("text")).join(ids, "__id", "left").select(F.coalesce("__t", F.lit(False)).alias("t"), "text")
 
     def run(batches):
         raw, good = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
@@ -97,22 +97,22 @@ def apply_rules(docs: DataFrame, ratios: Ratios, threshold: float = THRESHOLD, t
     Words are [^\\x20\\x09-\\x0D]+ as they are. base_failed: fewer than 20 words, or more than 30 % of them in repeated
     8-word windows. ratio: the mean log-likelihood ratio of the text's n-grams, 0 without any. kept: not base_failed
     and ratio >= threshold; every document is decided, none by chance. Null and empty texts have no words and fail.
-    Columns named as the results are replaced.
+    Columns may have any names; those named as the results are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept"]
-    names = [c for c in docs.columns if c not in new]
+    rows, names = _names.packed(docs, new, text=_names.col(text_col))
 
     def run(batches):
         r = shared.value
-        for batch in _text.pieces(batches, "__text"):
-            data, offsets = _text.utf8(batch.column(len(names)))
+        for batch in _text.pieces(batches, "text"):
+            data, offsets = _text.utf8(batch.column(1))
             x = _surface(data, offsets)
             failed = (x["n_words"] < LEAST_WORDS) | (100 * x["n_repeat_words"] > REPEAT_PERCENT * x["n_words"])
             row, bucket, count = _text.features(data, offsets, r.bits)
             n = np.bincount(row, weights=count, minlength=batch.num_rows)
             ratio = np.bincount(row, weights=r.log_ratio[bucket] * count, minlength=batch.num_rows) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(x[c].astype(np.int64)) for c in new[:5]), pa.array(failed), pa.array(ratio), pa.array(~failed & (ratio >= threshold))], names=[*names, *new])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[c].astype(np.int64)) for c in new[:5]), pa.array(failed), pa.array(ratio), pa.array(~failed & (ratio >= threshold))], names=["row", *new])
 
-    kinds = ", ".join(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(run, kinds + ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, kept boolean")
+    results = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, kept boolean"
+    return _names.unpacked(rows.mapInArrow(run, _names.with_fields(rows, ["row"], results)), names, *new)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chobo.llm import _text
+from chobo.llm import _names, _text
 from chobo.llm._store import shared_dir, stage
 
 CHUNK, OVERLAP, LIMIT = 65_536, 512, 512
@@ -108,22 +108,22 @@ def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
     path: a ``tokenizers`` file of a byte-level BPE, at the same place on every machine. Counts are those of the library
     for the whole text without begin, end or added special tokens; a special string inside a text counts as its
     default is, one token. Null and empty texts have 0. Rows are counted each on their own, repeated ones too. Texts
-    of more than chunk + overlap characters are spliced. Columns named as the results are replaced.
+    of more than chunk + overlap characters are spliced. Columns may have any names; those named as the results are
+    replaced.
     """
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
-    docs = docs.select(*names, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    long = F.coalesce(F.length(text_col), F.lit(0)) > chunk + overlap
-    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
+    text = _names.col(text_col)
+    docs, names = _names.packed(docs, ["n_bytes", "n_tokens", "over_limit"], n_bytes=F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), text=text)
+    long = F.coalesce(F.length("text"), F.lit(0)) > chunk + overlap
 
     def run(batches):
-        for batch in _text.pieces(batches, "__text", 1 << 20):
-            n = count_tokens(path, [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=[*names, "n_bytes", "n_tokens"])
+        for batch in _text.pieces(batches, "text", 1 << 20):
+            n = count_tokens(path, [t or "" for t in batch.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["row", "n_bytes", "n_tokens"])
 
-    usual = docs.filter(~long).withColumn("__text", F.col(text_col)).mapInArrow(run, kinds + ", n_tokens long")
+    usual = docs.filter(~long).mapInArrow(run, _names.with_fields(docs, ["row", "n_bytes"], "n_tokens long"))
     folder = shared_dir(docs.sparkSession)
     huge = stage(docs.filter(long).withColumn("__row", F.monotonically_increasing_id()), folder, "huge")
-    left, done, wide, k = huge.select("__row", F.col(text_col).alias("text")), None, overlap, 0
+    left, done, wide, k = huge.select("__row", "text"), None, overlap, 0
     while True:
         found = stage(_spliced(left, path, max(chunk, 2 * wide), wide), folder, f"spliced-{k}")
         good = found.filter("n_tokens is not null")
@@ -132,5 +132,5 @@ def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
         if failed.isEmpty():
             break
         left, wide, k = left.join(failed, "__row", "left_semi"), wide * 8, k + 1
-    out = usual.unionByName(huge.join(done, "__row").select(*names, "n_bytes", "n_tokens"))
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    out = usual.unionByName(huge.join(done, "__row").select("row", "n_bytes", "n_tokens"))
+    return _names.unpacked(out, names, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
