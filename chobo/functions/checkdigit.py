@@ -38,7 +38,7 @@ def is_valid_parsed(number: Column) -> Column:
 
 
 def is_registration_number(c: Column) -> Column:
-    return is_valid_parsed(registration_number(c))
+    return let(registration_number(c), is_valid_parsed)
 
 
 def corporate_number(twelve: Column) -> Column:

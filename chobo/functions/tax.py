@@ -33,6 +33,16 @@ def conventions(total: Column, included: Column) -> Column:
     return F.array_compact(F.array(*[F.when(expected_tax(total.subtotal, total.rate, included, r) == total.tax, r) for r in ROUNDINGS]))
 
 
+def _last_stated(totals: Column) -> Column:
+    """Of totals that state a rate twice, the last."""
+    return F.filter(totals, lambda t, k: k == F.array_max(F.transform(totals, lambda u, j: F.when(u.rate == t.rate, j))))
+
+
+def matched(totals: Column, included: Column) -> Column:
+    """map of each stated rate to the roundings that explain its tax."""
+    return F.map_from_entries(F.transform(_last_stated(totals), lambda t: F.struct(t.rate, conventions(t, included))))
+
+
 def check_tax(items: Column, totals: Column, grand_total: Column, included: Column) -> Column:
     """struct ok, errors (sorted codes), convention (roundings that explain every stated rate; may be empty).
 
@@ -42,7 +52,7 @@ def check_tax(items: Column, totals: Column, grand_total: Column, included: Colu
     """
     known = F.filter(items, lambda i: i.rate.isin(*RATES))
     stated = lambda r: F.element_at(F.filter(totals, lambda t: t.rate == r), -1)
-    last = F.filter(totals, lambda t, k: k == F.array_max(F.transform(totals, lambda u, j: F.when(u.rate == t.rate, j))))
+    last = _last_stated(totals)
     any_of = lambda test: F.coalesce(test, F.lit(False))
     errors = [F.when(any_of(F.exists(known, lambda i: i.quantity * i.unit_price != i.amount)), "line_amount_mismatch"), F.when(any_of(F.exists(items, lambda i: ~i.rate.isin(*RATES))), "unknown_rate")]
     at_rate = lambda rate: lambda x: x.rate == rate

@@ -92,6 +92,19 @@ def amounts_in(c: Column) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(x, "[^0-9]", "").cast("long"))
 
 
+def printed_values(g: dict[str, Column], style: Column) -> Column:
+    """Array of all texts that an invoice's page must show, in their order.
+
+    g: issuer_name, registration_number, address, recipient_name, invoice_number, printed_date, grand_total, items
+    (description, quantity, unit_price, amount), totals (rate, subtotal, tax). style: of format_yen.
+    """
+    amount = lambda n: format_yen(n, style)
+    head = [*(g[k] for k in ("issuer_name", "registration_number", "address", "recipient_name", "invoice_number", "printed_date")), amount(g["grand_total"])]
+    items = F.transform(g["items"], lambda i: F.array(i.description, i.quantity.cast("string"), amount(i.unit_price), amount(i.amount)))
+    totals = F.transform(g["totals"], lambda t: F.array(F.concat(t.rate.cast("string"), F.lit("%")), amount(t.subtotal), amount(t.tax)))
+    return F.concat(F.array(*head), F.flatten(items), F.flatten(totals))
+
+
 def printed_missing(values: Column, page: Column) -> Column:
-    """Those of an array of printed values that the page's text does not hold, both compared without white space."""
-    return F.filter(values, lambda v: ~F.contains(page, v))
+    """Those of an array of printed values that the page's text does not hold, both compared as NFKC without white space."""
+    return let(squeeze(nfkc(page)), lambda text: F.filter(values, lambda v: ~F.contains(text, squeeze(nfkc(v)))))

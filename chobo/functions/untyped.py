@@ -71,7 +71,7 @@ def whole(v: Column) -> Column:
 
 def _whole(v: Column) -> Column:
     k = kind(v)
-    return F.when(v.isNull() | F.is_variant_null(v) | (k == "BOOLEAN"), F.lit(None).cast("long")).when(k == "STRING", yen(F.try_variant_get(v, "$", "string"))).when(F.startswith(k, F.lit("ARRAY")) | F.startswith(k, F.lit("OBJECT")), yen(F.to_json(v))).otherwise(F.try_variant_get(v, "$", "double").try_cast("long"))
+    return F.when(v.isNull() | F.is_variant_null(v) | (k == "BOOLEAN"), F.lit(None).cast("long")).when(k == "STRING", yen(F.try_variant_get(v, "$", "string"))).when(F.startswith(k, F.lit("ARRAY")) | F.startswith(k, F.lit("OBJECT")), yen(F.to_json(v))).when(k == "BIGINT", F.try_variant_get(v, "$", "bigint")).otherwise(F.try_variant_get(v, "$", "double").try_cast("long"))
 
 
 def flag(v: Column) -> Column:
@@ -86,12 +86,21 @@ def first_object(c: Column) -> Column:
     """
     s = F.regexp_replace(c, "```(?:json)?", "")
     s = F.substring(s, F.nullif(F.locate("{", s), F.lit(0)), F.length(s))
-    closes = F.regexp_count(s, F.lit(r"\}"))
-    pieces = F.split(s, r"\}")
-    opens = lambda i: F.length(F.array_join(F.slice(pieces, 1, i), "")) - F.length(F.translate(F.array_join(F.slice(pieces, 1, i), ""), "{", ""))
-    end = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), closes)), lambda i: (opens(i) == i) & (i <= closes)))
-    body = F.concat(F.array_join(F.slice(pieces, 1, end), "}"), F.lit("}"))
-    return F.try_parse_json(F.when(end.isNotNull(), body))
+    return F.try_parse_json(let(F.split(s, r"\}"), _balanced))
+
+
+def _balanced(pieces: Column) -> Column:
+    """The text up to the brace that closes the first one, from its pieces between closing braces: one running sum."""
+    # open braces less closed ones, pieces seen, and after how many pieces the two were first as many
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
+
+    def add(a: Column, piece: Column) -> Column:
+        open_now = a.open + F.length(piece) - F.length(F.translate(piece, "{", "")) - 1
+        closed = (a.end == 0) & (open_now == 0) & (a.seen + 1 < F.size(pieces))
+        return F.struct(open_now.alias("open"), (a.seen + 1).alias("seen"), F.when(closed, a.seen + 1).otherwise(a.end).alias("end"))
+
+    body = lambda a: F.when(a.end > 0, F.concat(F.array_join(F.slice(pieces, F.lit(1), a.end), "}"), F.lit("}")))
+    return F.aggregate(pieces, start, add, body)
 
 
 __all__ = ["elements", "field", "first_object", "flag", "is_flag", "is_object", "is_text", "is_whole", "kind", "text", "truthy", "whole"]

@@ -24,10 +24,14 @@ def swapped_digits(registry: DataFrame) -> DataFrame:
 
 def classify(corrupted: DataFrame, registry: DataFrame) -> DataFrame:
     """corrupted rows with outcome: unchanged, check_digit (fails it), other_company (exists) or lookup (does not)."""
+    # few pass the check digit, and only these are looked up
+    first = F.when(F.col("corrupted") == F.col("reg_no"), "unchanged").when(~is_valid_parsed(F.col("corrupted")), "check_digit")
+    # made a column of its own by explode: a filter would else work it out anew for each digit that it reads
+    tested = corrupted.withColumn("corrupted", F.explode(F.array("corrupted"))).withColumn("outcome", first)
     real = registry.select(F.col("reg_no").alias("__real")).distinct()
-    joined = corrupted.join(real, F.col("corrupted") == F.col("__real"), "left")
-    outcome = F.when(F.col("corrupted") == F.col("reg_no"), "unchanged").when(~is_valid_parsed(F.col("corrupted")), "check_digit").when(F.col("__real").isNotNull(), "other_company").otherwise("lookup")
-    return joined.withColumn("outcome", outcome).drop("__real")
+    passed = tested.filter("outcome is null").join(real, F.col("corrupted") == F.col("__real"), "left")
+    passed = passed.withColumn("outcome", F.when(F.col("__real").isNotNull(), "other_company").otherwise("lookup")).drop("__real")
+    return tested.filter("outcome is not null").unionByName(passed)
 
 
 def anatomy(classified: DataFrame) -> DataFrame:

@@ -75,10 +75,6 @@ TOTAL = f"""SELECT id, rate, subtotal, {_TAX} + CASE WHEN issue = 'tax_total_wro
   (SELECT h.id, h.rounding, h.issue, t.rate, t.subtotal, t.subtotal * t.rate AS n, CASE WHEN h.included THEN 100 + t.rate ELSE 100 END AS d
    FROM ({HEAD}) h JOIN (SELECT id, rate, CAST(sum(amount) AS BIGINT) AS subtotal FROM ({ITEM}) item GROUP BY id, rate) t ON h.id = t.id) x"""
 
-#: How the prediction of an invoice differs from it (id % 17; 12 and more: not at all).
-FAULTS = {0: "none made", 1: "grand total", 2: "date", 3: "recipient", 4: "item amount", 5: "no JSON", 6: "number", 7: "grand total as text", 8: "short form of name", 9: "era date", 10: "flag as text", 11: "full-width number"}
-
-
 def flat(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A flat table in Spark."""
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql})

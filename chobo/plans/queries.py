@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chobo.functions import checkdigit, dates, tax, text
 from chobo.functions.untyped import first_object
-from chobo.operators import boxes, corruption, evaluation, registry, scoring, verification_eval, verify
+from chobo.operators import boxes, corruption, evaluation, generator, registry, scoring, verification_eval, verify
 from chobo.plans import adapter as A
 from chobo.plans import oracle as O
 from chobo.sources import readers
@@ -203,7 +203,8 @@ def _as_read(spark, d):
 def q_schema_errors(spark, d):
     g = A.gold(spark, d)
     s = evaluation.last_wins(A.predictions(g).select("id", "parsed", "ordinal"), "id", ["ordinal"]).withColumnRenamed("id", "invoice_id")
-    return g.select("id", "invoice_id").join(s, "invoice_id", "left").select("id", _joined(verify.schema_errors(F.col("parsed"))).alias("errors"))
+    s = g.select("id", "invoice_id").join(s, "invoice_id", "left")
+    return verify.layer_reasons(s, None, look=False, tax=False).select("id", _joined("by_schema").alias("errors"))
 
 
 _GOLD_READ = "99"
@@ -423,16 +424,141 @@ def q_issuer_vote(spark, d):
 
 @query(_with("SELECT id, CASE WHEN id % 9 = 0 THEN reg_no ELSE '' END AS missing FROM head"))
 def q_alignment_missing(spark, d):
-    """Printed values that the page's text lacks; every ninth page lacks the number."""
+    """Printed values that the page's text lacks, of all that it must show; every ninth page lacks the number."""
     g = A.gold(spark, d)
-    values = F.array("issuer.name", "issuer.registration_number", "issue_date", "recipient.name", "invoice_number", F.format_number("grand_total", 0))
-    shown = F.when(F.col("id") % 9 == 0, F.filter(values, lambda v: v != F.col("issuer.registration_number"))).otherwise(values)
-    s = g.select("id", F.transform(values, lambda v: v).alias("v"), text.squeeze(text.nfkc(text.full_width(F.array_join(shown, " \n ")))).alias("page"))
-    s = s.select("id", F.transform("v", lambda v: F.regexp_replace(v, r"\s", "")).alias("v"), "page")
+    shown = {"issuer_name": F.col("issuer.name"), "registration_number": F.col("issuer.registration_number"), "address": F.concat(F.lit("東京都"), F.col("id").cast("string")), "recipient_name": F.col("recipient.name"), "printed_date": dates.format_date(F.col("issue_date"), (F.col("id") % 6).cast("int")), **{k: F.col(k) for k in ("invoice_number", "grand_total", "items", "totals")}}
+    s = g.select("id", "issuer", text.printed_values(shown, (F.col("id") % 4).cast("int")).alias("v"))
+    page = F.when(F.col("id") % 9 == 0, F.filter("v", lambda v: v != F.col("issuer.registration_number"))).otherwise(F.col("v"))
+    s = s.withColumn("page", text.full_width(F.array_join(page, " \n ")))
     return s.select("id", _joined(text.printed_missing(F.col("v"), F.col("page"))).alias("missing"))
 
 
-@query(_with("SELECT template, layout, coalesce(issue, '') AS issue, count(*) AS n, count(*) FILTER (seal_overlap) AS seal_overlap, count(*) FILTER (issue IS NULL AND NOT coalesce(e.mismatch, false)) AS clean_tax_ok FROM head h LEFT JOIN explained e ON h.id = e.id GROUP BY 1, 2, 3"))
-def q_generator_summary(spark, d):
-    g = A.gold(spark, d).withColumns({"issue": F.coalesce(F.get("document_issues", F.lit(0)), F.lit("")), "t": tax.check_tax(F.col("items"), F.col("totals"), F.col("grand_total"), F.col("tax_included"))})
-    return g.groupBy("template", "layout", "issue").agg(F.count("*").alias("n"), F.count_if("seal_overlap").alias("seal_overlap"), F.count_if((F.col("issue") == "") & F.col("t.ok")).alias("clean_tax_ok"))
+@query(_with("SELECT id, string_agg(v, '|' ORDER BY k, i, j) AS printed FROM ("
+    "SELECT id, 0 AS k, 0 AS i, unnest(range(4)) AS j, unnest([issuer_name, reg_no, recipient, format('{:,}', grand_total)]) AS v FROM head JOIN grand USING (id) UNION ALL "
+    "SELECT id, 1, i, unnest(range(4)), unnest([description, quantity::VARCHAR, format('{:,}', unit_price), format('{:,}', amount)]) FROM item WHERE id IN (SELECT id FROM head) UNION ALL "
+    "SELECT id, 2, -rate, unnest(range(3)), unnest([rate::VARCHAR || '%', format('{:,}', subtotal), format('{:,}', tax)]) FROM total) x GROUP BY id"))
+def q_printed_values(spark, d):
+    """All texts of a page but address, number and day, in their order."""
+    g = A.gold(spark, d)
+    none = F.lit("")
+    shown = {"issuer_name": F.col("issuer.name"), "registration_number": F.col("issuer.registration_number"), "address": none, "recipient_name": F.col("recipient.name"), "invoice_number": none, "printed_date": none, **{k: F.col(k) for k in ("grand_total", "items", "totals")}}
+    return g.select("id", _joined(F.filter(text.printed_values(shown, F.lit(3)), lambda v: v != "")).alias("printed"))
+
+
+@query(_with("SELECT id, CASE id % 4 WHEN 1 THEN s WHEN 2 THEN CASE WHEN s <> '' THEN '' ELSE concat_ws('|', m, t) END ELSE CASE WHEN s <> '' THEN s ELSE concat_ws('|', c, r, m, t) END END AS reasons FROM parts", O.verdicts(_GOLD_READ)))
+def q_verify_asked(spark, d):
+    """Verification with the layers that each request asks for."""
+    asked = F.when(F.col("id") % 4 == 1, F.array(F.lit("schema"))).when(F.col("id") % 4 == 2, F.array(F.lit("tax"), F.lit("name"), F.lit("colour"))).when(F.col("id") % 4 == 3, F.array(F.lit("colour")))
+    return verify.verify_asked(_as_read(spark, d).withColumn("layers", asked), A.registry(spark, d)).select("id", _joined("reasons").alias("reasons"))
+
+
+@query(_with("SELECT id, string_agg(CAST(rate AS VARCHAR) || ':' || concat_ws(',', CASE WHEN tax = num // den THEN 'floor' END, CASE WHEN tax = (2 * num + den) // (2 * den) THEN 'half_up' END, CASE WHEN tax = (num + den - 1) // den THEN 'ceil' END), '|' ORDER BY rate DESC) AS matched FROM stated GROUP BY id"))
+def q_tax_matched(spark, d):
+    """The roundings that explain each stated rate."""
+    s = A.gold(spark, d).filter(F.size("totals") > 0).select("id", F.map_entries(tax.matched(F.col("totals"), F.col("tax_included"))).alias("m"))
+    return s.select("id", _joined(F.transform("m", lambda e: F.concat(e.key.cast("string"), F.lit(":"), F.array_join(e.value, ",")))).alias("matched"))
+
+
+# ---- fictitious issuers and invoices
+
+
+def _draw(key: str, salt: str, n) -> str:
+    return f"(('0x' || substr(md5('{salt}:' || {key}), 1, 12))::BIGINT % {n})"
+
+
+def _pick(key: str, salt: str, values) -> str:
+    return f"([{', '.join(repr(v) for v in values)}])[{_draw(key, salt, len(values))} + 1]"
+
+
+def _minted(keys: str, taken: str, salt: str) -> str:
+    """key, reg_no: of four proposals the first that is not taken."""
+    twelve = f"(({_draw('p', salt + '-a', 9)} + 1)::VARCHAR || lpad({_draw('p', salt + '-b', 10**11)}::VARCHAR, 11, '0'))"
+    return f"SELECT key, arg_min('T' || n13, attempt) AS reg_no FROM (SELECT key, attempt, CAST({O.digit_of(chr(39) + '??' + chr(39) + ' || w')} AS VARCHAR) || w AS n13 FROM (SELECT key, attempt, {twelve} AS w FROM (SELECT key, attempt, key || '/' || attempt AS p FROM ({keys}) k, (SELECT unnest(range(4)) AS attempt)) a) b) c WHERE 'T' || n13 NOT IN ({taken}) GROUP BY key"
+
+
+_CUSTOMERS = "SELECT c_custkey::VARCHAR AS key FROM customer"
+_ISSUERS = f"""SELECT n.key, n.reg_no, CASE WHEN {_draw('n.key', 'rounding', 100)} < 50 THEN 'floor' WHEN {_draw('n.key', 'rounding', 100)} < 85 THEN 'half_up' ELSE 'ceil' END AS rounding,
+  {_draw('n.key', 'seal', 100)} < 70 AS seal, {_pick('n.key', 'registered', generator.FIRST_DAYS)} AS registered,
+  {_pick('n.key', 'place', generator.PLACES)} || ({_draw('n.key', 'chome', 9)} + 1) || '丁目' || ({_draw('n.key', 'ban', 30)} + 1) || '番' || ({_draw('n.key', 'go', 20)} + 1) || '号' AS address,
+  {_pick("n.key || '/0'", 'name-f', generator.FORMS)} || '架空' || {_draw("n.key || '/0'", 'name-n', 10**9)} || {_pick("n.key || '/0'", 'name-t', generator.TRADES)} AS name
+  FROM ({_minted(_CUSTOMERS, 'SELECT reg_no FROM registry', 'number')}) n"""
+
+
+def _customers(spark, d, table="customer", key="c_custkey"):
+    return spark.read.parquet(f"{d}/{table}.parquet").select(F.col(key).cast("string").alias("key"))
+
+
+@query(_with(f"SELECT key, reg_no FROM ({_minted(_CUSTOMERS, 'SELECT reg_no FROM registry', 'number')}) m"))
+def q_mint_numbers(spark, d):
+    return generator.mint_numbers(_customers(spark, d), A.registry(spark, d))
+
+
+@query(_with(_ISSUERS))
+def q_issuers(spark, d):
+    return generator.build_issuers(_customers(spark, d), A.registry(spark, d)).select("key", "reg_no", "rounding", "seal", "registered", "address", "name")
+
+
+_SUPPLIERS = "SELECT s_suppkey::VARCHAR AS key FROM supplier"
+_DECOYS = f"""SELECT key, reg_no, CASE WHEN {_draw('key', 'process', 100)} < 85 THEN '01' WHEN {_draw('key', 'process', 100)} < 94 THEN '03' ELSE '04' END AS process FROM ({_minted(_SUPPLIERS, 'SELECT reg_no FROM registry UNION ALL SELECT reg_no FROM issuer', 'decoy')}) m"""
+_MADE = f"issuer AS ({_ISSUERS}), decoy AS ({_DECOYS})"
+
+
+def _made(spark, d):
+    issuers = generator.build_issuers(_customers(spark, d), A.registry(spark, d))
+    return generator.build_registry(issuers, _customers(spark, d, "supplier", "s_suppkey"), A.registry(spark, d))
+
+
+@query(_with(f"""SELECT reg_no, '01' AS process, registered, '' AS revoked, '' AS expired FROM issuer UNION ALL
+  SELECT reg_no, process, {_pick('key', 'decoy-day', ('2023-10-01', '2024-04-01'))}, CASE WHEN process = '04' THEN {_pick('key', 'revoked', ('2025-06-30', '2026-01-31'))} ELSE '' END, CASE WHEN process = '03' THEN {_pick('key', 'expired', ('2025-03-31', '2026-03-31'))} ELSE '' END FROM decoy""", _MADE))
+def q_generated_registry(spark, d):
+    return _made(spark, d).select("reg_no", "process", "registered", "revoked", "expired")
+
+
+@query(_with("SELECT (SELECT count(*) FROM (SELECT reg_no FROM issuer UNION SELECT reg_no FROM decoy UNION SELECT reg_no FROM registry)) AS in_either, (SELECT count(*) FROM ((SELECT reg_no FROM issuer UNION ALL SELECT reg_no FROM decoy) INTERSECT SELECT reg_no FROM registry)) AS in_both", _MADE))
+def q_generated_overlap(spark, d):
+    return generator.overlap(_made(spark, d), A.registry(spark, d))
+
+
+@query(_with(f"""SELECT id, arg_min(r.reg_no, [lpad(probe::VARCHAR, 3, '0'), md5(id || r.reg_no)]) AS decoy FROM
+  (SELECT h.id, h.true_number, h.issue_date, p.probe, b.n, ({_draw('h.id::VARCHAR', 'decoy', 'b.n')} + p.probe) % b.n AS bucket FROM head h, (SELECT unnest(range(3)) AS probe) p, (SELECT greatest(1, count(*) // 16) AS n FROM registry WHERE process = '01') b WHERE p.probe < b.n) a
+  JOIN registry r ON r.process = '01' AND {_draw('r.reg_no', 'bucket', 'a.n')} = a.bucket AND r.reg_no <> a.true_number AND r.registered <= a.issue_date GROUP BY id"""))
+def q_decoys(spark, d):
+    """Another company for every invoice, registered by its day."""
+    return generator.other_company(_head(spark, d).select("id", F.col("true_number").alias("reg_no"), "issue_date"), A.registry(spark, d)).select("id", "decoy")
+
+
+@query(_with(f"""SELECT id, rate, usable[{_draw("id || '-' || rate", 'wrong-tax', 'len(usable)')} + 1] AS tax FROM (SELECT id, rate, list(x ORDER BY k) AS usable FROM
+  (SELECT stated.*, k, tax + o AS x FROM stated, (SELECT unnest({[*generator.OFFSETS]}) AS o, unnest(range({len(generator.OFFSETS)})) AS k) near) c
+  WHERE x >= 0 AND x <> num // den AND x <> (2 * num + den) // (2 * den) AND x <> (num + den - 1) // den GROUP BY id, rate) u"""))
+def q_wrong_tax(spark, d):
+    """A tax that no rounding explains, for every stated rate."""
+    s = A.flat(spark, d, A.TOTAL).join(_head(spark, d).select("id", "included"), "id")
+    key = F.concat(F.col("id").cast("string"), F.lit("-"), F.col("rate").cast("string"))
+    return s.select("id", "rate", generator.wrong_tax(key, F.col("subtotal"), F.col("rate"), F.col("included"), F.col("tax")).alias("tax"))
+
+
+@query(_with("SELECT issue, count(*) AS n, count(*) AS numbers_as_meant, count(*) AS totals_as_meant FROM head GROUP BY issue"))
+def q_generated_invoices(spark, d):
+    """Invoices made for every order: by kind of issue, how many have the number and the totals that it asks for."""
+    reg = _made(spark, d)
+    issuers = generator.build_issuers(_customers(spark, d), A.registry(spark, d))
+    orders = A.gold(spark, d).join(_head(spark, d).select("id", F.col("k").cast("string").alias("issuer_key"), "issue"), "id").select("id", F.col("issuer_key").alias("issuer"), "issue_date", "issue", "items")
+    s = generator.make_invoices(orders, issuers, reg).withColumnRenamed("reg_no", "number")
+    s = registry.look_up(s.withColumn("valid", checkdigit.is_valid_parsed(F.col("number"))), reg, "number", "issue_date")
+    known, issue = F.col("registry_status"), F.coalesce("issue", F.lit(""))
+    as_meant = F.when(issue == "reg_no_check_digit", ~F.col("valid")).when(issue == "reg_no_unregistered", F.col("valid") & (known == "not_found")).when(issue == "reg_no_revoked", known == "revoked").when(issue == "reg_no_other_company", (known == "valid") & (F.col("number") != F.col("true_number"))).otherwise(F.col("number") == F.col("true_number"))
+    errors = tax.check_tax(F.col("items"), F.col("totals"), F.col("grand_total"), F.col("tax_included")).getField("errors")
+    expected = F.when((issue == "tax_total_wrong") & (F.size("items") > 0), F.array(F.lit("tax_mismatch"))).otherwise(F.expr("cast(array() as array<string>)"))
+    return s.groupBy("issue").agg(F.count("*").alias("n"), F.count_if(as_meant).alias("numbers_as_meant"), F.count_if(errors == expected).alias("totals_as_meant"))
+
+
+@query(_with("SELECT reg_no FROM registry ORDER BY md5('sample:' || reg_no), reg_no LIMIT 100"))
+def q_exact_sample(spark, d):
+    """A hundred numbers without replacement, for the study of corrupted ones."""
+    return generator.exact_sample(A.registry(spark, d).select("reg_no"), "reg_no", 100)
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50")
+def q_prefix(spark, d):
+    """The first fifty by ordinal."""
+    return readers.prefix(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), 50, "o_orderkey")
