@@ -37,9 +37,9 @@ MOST_WINDOWS = 64
 """Windows in one cut string, at most: strings stay short however a text repeats itself."""
 HOT = 50_000
 """Minimizers of more documents than this are split: their windows are strings of their own."""
-HOLD = 1 << 20
+HOLD = 1 << 18
 """Strings that a task holds before it sends them on."""
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 """Bytes of text for each part, about."""
 SEGMENT = 1 << 17
 """Bytes that are hashed at once: their arrays stay in the processor's cache."""
@@ -309,14 +309,20 @@ def _least_ids(data: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int,
     data, window, doc, size = _gather(data, at[by], size[by]), (np.cumsum(size - length + 1) - (size - length + 1))[by], doc[by], size[by]
     path = suffix_transform(data, np.r_[0, np.cumsum(size)], f"{folder}/{uuid.uuid4().hex}")
     group = _groups(path, length, len(data) + len(size))
-    low = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
     out = np.empty(int((size - length + 1).sum()), group.dtype)
+    whose = np.empty(len(out), np.int32 if len(size) < 1 << 31 else np.int64)
     for n, place in read_back(path, size):
         if n >= length:
-            own = group[place]
-            out[window[: len(place)] + size[: len(place)] - n] = own
-            np.minimum.at(low, own, doc[: len(place)])
+            at = window[: len(place)] + size[: len(place)] - n
+            out[at], whose[at] = group[place], np.arange(len(place))
     remove(path)
+    # groups of whole windows only: most places are suffixes too short for one
+    held = np.zeros(int(group[-1]) + 1, bool)
+    held[out] = True
+    np.cumsum(held, out=group[: len(held)])
+    out = group[out] - 1
+    low = np.full(int(out.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(low, out, doc[whose])
     return low[out]
 
 
