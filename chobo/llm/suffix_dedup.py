@@ -43,8 +43,10 @@ PART_BYTES = 16 << 20
 """Bytes of text for each part, about."""
 SEGMENT = 1 << 17
 """Bytes that are hashed at once: their arrays stay in the processor's cache."""
-BLOCK = 1 << 16
+BLOCK = 1 << 17
 """Records of a transform that are in memory at once."""
+LOW_BITS = 2
+"""Without these low bits a place in a block has 16."""
 DONE = 0xFF
 """Marks a suffix that no symbol comes before; no byte of UTF-8."""
 BYTES = np.arange(256, dtype=np.uint8)
@@ -162,7 +164,7 @@ def _pairs(symbol: np.ndarray, common: np.ndarray, fresh: np.ndarray, piles: _Pi
     if len(inner):
         low, high = order[k[inner] - 1] + 1, order[k[inner]] + 1
         # from the last to the first: what lies between one range and the next is then empty
-        by = np.argsort((0xFFFF - np.minimum(low, 0xFFFF)).astype(np.uint16), kind="stable")
+        by = np.argsort((0xFFFF - (low >> LOW_BITS)).astype(np.uint16), kind="stable")
         ends = np.stack((low[by], high[by]), 1).ravel()
         value[inner[by]] = np.minimum.reduceat(np.append(common, np.uint8(255)), ends)[::2] + np.uint8(1)
     for i in np.flatnonzero(opening & (piles.seen[c] > 0)).tolist():
