@@ -51,11 +51,26 @@ def scratch(spark: SparkSession):
             drop(spark, *path.rsplit("/", 1))
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+"""A session setting: the files of a query's shuffles are deleted as soon as it has ended."""
+
+
 def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below ``folder`` and read it back: lineage ends there."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet below ``folder`` and read it back: lineage ends there.
+
+    What was shuffled for it is not read again, so its files go at once and do not add up over an operator's stages.
+    """
+    path, spark = f"{folder}/{name}", df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, folder: str, name: str) -> None:
