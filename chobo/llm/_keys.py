@@ -55,9 +55,10 @@ class Sums:
 
 
 def blobs(keys, counts, part):
-    """A record batch with a row for each part that has keys."""
+    """A record batch with a row for each part that has keys. Counts have four bytes, or eight where one needs them."""
     order = np.argsort(part, kind="stable")
-    part, keys, counts = part[order], keys[order], counts[order].astype(np.uint32)
+    part, keys = part[order], keys[order]
+    counts = counts[order].astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64)
     at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
     to = np.r_[at[1:], len(part)]
     return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array([pack(keys[a:b]) for a, b in zip(at, to, strict=False)], pa.binary()), pa.array([pack(counts[a:b]) for a, b in zip(at, to, strict=False)], pa.binary())], names=["part", "keys", "counts"])
@@ -65,5 +66,5 @@ def blobs(keys, counts, part):
 
 def merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys = [unpack(k.as_py(), np.uint64) for k in table.column("keys")]
-    counts = [unpack(c.as_py(), np.uint32) for c in table.column("counts")]
-    return add_up(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
+    counts = [unpack(c.as_py(), np.uint64 if len(c.as_py()) > 4 * len(k) else np.uint32).astype(np.int64) for k, c in zip(keys, table.column("counts"), strict=True)]
+    return add_up(np.concatenate(keys), np.concatenate(counts))

@@ -6,8 +6,8 @@ by 64-bit hashes and numbered by their place in the vocabulary, so a bigram is o
 their first word, those of very common first words by the whole bigram. Workers map all arrays into memory and score
 whole texts; the files, not the heap, grow with the corpus.
 
-A trigram is the number of its last two words' bigram and its first word, again one 64-bit key. It is stored with that
-bigram, so what precedes a bigram is counted where it lies. Of a trigram's first two words only the repeated trigrams
+A trigram is the number of its last two words' bigram, counted from the first of a run of parts that is short enough for
+it, and its first word, again one 64-bit key. It is stored with that bigram, so what precedes a bigram is counted where it lies. Of a trigram's first two words only the repeated trigrams
 are sent on: all others of a bigram that occurs n times are seen once, and their number is what n leaves.
 """
 
@@ -27,6 +27,7 @@ from chobo.llm._store import drop, map_array, shared_dir, stage, write_array
 
 END = np.uint64(0x5851F42D4C957F2D)
 U32 = np.uint64(32)
+KEYS = 1 << 64
 PART_BYTES = 32 << 20
 """Bytes of text for each part of a model of order 2, about; one of order 3 has parts half as large."""
 
@@ -225,6 +226,17 @@ def _two_before(before: np.ndarray, first: np.ndarray, start: int) -> np.ndarray
     return out
 
 
+def _key_runs(places: list[int], words: int) -> list[int]:
+    """The first parts of runs of parts whose bigrams, numbered from the run's first, make 64-bit keys with any word."""
+    begins = [0]
+    for p in range(1, len(places) - 1):
+        if (places[p + 1] - places[begins[-1]]) * words > KEYS:
+            begins.append(p)
+    if any((places[b] - places[a]) * words > KEYS for a, b in zip(begins, [*begins[1:], -1], strict=True)):
+        raise ValueError("a part has more bigrams than make 64-bit keys with any word")
+    return begins
+
+
 def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     """Count a model on all texts of ``docs`` and store it in the shared folder. Null texts are empty: an end alone.
 
@@ -257,7 +269,8 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
         write_array(f"{folder}/model/counts-{p}", counts)
         return pa.table({"part": [p], "n": [len(keys)], "tokens": [int(counts.sum())]})
 
-    found = {r.part: r for r in texts.mapInArrow(count_words, blob).repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(store_words, "part long, n long, tokens long").collect()}
+    words = texts.mapInArrow(count_words, blob).repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(store_words, "part long, n long, tokens long")
+    found = {r.part: r for r in stage(words, folder, "words").collect()}
     m.words = np.cumsum([0, *(found[p].n if p in found else 0 for p in range(parts))]).tolist()
     m.tokens = sum(r.tokens for r in found.values())
 
@@ -315,32 +328,36 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     empty = docs.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"), *[F.lit(b"").alias(c) for c in ("keys", "counts")])
     pairs = texts.mapInArrow(count_pairs, blob).union(empty).repartitionById(parts, F.col("part")).groupBy("part")
     if order == 3:
-        found = {r.part: r for r in pairs.applyInArrow(store_pairs, "part long, n long, texts long").collect()}
+        found = {r.part: r for r in stage(pairs.applyInArrow(store_pairs, "part long, n long, texts long"), folder, "pairs").collect()}
         m.places = np.cumsum([0, *(found[p].n for p in range(parts))]).tolist()
         m.texts = sum(r.texts for r in found.values())
         v = m.n_words + 1
-        if m.places[-1] * v >= 1 << 64:
-            raise ValueError("bigrams times words is more than 2**64: a trigram is no longer one 64-bit key")
+        begins = _key_runs(m.places, v)
+        run_at = np.array([m.places[b] for b in begins])
 
     def count_triples(batches):
         # few trigrams repeat within a task: holding more of them would hardly send fewer
-        sums, reader = Sums(FLUSH // 4), _Reader(m)
-        send = lambda: (lambda k, c: blobs(k, c, np.searchsorted(m.places, (k // np.uint64(v)).astype(np.int64), side="right") - 1))(*sums.take())
+        held, reader = [Sums(FLUSH // 4 // len(begins)) for _ in begins], _Reader(m)
+        send = lambda r: (lambda k, c: blobs(k, c, np.searchsorted(m.places, (k // np.uint64(v)).astype(np.int64) + run_at[r], side="right") - 1))(*held[r].take())
         for batch in _text.pieces(batches, "text", _text.BATCH_BYTES // 4):
             _, _, h, first = _text.words(*_text.utf8(batch.column(0)))
             h, first = _with_end(h, first)
             before, token, _ = _sequences(reader, h, first)
             keys, back = np.unique(before.astype(np.uint64) << U32 | token.astype(np.uint64), return_inverse=True)
             number = reader.pairs(keys)[1][back]
-            if sums.add(number.astype(np.uint64) * np.uint64(v) + _two_before(before, first, m.n_words).astype(np.uint64)):
-                yield send()
-        if sums.runs:
-            yield send()
+            run = np.searchsorted(run_at, number, side="right") - 1
+            keys = (number - run_at[run]).astype(np.uint64) * np.uint64(v) + _two_before(before, first, m.n_words).astype(np.uint64)
+            for r in np.unique(run).tolist():
+                if held[r].add(keys[run == r]):
+                    yield send(r)
+        for r, sums in enumerate(held):
+            if sums.runs:
+                yield send(r)
 
     def store_triples(key, table):
         keys, counts = merged(table)
         p = key[0].as_py()
-        at, u = (keys // np.uint64(v)).astype(np.int64) - m.places[p], (keys % np.uint64(v)).astype(np.uint32)
+        at, u = (keys // np.uint64(v)).astype(np.int64) + run_at[np.searchsorted(begins, p, side="right") - 1] - m.places[p], (keys % np.uint64(v)).astype(np.uint32)
         have = map_array(f"{folder}/model/pairs-{p}", np.uint64)
         before = np.bincount(at, minlength=len(have))
         write_array(f"{folder}/model/starts-{p}", np.cumsum(np.r_[0, before]).astype(np.int64 if m.wide else np.uint32))
@@ -453,7 +470,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             else:
                 c, top_left, pair = np.zeros(len(keys), np.int64), np.ones(len(keys)), np.full(len(p), -1)
                 by = np.argsort(number, kind="stable")
-                by = by[number[by] >= 0]
+                rank, ranked = np.empty_like(by), number[by]
+                rank[by] = np.arange(len(by))
+                by = by[ranked >= 0]
                 c[by], top_left[by] = reader.befores(number[by]), reader.lefts(number[by])
                 pair[both] = back
                 p[both] += (c[back] - _discount(c[back], m.discounts)) / total[both]
@@ -465,8 +484,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 p[seen] *= weight[seen]
                 seen = seen[pair[seen] >= 0]
                 seen = seen[number[pair[seen]] >= 0]
-                keys, back = np.unique(number[pair[seen]].astype(np.uint64) * np.uint64(m.n_words + 1) + _two_before(before, first, m.n_words)[seen].astype(np.uint64), return_inverse=True)
-                c = reader.triples((keys // np.uint64(m.n_words + 1)).astype(np.int64), (keys % np.uint64(m.n_words + 1)).astype(np.uint32))[back]
+                keys, back = np.unique(rank[pair[seen]].astype(np.uint64) << U32 | _two_before(before, first, m.n_words)[seen].astype(np.uint64), return_inverse=True)
+                c = reader.triples(ranked[(keys >> U32).astype(np.int64)], keys.astype(np.uint32))[back]
                 p[seen] += (c - _discount(c, m.top_discounts)) / top[seen]
             size = np.diff(first)
             s = np.bincount(row, weights=np.log10(p), minlength=batch.num_rows)

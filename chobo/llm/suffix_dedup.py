@@ -358,7 +358,8 @@ def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int =
         write_array(f"{folder}/shared/hot-{p}", keys[counts > hot])
         return pa.table({"part": pa.array([p], pa.int32()), "hot": [int((counts > hot).sum())]})
 
-    stored = {r.part: r.hot for r in docs.mapInArrow(count, "part int, keys binary, counts binary").groupBy("part").applyInArrow(store, "part int, hot long").collect()}
+    counted = docs.mapInArrow(count, "part int, keys binary, counts binary").groupBy("part").applyInArrow(store, "part int, hot long")
+    stored = {r.part: r.hot for r in stage(counted, folder, "counted").collect()}
 
     def lookup():
         open_files: dict = {}

@@ -5,6 +5,8 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from chobo.llm import lm_score
@@ -61,6 +63,32 @@ def test_orders(spark, order):
         assert abs(got[i] - plain(t)) < 1e-6 * max(1, abs(got[i])), (i, t)
 
 
+def test_runs_of_parts(spark, monkeypatch):
+    """Keys that cannot hold the bigrams of all parts count from the first of a few parts, and scores are the same."""
+    r = random.Random(6)
+    rows = [(i, " ".join(f"w{int(r.random() ** 2 * 60)}" for _ in range(30))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = {x.doc_id: x.score for x in lm_score.score(df, lm_score.train(df, order=3)).collect()}
+    made = []
+    own = lm_score._key_runs
+    monkeypatch.setattr(lm_score, "KEYS", 20_000)
+    monkeypatch.setattr(lm_score, "_key_runs", lambda *a: made.append(own(*a)) or made[-1])
+    parted = {x.doc_id: x.score for x in lm_score.score(df, lm_score.train(df, order=3)).collect()}
+    assert len(made[0]) > 2 and parted == whole
+    plain = kneser_ney([t for _, t in rows], 3)
+    assert all(abs(parted[i] - plain(t)) < 1e-6 * abs(parted[i]) for i, t in rows)
+    with pytest.raises(ValueError):
+        own([0, 5000, 5001], 60)
+
+
+def test_counts_above_32_bits():
+    from chobo.llm._keys import blobs, merged
+
+    keys, counts = np.array([3, 9, 12], np.uint64), np.array([1, (1 << 33) + 5, 7])
+    batches = [blobs(keys, counts, np.zeros(3, np.int64)), blobs(keys[:2], counts[[0, 2]], np.zeros(2, np.int64))]
+    assert [x.tolist() for x in merged(pa.Table.from_batches(batches))] == [[3, 9, 12], [2, (1 << 33) + 12, 7]]
+
+
 def test_order_3_sees_two_words_back(spark):
     df = spark.createDataFrame([(0, "a b c"), (1, "x b d"), (2, "a b c"), (3, "x b d")], "doc_id long, text string")
     both = spark.createDataFrame([(0, "a b c"), (1, "a b d")], "doc_id long, text string")
