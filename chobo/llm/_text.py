@@ -194,3 +194,17 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     bucket = np.concatenate((mix(h) >> U64(64 - bits), two >> U64(64 - bits))).astype(np.int64)
     key, count = np.unique(np.concatenate((row, row[pair])) << bits | bucket, return_counts=True)
     return key >> bits, key & ((1 << bits) - 1), count
+
+
+def named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word, equal for equal bytes only, and the different words by number."""
+    size = ends - starts
+    inside = np.zeros(len(data) + 1, np.int8)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, ends, -1)
+    own = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    if lower:
+        own = np.where((own >= 65) & (own <= 90), own + 32, own).astype(np.uint8)
+    words_ = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int64)), pa.py_buffer(own)])
+    coded = words_.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
