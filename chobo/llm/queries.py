@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chobo.llm import decontam, line_dedup, mixing, sharding
+from chobo.llm import decontam, line_dedup, mixing, ranked_search, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
@@ -107,6 +111,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -114,4 +119,5 @@ ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op3_decontamination": decontam.ORACLE,
     "op10_sharding": sharding.ORACLE,
+    "op13_ranked_search": ranked_search.ORACLE,
 }
