@@ -142,6 +142,15 @@ def stream(path: str, mode: str):
         yield f
 
 
+def random_access(path: str):
+    """A file of the shared folder to seek and read in."""
+    url = urlparse(path)
+    if url.scheme in ("", "file"):
+        return open(url.path, "rb", buffering=1 << 18)
+    fs, inner = _filesystem(path)
+    return fs.open_input_file(inner)
+
+
 def remove(path: str) -> None:
     """Delete a file of the shared folder."""
     url = urlparse(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chobo.llm import decontam, line_dedup, mixing, ranked_search, sharding
+from chobo.llm import decontam, line_dedup, mixing, ranked_search, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archive = warc.write(pages)
+    found = warc.look_up(pages.select(*warc.one_page(F.col("url"), F.col("page_id"))), archive)
+    out = warc.read_records(found, archive, payloads=False)
+    return out.select(F.col("record_id").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -111,6 +119,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_sharding": op10_sharding,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_warc": op12_warc,
     "op13_ranked_search": op13_ranked_search,
 }
 
@@ -119,5 +128,6 @@ ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op3_decontamination": decontam.ORACLE,
     "op10_sharding": sharding.ORACLE,
+    "op12_warc": warc.ORACLE,
     "op13_ranked_search": ranked_search.ORACLE,
 }
