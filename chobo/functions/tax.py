@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chobo.functions.text import let
+
 RATES = (10, 8)
 ROUNDINGS = ("floor", "half_up", "ceil")
-TAX_CODES = ("line_amount_mismatch", "rate_missing", "subtotal_mismatch", "tax_mismatch", "total_mismatch", "unknown_rate")
+TAX_CODES = ("line_amount_mismatch", "out_of_range", "rate_missing", "subtotal_mismatch", "tax_mismatch", "total_mismatch", "unknown_rate")
 
 
 def floor_div(a: Column, b: Column) -> Column:
@@ -24,13 +28,35 @@ def expected_tax(subtotal: Column, rate: Column, included: Column, rounding: str
     return floor_div(n * 2 + d, d * 2) if rounding == "half_up" else -floor_div(-n, d)
 
 
+def _exact(c: Column) -> Column:
+    return c.cast("decimal(38,0)")
+
+
 def _sum(items: Column, value) -> Column:
-    return F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + value(x))
+    """Null if it has more than 38 digits."""
+    return F.aggregate(items, _exact(F.lit(0)), lambda a, x: F.try_add(a, _exact(value(x))))
+
+
+def _judged(total: Column, included: Column) -> Column:
+    """struct of a boolean for each rounding (does it explain the printed tax of this stated rate?) and fits (could it be
+    worked out?). Nothing is divided: with tax t of n / d, a rounding explains t if n - d * t is within its bounds. A rate
+    of -100 with tax included leaves nothing to divide by, and nothing explains it.
+    """
+    rate, hundred = _exact(total.rate), _exact(F.lit(100))
+    d = F.when(included, F.try_add(rate, hundred)).otherwise(hundred)
+    off = F.try_subtract(F.try_multiply(_exact(total.subtotal), rate), F.try_multiply(d, _exact(total.tax)))
+
+    def judge(x: Column) -> Column:
+        d, off = F.abs(x.d), F.when(x.d < 0, -x.off).otherwise(x.off)
+        tests = {"floor": (off >= 0) & (off < d), "half_up": (F.try_add(off, off) >= -d) & (F.try_add(off, off) < d), "ceil": (off <= 0) & (-off < d)}
+        return F.struct(*[F.coalesce(tests[r], F.lit(False)).alias(r) for r in ROUNDINGS], x.off.isNotNull().alias("fits"))
+
+    return let(F.struct(d.alias("d"), off.alias("off")), judge)
 
 
 def conventions(total: Column, included: Column) -> Column:
     """Array of the roundings that explain the printed tax of a stated rate."""
-    return F.array_compact(F.array(*[F.when(expected_tax(total.subtotal, total.rate, included, r) == total.tax, r) for r in ROUNDINGS]))
+    return let(_judged(total, included), lambda j: F.array_compact(F.array(*[F.when(j.getField(r), r) for r in ROUNDINGS])))
 
 
 def _last_stated(totals: Column) -> Column:
@@ -46,26 +72,38 @@ def matched(totals: Column, included: Column) -> Column:
 def check_tax(items: Column, totals: Column, grand_total: Column, included: Column) -> Column:
     """struct ok, errors (sorted codes), convention (roundings that explain every stated rate; may be empty).
 
-    items: array of quantity, unit_price, amount, rate; totals: array of rate, subtotal, tax. Items at other rates than
-    10 and 8 are unknown_rate and in no sum. Of totals that state a rate twice the last one counts, but all are in the
-    grand total.
+    items: array of quantity, unit_price, amount, rate; totals: array of rate, subtotal, tax; all of them whole numbers of
+    any type. Items at other rates than 10 and 8 are unknown_rate and in no sum. Of totals that state a rate twice the
+    last one counts, but all are in the grand total. Everything is worked out in up to 38 digits; where a product or sum
+    has more, its comparison is left out and the code out_of_range says so. No row ends a job.
     """
-    known = F.filter(items, lambda i: i.rate.isin(*RATES))
-    stated = lambda r: F.element_at(F.filter(totals, lambda t: t.rate == r), -1)
-    last = _last_stated(totals)
+    last = F.transform(_last_stated(totals), lambda t: F.struct(_judged(t, included).alias("by"), (t.rate.isNotNull() & t.subtotal.isNotNull() & t.tax.isNotNull()).alias("whole")))
+    product = lambda i: F.try_multiply(_exact(i.quantity), _exact(i.unit_price))
+    known = F.transform(F.filter(items, lambda i: i.rate.isin(*RATES)), lambda i: F.struct(i.rate.alias("rate"), _exact(i.amount).alias("amount"), product(i).alias("product"), (i.quantity.isNotNull() & i.unit_price.isNotNull()).alias("whole")))
+    return let(F.struct(known.alias("known"), last.alias("last")), lambda x: _checked(items, totals, grand_total, included, x.known, x.last))
+
+
+def _checked(items, totals, grand_total, included, known, last) -> Column:
     any_of = lambda test: F.coalesce(test, F.lit(False))
-    errors = [F.when(any_of(F.exists(known, lambda i: i.quantity * i.unit_price != i.amount)), "line_amount_mismatch"), F.when(any_of(F.exists(items, lambda i: ~i.rate.isin(*RATES))), "unknown_rate")]
+    stated = lambda r: F.element_at(F.filter(totals, lambda t: t.rate == r), -1)
     at_rate = lambda rate: lambda x: x.rate == rate
+    errors = [F.when(any_of(F.exists(known, lambda i: i.product != i.amount)), "line_amount_mismatch"), F.when(any_of(F.exists(items, lambda i: ~i.rate.isin(*RATES))), "unknown_rate")]
+    far = [F.exists(known, lambda i: i.whole & i.product.isNull())]
     for r in RATES:
         own = F.filter(known, at_rate(r))
         has = F.size(own) > 0
         there = F.exists(totals, at_rate(r))
+        amount = _sum(own, lambda i: i.amount)
         errors.append(F.when(has & ~there, "rate_missing"))
-        errors.append(F.when(has & there & (stated(r).getField("subtotal") != _sum(own, lambda i: i.amount)), "subtotal_mismatch"))
-    errors.append(F.when(any_of(F.exists(last, lambda t: F.size(conventions(t, included)) == 0)), "tax_mismatch"))
-    expected = _sum(totals, lambda t: t.subtotal) + F.when(included, F.lit(0)).otherwise(_sum(totals, lambda t: t.tax))
-    errors.append(F.when(grand_total != expected, "total_mismatch"))
+        errors.append(F.when(has & there & (_exact(stated(r).getField("subtotal")) != amount), "subtotal_mismatch"))
+        far.append(has & there & amount.isNull() & F.forall(own, lambda i: i.amount.isNotNull()))
+    explained = lambda j: reduce(lambda a, b: a | b, [j.by.getField(r) for r in ROUNDINGS])
+    errors.append(F.when(F.exists(last, lambda j: ~explained(j) & (j.by.fits | ~j.whole)), "tax_mismatch"))
+    far.append(F.exists(last, lambda j: j.whole & ~j.by.fits))
+    expected = F.try_add(_sum(totals, lambda t: t.subtotal), F.when(included, _exact(F.lit(0))).otherwise(_sum(totals, lambda t: t.tax)))
+    errors.append(F.when(_exact(grand_total) != expected, "total_mismatch"))
+    far.append(expected.isNull() & F.forall(totals, lambda t: t.subtotal.isNotNull() & t.tax.isNotNull()))
+    errors.append(F.when(reduce(lambda a, b: a | b, [any_of(x) for x in far]), "out_of_range"))
     codes = F.array_sort(F.array_distinct(F.array_compact(F.array(*errors))))
-    explains = lambda rounding: lambda t: expected_tax(t.subtotal, t.rate, included, rounding) == t.tax
-    every = F.array_compact(F.array(*[F.when((F.size(totals) > 0) & F.forall(last, explains(r)), r) for r in ROUNDINGS]))
-    return F.struct((F.size(codes) == 0).alias("ok"), codes.alias("errors"), every.alias("convention"))
+    every = F.array_compact(F.array(*[F.when((F.size(totals) > 0) & F.forall(last, lambda j: j.by.getField(r)), r) for r in ROUNDINGS]))
+    return let(F.struct(codes.alias("errors"), every.alias("convention")), lambda x: F.struct((F.size(x.errors) == 0).alias("ok"), x.errors.alias("errors"), x.convention.alias("convention")))

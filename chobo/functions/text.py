@@ -37,16 +37,25 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U){WHITE}+", "")
 
 
-def yen(c: Column) -> Column:
-    """Amount as a long: all digits of the text joined; negative after a leading minus or with △ or ▲; null without digits."""
-
+def _amount(c: Column, kind: str) -> Column:
     def read(s: Column) -> Column:
-        n = F.regexp_replace(s, "[^0-9]", "").try_cast("long")
+        n = F.regexp_replace(s, "[^0-9]", "").try_cast(kind)
         return F.when(s.rlike("^[△▲−-]|[△▲]"), -n).otherwise(n)
 
     return let(strip(nfkc(c)), read)
 
 
+def yen(c: Column) -> Column:
+    """Amount as a long: all digits of the text joined; negative after a leading minus or with △ or ▲; null without digits
+    and for more than 64 bits."""
+    return _amount(c, "long")
+
+
+def yen_exact(c: Column) -> Column:
+    """The same as a decimal of up to 38 digits."""
+    return _amount(c, "decimal(38,0)")
+
+
 def company_name(c: Column) -> Column:
     """Comparable form: NFKC, short legal forms spelled out, no white space."""
     s = nfkc(c)
@@ -86,10 +95,34 @@ def format_yen(n: Column, style: Column) -> Column:
     return F.when(style == 0, F.concat(F.lit("¥"), plain)).when(style == 1, F.concat(F.lit("￥"), F.replace(full_width(plain), F.lit(","), F.lit("，")))).when(style == 2, F.concat(plain, F.lit("円"))).otherwise(plain)
 
 
+def matches_at(c: Column, pattern: str) -> Column:
+    """All matches of a Java pattern, from left to right: array of at (characters before it), text.
+
+    Each match is put between two marks first, so that splitting tells where it stood; marks that a text itself holds
+    count as the replacement character. Null has no matches; empty matches have empty texts.
+    """
+    opening, closing = "\ufdd0", "\ufdd1"
+    marked = F.regexp_replace(F.translate(c, opening + closing, "\ufffd\ufffd"), f"({pattern})", f"{opening}$1{closing}")
+
+    def places(pieces: Column) -> Column:
+        # a piece is a match, the closing mark and what follows; the first one is what precedes all matches
+        start = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.expr("cast(array() as array<struct<at int, text string>>)").alias("found"))
+
+        def add(a: Column, piece: Column) -> Column:
+            size = F.locate(closing, piece) - 1
+            one = F.struct(a.at.alias("at"), F.substring(piece, F.lit(1), size).alias("text"))
+            return F.struct((a.at + F.length(piece) - 1).alias("at"), F.concat(a.found, F.array(one)).alias("found"))
+
+        return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, add, lambda a: a.found)
+
+    found = let(F.split(marked, opening, -1), places)
+    return F.coalesce(found, F.expr("cast(array() as array<struct<at int, text string>>)"))
+
+
 def amounts_in(c: Column) -> Column:
     """All amounts printed in a text, in order."""
     found = F.regexp_extract_all(nfkc(c), F.lit(r"([¥￥]?\s*[0-9][0-9,，]*\s*円?)"), F.lit(1))
-    return F.transform(found, lambda x: F.regexp_replace(x, "[^0-9]", "").cast("long"))
+    return F.transform(found, lambda x: F.regexp_replace(x, "[^0-9]", "").try_cast("long"))
 
 
 def printed_values(g: dict[str, Column], style: Column) -> Column:

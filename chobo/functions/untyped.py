@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from chobo.functions.text import let, strip, yen_exact
 
-from chobo.functions.text import let, strip, yen
+EXACT = "decimal(38,0)"
+"""Whole numbers of any sign and up to 38 digits; what has more is far."""
 
 
 def field(v: Column, name: str) -> Column:
@@ -21,13 +28,22 @@ def is_object(v: Column) -> Column:
     return F.coalesce(F.startswith(kind(v), F.lit("OBJECT")), F.lit(False))
 
 
-def is_text(v: Column) -> Column:
-    return F.coalesce(kind(v) == "STRING", F.lit(False))
+def number(v: Column) -> Column:
+    """struct value (decimal(38,0), null if v is no whole number of at most 38 digits) and far (has it more digits?).
+
+    Booleans and 5.0 are no whole numbers. VARIANT keeps whole numbers of 64 bits as BIGINT and larger ones as decimals
+    without scale, as it does 5.0; so a decimal counts where it is too large for BIGINT. (A fraction of zeros behind such
+    a large number goes unnoticed.) A number of more than 38 digits is kept only as a rounded one.
+    """
 
+    def read(x: Column) -> Column:
+        whole = F.startswith(x.k, F.lit("DECIMAL(")) & F.endswith(x.k, F.lit(",0)"))
+        large = let(F.try_variant_get(x.v, "$", EXACT), lambda y: F.when(~y.between(-(1 << 63), (1 << 63) - 1), y))
+        value = F.when(x.k == "BIGINT", F.try_variant_get(x.v, "$", "bigint").cast(EXACT)).when(whole, large)
+        far = (x.k == "DOUBLE") & (F.abs(F.try_variant_get(x.v, "$", "double")) >= 1e38)
+        return F.struct(value.alias("value"), F.coalesce(far, F.lit(False)).alias("far"))
 
-def is_whole(v: Column) -> Column:
-    """A whole number of 64 bits, not a boolean and not 5.0."""
-    return F.coalesce(kind(v) == "BIGINT", F.lit(False))
+    return let(F.struct(v.alias("v"), kind(v).alias("k")), read)
 
 
 def is_flag(v: Column) -> Column:
@@ -65,13 +81,25 @@ def _truthy(v: Column) -> Column:
 
 
 def whole(v: Column) -> Column:
-    """As a long for scoring: fractions are cut off, text is read as an amount; booleans, null and the rest are null."""
+    """As a decimal(38,0) for scoring: fractions are cut off, text is read as an amount; booleans, null, what has more
+    than 38 digits and the rest are null."""
     return let(v, _whole)
 
 
 def _whole(v: Column) -> Column:
     k = kind(v)
-    return F.when(v.isNull() | F.is_variant_null(v) | (k == "BOOLEAN"), F.lit(None).cast("long")).when(k == "STRING", yen(F.try_variant_get(v, "$", "string"))).when(F.startswith(k, F.lit("ARRAY")) | F.startswith(k, F.lit("OBJECT")), yen(F.to_json(v))).when(k == "BIGINT", F.try_variant_get(v, "$", "bigint")).otherwise(F.try_variant_get(v, "$", "double").try_cast("long"))
+    nested = F.startswith(k, F.lit("ARRAY")) | F.startswith(k, F.lit("OBJECT"))
+    fraction = F.try_variant_get(v, "$", "double")
+    cut = F.when(fraction < 0, -F.floor(-fraction)).otherwise(F.floor(fraction))
+    large = let(fraction, lambda x: F.when(x < 0, F.ceil(x.try_cast("decimal(38,1)"))).otherwise(F.floor(x.try_cast("decimal(38,1)"))).try_cast(EXACT))
+    other = F.when(F.abs(fraction) < 9e15, cut.try_cast(EXACT)).otherwise(large)
+    return (
+        F.when(v.isNull() | F.is_variant_null(v) | (k == "BOOLEAN"), F.lit(None).cast(EXACT))
+        .when(k == "STRING", yen_exact(F.try_variant_get(v, "$", "string")))
+        .when(nested, yen_exact(F.to_json(v)))
+        .when(k.rlike(r"^(BIGINT|DECIMAL\([0-9]+,0\))$"), F.try_variant_get(v, "$", EXACT))
+        .otherwise(other)
+    )
 
 
 def flag(v: Column) -> Column:
@@ -79,14 +107,42 @@ def flag(v: Column) -> Column:
     return let(F.lower(strip(F.try_variant_get(v, "$", "string"))), lambda s: F.when(s == "true", True).when(s == "false", False))
 
 
+@F.pandas_udf(StringType())
+def _repeated_keys(texts: pd.Series) -> pd.Series:
+    """JSON with the last value of each repeated key; null for null and for what is no JSON."""
+
+    def one(text):
+        if text is None:
+            return None
+        try:
+            # a number of very many digits stays one that is out of range; NaN and infinities are no JSON numbers
+            return json.dumps(json.loads(text, parse_int=lambda d: int(d) if len(d) <= 40 else float(f"{d[:1] if d[0] == '-' else ''}1e39"), parse_constant=lambda _: None))
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(one)
+
+
+def parsed(rows: DataFrame, text: Column, into: str = "parsed") -> DataFrame:
+    """rows with a JSON text as VARIANT, null if it is none; of a key that an object repeats the last value counts.
+
+    Spark's own parser takes every text that repeats no key. What it refuses, a few rows as a rule, is read once more by
+    a vectorised function, to which all other rows are null.
+    """
+    s = rows.withColumn("__json", text)
+    s = s.withColumn("__first", F.try_parse_json("__json"))
+    again = F.try_parse_json(_repeated_keys(F.when(F.col("__first").isNull(), F.col("__json"))))
+    return s.withColumn(into, F.coalesce("__first", again)).drop("__json", "__first")
+
+
 def first_object(c: Column) -> Column:
-    """The first JSON object in a model's answer as VARIANT, without code fences or prose; null if there is none.
+    """The text of the first JSON object in a model's answer, without code fences or prose; null if there is none.
 
     The object ends where its braces balance; braces within quotes count too, as in the data's own definition.
     """
     s = F.regexp_replace(c, "```(?:json)?", "")
     s = F.substring(s, F.nullif(F.locate("{", s), F.lit(0)), F.length(s))
-    return F.try_parse_json(let(F.split(s, r"\}"), _balanced))
+    return let(F.split(s, r"\}"), _balanced)
 
 
 def _balanced(pieces: Column) -> Column:
@@ -103,4 +159,4 @@ def _balanced(pieces: Column) -> Column:
     return F.aggregate(pieces, start, add, body)
 
 
-__all__ = ["elements", "field", "first_object", "flag", "is_flag", "is_object", "is_text", "is_whole", "kind", "text", "truthy", "whole"]
+__all__ = ["EXACT", "elements", "field", "first_object", "flag", "is_flag", "is_object", "kind", "number", "parsed", "text", "truthy", "whole"]

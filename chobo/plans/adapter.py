@@ -117,7 +117,7 @@ def predictions(invoices: DataFrame) -> DataFrame:
     """id, ordinal, raw (a model's answer), parsed (VARIANT): gold with faults, fences and prose by turns."""
     from chobo.functions.dates import format_date
     from chobo.functions.text import full_width
-    from chobo.functions.untyped import first_object
+    from chobo.functions.untyped import first_object, parsed
 
     f = F.pmod("id", F.lit(17))
     s = invoices.withColumn("f", f)
@@ -137,7 +137,7 @@ def predictions(invoices: DataFrame) -> DataFrame:
     s = s.filter("f != 0").select(F.col("invoice_id").alias("id"), F.lit(1).alias("ordinal"), raw.alias("raw"))
     # an earlier answer to every fifth invoice, which the later one replaces
     old = s.filter(F.pmod(F.xxhash64("id"), F.lit(5)) == 0).select("id", F.lit(0).alias("ordinal"), F.lit("{}").alias("raw"))
-    return s.unionByName(old).withColumn("parsed", first_object(F.col("raw")))
+    return parsed(s.unionByName(old), first_object(F.col("raw")))
 
 
 def boxes(invoices: DataFrame) -> DataFrame:

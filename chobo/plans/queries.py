@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chobo.functions import checkdigit, dates, tax, text
-from chobo.functions.untyped import first_object
+from chobo.functions.untyped import first_object, parsed
 from chobo.operators import boxes, corruption, evaluation, generator, registry, scoring, verification_eval, verify
 from chobo.plans import adapter as A
 from chobo.plans import oracle as O
@@ -160,6 +160,31 @@ def q_tax_convention(spark, d):
     return _checked(spark, d).select("id", _joined("t.convention").alias("convention"))
 
 
+_BEYOND = """fact AS (SELECT h.id, h.included, n.n_items, h.id % 5 AS c, CASE WHEN h.id % 5 = 0 THEN 1 ELSE 10000000000000000000000000 END::HUGEINT AS f FROM head h JOIN n ON h.id = n.id),
+big AS (SELECT t.id, t.subtotal * f * t.rate AS num, CASE WHEN included THEN 100 + t.rate ELSE 100 END AS den, CASE WHEN c = 2 AND NOT included THEN t.subtotal::HUGEINT * t.rate * 100000000000000000000000 ELSE t.tax * f END AS tax FROM total t JOIN fact USING (id)),
+judged AS (SELECT id, bool_and(tax = num // den) AS fl, bool_and(tax = (2 * num + den) // (2 * den)) AS hu, bool_and(tax = (num + den - 1) // den) AS ce, bool_or(tax NOT IN (num // den, (2 * num + den) // (2 * den), (num + den - 1) // den)) AS bad FROM big GROUP BY id)"""
+
+
+@query(_with("""SELECT id, CASE WHEN n_items = 0 THEN 'schema:items_missing|schema:totals_missing' WHEN c = 4 THEN 'schema:number_out_of_range' ELSE concat_ws('|', CASE WHEN c = 3 THEN 'tax:out_of_range' END, CASE WHEN bad THEN 'tax:tax_mismatch' END, CASE WHEN id % 7 = 3 THEN 'tax:total_mismatch' END) END AS reasons,
+  CASE WHEN n_items > 0 AND c <> 4 THEN concat_ws('|', CASE WHEN fl THEN 'floor' END, CASE WHEN hu THEN 'half_up' END, CASE WHEN ce THEN 'ceil' END) END AS convention FROM fact LEFT JOIN judged USING (id)""", _BEYOND))
+def q_tax_beyond_64(spark, d):
+    """Verification of invoices whose amounts have up to 33 digits, whose products have more than 38, and whose prices do."""
+    g = A.gold(spark, d)
+    c, z = F.col("id") % 5, lambda n: F.lit("0" * n)
+    zeros = F.when(c == 0, "").otherwise(z(25))
+    many, price = F.when(c == 3, z(20)).otherwise(""), F.when(c == 3, z(20)).when(c == 4, z(40)).otherwise(zeros)
+    s = lambda x: x.cast("string")
+    item = lambda i: F.concat(F.lit('{"description":"x","quantity":'), s(i.quantity), many, F.lit(',"unit_price":'), s(i.unit_price), price, F.lit(',"amount":'), s(i.amount), zeros, F.lit(',"rate":'), s(i.rate), F.lit("}"))
+    exact = (c == 2) & ~F.col("tax_included")
+    total = lambda t: F.concat(F.lit('{"rate":'), s(t.rate), F.lit(',"subtotal":'), s(t.subtotal), zeros, F.lit(',"tax":'), F.when(exact, F.concat(s(t.subtotal * t.rate), z(23))).otherwise(F.concat(s(t.tax), zeros)), F.lit("}"))
+    more = F.when(F.col("id") % 7 == 3, 1).otherwise(0)
+    grand = F.when(exact, F.concat(s(F.aggregate("totals", F.lit(0).cast("long"), lambda a, t: a + t.subtotal * (100 + t.rate)) + more), z(23))).otherwise(F.concat(s(F.col("grand_total") + more), zeros))
+    grand = F.when(F.size("totals") == 0, "0").otherwise(grand)
+    head = F.to_json(F.struct(F.col("issuer.name").alias("issuer_name"), F.col("issuer.registration_number").alias("registration_number"), "issue_date", F.col("recipient.name").alias("recipient_name"), "tax_included"))
+    body = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"grand_total":'), grand, F.lit(',"items":['), F.array_join(F.transform("items", item), ","), F.lit('],"totals":['), F.array_join(F.transform("totals", total), ","), F.lit("]}"))
+    return verify.verify(parsed(g.select("id", body.alias("body")), F.col("body")), None, ("schema", "tax")).select("id", _joined("reasons").alias("reasons"), _joined("tax_convention").alias("convention"))
+
+
 # ---- registry
 
 
@@ -246,8 +271,19 @@ def q_json_salvage(spark, d):
     s = spark.read.parquet(f"{d}/events.parquet")
     m = F.col("event_id") % 5
     answer = F.when(m == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(m == 1, F.concat(F.lit("The answer is "), "props", F.lit(" {and} more}"))).when(m == 2, F.col("props")).when(m == 3, F.concat(F.lit("```"), "props", F.lit("```"))).otherwise(F.concat(F.lit("cut off: "), F.regexp_replace("props", r"\}", "")))
-    v = first_object(answer)
-    return s.select("event_id", F.try_variant_get(v, "$.k", "long").alias("k"), v.isNotNull().alias("found"))
+    s = parsed(s, first_object(answer), "v")
+    return s.select("event_id", F.try_variant_get("v", "$.k", "long").alias("k"), F.col("v").isNotNull().alias("found"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id AS y, event_id % 3 <> 2 AS whole FROM events")
+def q_json_repeated_keys(spark, d):
+    """Answers whose objects repeat keys, at both depths, for two thirds of the events: the last value of each counts."""
+    s = spark.read.parquet(f"{d}/events.parquet")
+    own, y = F.regexp_replace("props", r"[{}]", ""), F.col("event_id").cast("string")
+    once = F.concat(F.lit('{"x": {"y": '), y, F.lit("}, "), own, F.lit("}"))
+    twice = F.concat(F.lit('so: {"k": "no", "x": 5, '), own, F.lit(', "x": {"y": [1, {"z": 2, "z": 3}], "y": '), y, F.lit("}} it is"))
+    s = parsed(s, first_object(F.when(F.col("event_id") % 3 == 2, once).otherwise(twice)), "v")
+    return s.select("event_id", F.try_variant_get("v", "$.k", "long").alias("k"), F.try_variant_get("v", "$.x.y", "long").alias("y"), (F.col("event_id") % 3 != 2).alias("whole"))
 
 
 def _scored(spark, d):
@@ -422,6 +458,24 @@ def q_issuer_vote(spark, d):
     return best.join(votes, ["invoice_id", "issuer_name"]).join(b.select("invoice_id", "id"), "invoice_id").select("id", "issuer_name", "votes")
 
 
+@query("""SELECT page_id, k, (list_sum(list_transform(gap[:k + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[:k], lambda x: length(x))), 0))::INT AS at, hit[k + 1] AS text FROM
+  (SELECT page_id, gap, hit, unnest(range(len(hit)))::INT AS k FROM (SELECT page_id, string_split_regex(html, '[0-9]+') AS gap, regexp_extract_all(html, '[0-9]+') AS hit FROM pages) p) x""")
+def q_pattern_positions(spark, d):
+    """Every number of every page, and the characters before it."""
+    s = spark.read.parquet(f"{d}/pages.parquet")
+    return s.select("page_id", F.posexplode(text.matches_at(F.col("html"), "[0-9]+")).alias("k", "m")).select("page_id", "k", "m.at", "m.text")
+
+
+@query(_with("SELECT id, issuer_name, recipient AS recipient_name FROM head"))
+def q_recipient_named_twice(spark, d):
+    """Pages that print the recipient twice in a line, before 御中 the second time only."""
+    line = lambda t, y: F.struct(t.alias("text"), F.array(F.lit(40.0), F.lit(y), F.lit(440.0), F.lit(y + 14)).alias("box"), F.lit(False).alias("vertical"))
+    h = _head(spark, d)
+    twice = F.concat("recipient", F.lit(" "), "recipient", F.lit("御中"))
+    pages = h.select("id", F.col("id").cast("string").alias("invoice_id"), F.array(line(twice, 40.0), line(F.col("issuer_name"), 90.0), line(F.concat(F.lit("口座名義 "), "issuer_name"), 140.0)).alias("lines"))
+    return boxes.names(boxes.name_votes(boxes.explode_lines(pages))).select(F.col("invoice_id").cast("long").alias("id"), "issuer_name", "recipient_name")
+
+
 @query(_with("SELECT id, CASE WHEN id % 9 = 0 THEN reg_no ELSE '' END AS missing FROM head"))
 def q_alignment_missing(spark, d):
     """Printed values that the page's text lacks, of all that it must show; every ninth page lacks the number."""

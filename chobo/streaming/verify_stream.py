@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from chobo.functions.untyped import first_object
+from chobo.functions.untyped import first_object, parsed
 from chobo.operators.verify import LAYERS, verify
 
 
@@ -21,7 +21,7 @@ def requests(spark: SparkSession, path: str) -> DataFrame:
 
 def verify_requests(rows: DataFrame, registry: DataFrame, layers=LAYERS) -> DataFrame:
     """id, decision, approved, reasons, registry_status, name_match, tax_convention of each request."""
-    asked = rows.select("id", first_object(F.col("extraction")).alias("parsed"))
+    asked = parsed(rows, first_object(F.col("extraction"))).select("id", "parsed")
     out = verify(asked, registry, layers).drop("parsed")
     return out.withColumn("decision", F.when(F.col("approved"), "approve").otherwise("review"))
 

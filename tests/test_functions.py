@@ -68,6 +68,17 @@ def test_tax_checker(spark):
         assert (r.k, r.t.errors, r.t.convention, r.t.ok) == (r.k, cases[r.k][1], cases[r.k][2], not cases[r.k][1])
 
 
+def salvage(spark, given):
+    df = spark.createDataFrame(list(enumerate(given)), "i int, t string").repartition(1)
+    return [r.j for r in untyped.parsed(df, untyped.first_object(F.col("t")), "v").select("i", F.to_json("v").alias("j")).orderBy("i").collect()]
+
+
 def test_json_salvage(spark):
     given = ['```json\n{"a": 1}\n```', 'so {"a": 1} it is}', '{"a": {"b": 2}} {', "none", '{"a": 1', None]
-    assert apply(spark, lambda c: F.to_json(untyped.first_object(c)), given) == ['{"a":1}', '{"a":1}', '{"a":{"b":2}}', None, None, None]
+    assert salvage(spark, given) == ['{"a":1}', '{"a":1}', '{"a":{"b":2}}', None, None, None]
+
+
+def test_repeated_keys(spark):
+    """The last value of a key counts, at every depth; what is no JSON stays none."""
+    given = ['{"a":1,"a":2}', 'x {"a":1,"a":{"b":[{"c":1,"c":"z"}],"b":[]}} y', '{"a":1,"a":12345678901234567890}', '{"a":1,"a":' + "9" * 60 + "}", '{"a":1,"a":NaN}', '{"a":1,"a":2,}', '{"é":"\\u3042","é":"い"}', '{"a":"}","a":1}']
+    assert salvage(spark, given) == ['{"a":2}', '{"a":{"b":[]}}', '{"a":12345678901234567890}', '{"a":1.0E39}', '{"a":null}', None, '{"é":"い"}', None]
