@@ -115,12 +115,19 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(invoices: DataFrame) -> DataFrame:
     """id, ordinal, raw (a model's answer), parsed (VARIANT): gold with faults, fences and prose by turns."""
+    from chobo.functions.untyped import first_object, parsed
+
+    s = as_answered(invoices.withColumn("f", F.pmod("id", F.lit(17)))).filter("f != 0").select(F.col("invoice_id").alias("id"), F.lit(1).alias("ordinal"), "raw")
+    # an earlier answer to every fifth invoice, which the later one replaces
+    old = s.filter(F.pmod(F.xxhash64("id"), F.lit(5)) == 0).select("id", F.lit(0).alias("ordinal"), F.lit("{}").alias("raw"))
+    return parsed(s.unionByName(old), first_object(F.col("raw")))
+
+
+def as_answered(s: DataFrame) -> DataFrame:
+    """Invoices with raw: a model's answer with the fault of number f (none for 0), in a fence or prose by turns."""
     from chobo.functions.dates import format_date
     from chobo.functions.text import full_width
-    from chobo.functions.untyped import first_object, parsed
 
-    f = F.pmod("id", F.lit(17))
-    s = invoices.withColumn("f", f)
     wrong_digit = F.concat(F.substring("issuer.registration_number", 1, 13), F.when(F.substring("issuer.registration_number", 14, 1) == "9", "5").otherwise((F.substring("issuer.registration_number", 14, 1).cast("int") + 1).cast("string")))
     name = F.col("issuer.name")
     short = F.when(F.col("f") == 8, F.concat(F.lit(" "), F.replace(name, F.lit("株式会社"), F.lit("(株)")), F.lit("　"))).otherwise(name)
@@ -134,10 +141,7 @@ def predictions(invoices: DataFrame) -> DataFrame:
     body = F.when(F.col("f") == 7, F.regexp_replace(body, r'"grand_total":(\d+)', '"grand_total":"$1円"')).when(F.col("f") == 10, F.regexp_replace(body, r'"tax_included":(true|false)', '"tax_included":"$1"')).when(F.col("f") == 5, F.lit("申し訳ありません")).otherwise(body)
     turn = F.pmod("id", F.lit(3))
     raw = F.when(turn == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(turn == 1, F.concat(F.lit("結果: "), body, F.lit(" です}"))).otherwise(body)
-    s = s.filter("f != 0").select(F.col("invoice_id").alias("id"), F.lit(1).alias("ordinal"), raw.alias("raw"))
-    # an earlier answer to every fifth invoice, which the later one replaces
-    old = s.filter(F.pmod(F.xxhash64("id"), F.lit(5)) == 0).select("id", F.lit(0).alias("ordinal"), F.lit("{}").alias("raw"))
-    return parsed(s.unionByName(old), first_object(F.col("raw")))
+    return s.withColumn("raw", raw)
 
 
 def boxes(invoices: DataFrame) -> DataFrame:

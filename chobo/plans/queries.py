@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 from chobo.functions import checkdigit, dates, tax, text
 from chobo.functions.untyped import first_object, parsed
-from chobo.operators import boxes, corruption, evaluation, generator, registry, scoring, verification_eval, verify
+from chobo.operators import boxes, corruption, evaluation, generator, membership, registry, scoring, verification_eval, verify
 from chobo.plans import adapter as A
 from chobo.plans import oracle as O
 from chobo.sources import readers
+from chobo.sources.folders import shared_folder
+from chobo.sources.registry_table import RegistryTable
+from chobo.streaming.verify_stream import REQUEST, answers, start_cases
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -217,6 +221,28 @@ def q_registry_status(spark, d):
     return registry.look_up(rows, A.registry(spark, d), "number", "issue_date", "printed").select("id", "registry_status", "name_match")
 
 
+def _stored(spark, d) -> RegistryTable:
+    """The registry's two files, taken into a stored table one after the other."""
+    table = RegistryTable(spark, shared_folder(spark), buckets=16)
+    rows = registry.current_corporations(A.raw_registry(spark, d))
+    for file in ("h_all_1.csv", "h_all_2.csv"):
+        table.upsert(rows.filter(F.col("file") == file), ["file", "line"])
+    return table
+
+
+@query(_BUILT)
+def q_registry_upsert(spark, d):
+    """Two snapshots, the second on top of the first."""
+    return _stored(spark, d).read()
+
+
+@query(_with(f"SELECT h.id, {O.status('h.issue_date')} AS registry_status FROM head h LEFT JOIN ({_BUILT}) r ON h.reg_no = r.reg_no"))
+def q_registry_stored_status(spark, d):
+    """Look-ups in the stored table: the merge join moves the invoices alone."""
+    rows = _head(spark, d).select("id", F.col("reg_no").alias("number"), "issue_date")
+    return registry.look_up(rows, _stored(spark, d).read().hint("merge"), "number", "issue_date").select("id", "registry_status")
+
+
 # ---- verification
 
 
@@ -412,8 +438,14 @@ def _anatomy(kind: str) -> str:
 
 @query(_anatomy("digit"))
 def q_corruption_anatomy(spark, d):
-    r = A.registry(spark, d)
-    return corruption.anatomy(corruption.classify(corruption.wrong_digits(r), r))
+    return corruption.shares(corruption.wrong_digit_counts(A.registry(spark, d)))
+
+
+@query(_with("SELECT o_orderkey AS id, c.reg_no FROM orders JOIN company c ON c.k = o_orderkey % 3000 JOIN registry USING (reg_no)"))
+def q_membership(spark, d):
+    """Orders whose number is a registered company's, by way of the membership index; most numbers are nobody's."""
+    numbers = "SELECT id, 'T' || n13 AS reg_no FROM (SELECT o_orderkey AS id, o_orderkey % 3000 AS k FROM {orders}) o JOIN " + A._numbered("(SELECT DISTINCT o_orderkey % 3000 AS k FROM {orders})", "k", "CAST(100000000000 + k * 7919 AS STRING)") + " n USING (k)"
+    return membership.present(A.flat(spark, d, numbers), "reg_no", A.registry(spark, d), "reg_no")
 
 
 @query(_anatomy("swap"))
@@ -513,6 +545,38 @@ def q_tax_matched(spark, d):
     return s.select("id", _joined(F.transform("m", lambda e: F.concat(e.key.cast("string"), F.lit(":"), F.array_join(e.value, ",")))).alias("matched"))
 
 
+# ---- requests as a stream
+
+
+_ASKED = """latest AS (SELECT user_id AS id, arg_max(event_id, (ts, event_id)) AS e, count(*) AS requests FROM events GROUP BY user_id),
+asked AS (SELECT l.* FROM latest l WHERE l.id IN (SELECT id FROM head))"""
+
+
+@query(_with("""SELECT id, requests, e AS number, r.reasons, CASE WHEN r.reasons = '' THEN 'approve' ELSE 'review' END AS decision, CASE WHEN s = '' AND e % 4 <> 1 THEN registry_status END AS registry_status FROM
+  (SELECT a.id, a.requests, a.e, p.s, p.registry_status, CASE e % 4 WHEN 1 THEN s WHEN 2 THEN CASE WHEN s <> '' THEN '' ELSE concat_ws('|', m, t) END ELSE CASE WHEN s <> '' THEN s ELSE concat_ws('|', c, r, m, t) END END AS reasons
+   FROM asked a JOIN parts p ON a.id = p.id) r""", _ASKED, O.verdicts("coalesce((SELECT nullif(e % 17, 0) FROM asked a WHERE a.id = h.id), 99)")))
+def q_stream_cases(spark, d):
+    """The events as a stream of requests by user, each about the invoice of the user's number, with a fault and layers of
+    the event's own: stopped in the middle, begun again from its checkpoint, and ended by a row that only moves the clock."""
+    folder = shared_folder(spark)
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", F.col("user_id").alias("id"), (F.col("event_id") % 17).alias("f"))
+    m = F.col("event_id") % 4
+    layers = F.when(m == 1, F.array(F.lit("schema"))).when(m == 2, F.array(F.lit("tax"), F.lit("name"), F.lit("colour"))).when(m == 3, F.array(F.lit("colour")))
+    asked = A.as_answered(A.gold(spark, d).join(e, "id")).select(F.col("id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("number"), F.col("raw").alias("extraction"), layers.alias("layers"))
+    asked.write.parquet(f"{folder}/all")
+    asked = spark.read.parquet(f"{folder}/all")
+    A.registry(spark, d).write.parquet(f"{folder}/registry")
+    first, middle, last = asked.agg(F.min("at"), F.percentile_approx("at", F.lit(0.5)), F.max("at")).first()
+    if first is None:
+        return spark.createDataFrame([], "id long, requests long, number long, reasons string, decision string, registry_status string")
+    gap = f"{int((last - first).total_seconds()) + 60} seconds"
+    clock = spark.createDataFrame([(None, last + 2 * (last - first) + datetime.timedelta(minutes=5), None, None, None)], REQUEST)
+    for rows in (asked.filter(F.col("at") < middle), asked.filter(F.col("at") >= middle), clock):
+        rows.write.mode("append").json(f"{folder}/requests")
+        start_cases(spark, f"{folder}/requests", f"{folder}/registry", f"{folder}/answers", f"{folder}/state", gap).awaitTermination()
+    return answers(spark, f"{folder}/answers").select(F.col("id").cast("long").alias("id"), "requests", "number", _joined("reasons").alias("reasons"), "decision", "registry_status")
+
+
 # ---- fictitious issuers and invoices
 
 
