@@ -33,16 +33,18 @@ ROLL = 256 << 20
 BLOCK, A_FILE, MOST_FILES = 1024, 8192, 4096
 """Captures of an index block; captures for which there is an index file, until there are MOST_FILES of them, which bounds
 the upper directory."""
-READ_RANGE = 16 << 20
+READ_RANGE, MOST_READS = 16 << 20, 1 << 15
+"""Bytes of archives that a task reads; tasks at most, which read more each beyond that."""
 ID = "urn:chobo:page:"
 
 
 class Archive(NamedTuple):
-    """folder: of archives and index; captures: key, file, offset, size, record_type, digest of every record; files: (first key, name) of each index file."""
+    """folder: of archives and index; captures: key, file, offset, size, record_type, digest of every record; files: (first key, name) of each index file; reads: tasks that read all archives."""
 
     folder: str
     captures: DataFrame
     files: list[tuple[str, str]]
+    reads: int
 
 
 def surt(url: Column) -> Column:
@@ -192,11 +194,11 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     folder = shared_dir(pages.sparkSession)
     rows = pages.select(_names.col(id_col).alias("id"), _names.col(url_col).cast("string").alias("url"), _names.col(payload_col).cast("string").alias("payload"))
     captures = stage(_marked(rows, least).mapInArrow(_writer(folder, roll, date), CAPTURE), folder, "captures")
-    n = captures.count()
+    n, held = captures.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     order = ["key", "file", "offset"]
     parts = captures.repartitionByRange(max(1, min(MOST_FILES, -(-n // a_file))), *order).sortWithinPartitions(*order)
     files = stage(parts.mapInArrow(_indexer(folder, block), "first string, file string"), folder, "files")
-    return Archive(folder, captures, sorted((r.first, r.file) for r in files.collect()))
+    return Archive(folder, captures, sorted((r.first, r.file) for r in files.collect()), max(1, min(MOST_READS, held // READ_RANGE)))
 
 
 def _finder(folder: str, names: list[str]):
@@ -259,7 +261,7 @@ def look_up(ranges: DataFrame, archive: Archive) -> DataFrame:
 
     ranges = ranges.select("from", "to").filter("`from` is not null and `to` is not null").distinct()
     asked = ranges.mapInArrow(assign, "part int, from string, to string")
-    return asked.repartition("part").sortWithinPartitions("part", "from", "to").mapInArrow(_finder(archive.folder, [x[1] for x in archive.files]), CAPTURE)
+    return asked.repartition(max(1, len(archive.files)), "part").sortWithinPartitions("part", "from", "to").mapInArrow(_finder(archive.folder, [x[1] for x in archive.files]), CAPTURE)
 
 
 def read_records(captures: DataFrame, archive: Archive, payloads: bool = True) -> DataFrame:
@@ -297,7 +299,7 @@ def read_records(captures: DataFrame, archive: Archive, payloads: bool = True) -
                 f.close()
 
     part = F.floor(F.col("offset") / READ_RANGE)
-    return captures.select("file", "offset", "size").repartition("file", part).sortWithinPartitions("file", "offset").mapInArrow(run, ddl)
+    return captures.select("file", "offset", "size").repartition(archive.reads, "file", part).sortWithinPartitions("file", "offset").mapInArrow(run, ddl)
 
 
 def resolve(records: DataFrame) -> DataFrame:
