@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chobo.functions import checkdigit, dates, tax, text
 from chobo.functions.untyped import first_object, parsed
-from chobo.operators import boxes, corruption, evaluation, generator, membership, registry, scoring, verification_eval, verify
+from chobo.operators import boxes, bootstrap, corruption, evaluation, generator, membership, registry, report, scoring, verification_eval, verify
 from chobo.plans import adapter as A
 from chobo.plans import oracle as O
 from chobo.sources import readers
@@ -253,7 +253,7 @@ def _as_read(spark, d):
 @query(_with("SELECT id, s AS errors FROM parts", O.verdicts("h.id % 17")))
 def q_schema_errors(spark, d):
     g = A.gold(spark, d)
-    s = evaluation.last_wins(A.predictions(g).select("id", "parsed", "ordinal"), "id", ["ordinal"]).withColumnRenamed("id", "invoice_id")
+    s = registry.last_wins(A.predictions(g).select("id", "parsed", "ordinal"), "id", ["ordinal"]).withColumnRenamed("id", "invoice_id")
     s = g.select("id", "invoice_id").join(s, "invoice_id", "left")
     return verify.layer_reasons(s, None, look=False, tax=False).select("id", _joined("by_schema").alias("errors"))
 
@@ -338,6 +338,20 @@ def q_summary_by_slice(spark, d):
     return s.groupBy("metric", "slice").agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("k"), F.round(F.avg("value"), 9).alias("mean"))
 
 
+@query(_with(f"SELECT metric, slice, count(*) AS n, sum(v)::BIGINT AS k, round(avg(v), 9) AS mean FROM ({_LONG} UNION ALL SELECT 'predicted', '', (f <> 0)::INT FROM scored UNION ALL SELECT 'parsed_json', '', read_at_all::INT FROM scored) x GROUP BY metric, slice UNION ALL SELECT 'items_level', '', count(*), NULL, round(avg(items_correct / greatest(n_items, 1)), 9) FROM scored", O.SCORE))
+def q_summary_counts(spark, d):
+    """All counts of a summary by grouping sets, how many were predicted and how many could be read among them."""
+    return evaluation.summary_counts(_scored(spark, d)).withColumn("mean", F.round("mean", 9))
+
+
+@query()
+def q_seeded_intervals(spark, d):
+    """Intervals of every metric with the draws of a seeded generator over the documents in their order."""
+    s = _scored(spark, d).select(F.col("id").alias("o"), "exact", "layout", "template", "has_issue", "seal_overlap", "ok", "items_correct", "items_total")
+    long = evaluation.metrics(s, "o")
+    return bootstrap.seeded_intervals(long, ["metric", "slice"], "o", n_boot=200)
+
+
 @query(_with("SELECT layout, sum(items_correct)::BIGINT AS items_correct, round(avg(items_correct / greatest(n_items, 1)), 9) AS items_level FROM scored GROUP BY layout", O.SCORE))
 def q_items_level(spark, d):
     return _scored(spark, d).groupBy("layout").agg(F.sum("items_correct").alias("items_correct"), F.round(F.avg(F.col("items_correct") / F.greatest("items_total", F.lit(1))), 9).alias("items_level"))
@@ -391,18 +405,35 @@ def q_intended_check(spark, d):
     return verification_eval.caught_as_intended(_judged(spark, d)).groupBy("issue").agg(F.count("*").alias("n"), F.sum("value").cast("long").alias("k"))
 
 
-@query(_with("SELECT system, count(*) AS n, count(*) FILTER (exact) AS exact FROM (SELECT 'all' AS system, exact FROM scored UNION ALL SELECT 'even' AS system, exact OR id % 2 = 0 FROM scored UNION ALL SELECT 'gold', true FROM scored) x GROUP BY system", O.SCORE))
-def q_learning_curve(spark, d):
-    """Exact shares of several systems: the predictions, those with every second one put right, and the labels themselves."""
+_SYSTEMS = ("all", "even", "gold")
+
+
+def _systems(spark, d):
+    """Labels scored for three systems: the predictions, those with every second one put right, and the labels themselves."""
     g = A.gold(spark, d)
-    p = A.predictions(g).select("id", "parsed", "ordinal")
-    right = g.select(F.col("invoice_id").alias("id"), scoring.target().alias("parsed"), F.lit(2).alias("ordinal"), F.col("id").alias("n"))
-    systems = {"all": p, "even": p.unionByName(right.filter("n % 2 = 0").drop("n")), "gold": right.drop("n")}
-    out = None
-    for name, rows in systems.items():
-        one = evaluation.evaluate(g, rows).groupBy(F.lit(name).alias("system")).agg(F.count("*").alias("n"), F.count_if("exact").alias("exact"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    p = A.predictions(g).select("id", "parsed", "ordinal", F.explode(F.array(F.lit("all"), F.lit("even"))).alias("system"))
+    right = g.select(F.col("invoice_id").alias("id"), scoring.target().alias("parsed"), F.lit(2).alias("ordinal"), F.explode(F.when(F.col("id") % 2 == 0, F.array(F.lit("even"), F.lit("gold"))).otherwise(F.array(F.lit("gold")))).alias("system"))
+    return evaluation.evaluate(g, p.unionByName(right), list(_SYSTEMS))
+
+
+_BY_SYSTEM = "by_system AS (" + " UNION ALL ".join(f"SELECT '{x}' AS system, layout, exact{w} AS exact, " + ", ".join(f"{k}{w} AS {k}" for k in scoring.FIELDS) + " FROM scored" for x, w in (("all", ""), ("even", " OR id % 2 = 0"), ("gold", " OR true"))) + ")"
+
+
+@query(_with("SELECT system, count(*) AS n, count(*) FILTER (exact) AS exact FROM by_system GROUP BY system", O.SCORE, _BY_SYSTEM))
+def q_learning_curve(spark, d):
+    """Exact shares of three systems, from one evaluation."""
+    return _systems(spark, d).groupBy("system").agg(F.count("*").alias("n"), F.count_if("exact").alias("exact"))
+
+
+_FIGURES = " UNION ALL ".join(["SELECT system, 'exact' AS metric, exact::INT AS v FROM by_system", "SELECT system, 'exact_' || layout, exact::INT FROM by_system", *[f"SELECT system, '{k}', {k}::INT FROM by_system" for k in scoring.FIELDS]])
+_WIDE = ["exact", *scoring.FIELDS, "exact_horizontal", "exact_vertical"]
+
+
+@query(_with(f"SELECT p.system, n, {', '.join(f'p.{c}' for c in _WIDE)} FROM (PIVOT figure ON metric IN ({', '.join(map(repr, _WIDE))}) USING round(avg(v), 9) GROUP BY system) p JOIN (SELECT system, count(*) AS n FROM by_system GROUP BY system) c ON p.system = c.system", O.SCORE, _BY_SYSTEM, f"figure AS ({_FIGURES})"))
+def q_report_table(spark, d):
+    """The report's table of three systems: shares by field and layout."""
+    t = report.extraction_table(evaluation.summary_counts(_systems(spark, d), ("system",)))
+    return t.select("system", "n", *[F.round(c, 9).alias(c) for c in _WIDE])
 
 
 @query(_with("SELECT h.id, h.id % 17 <> 0 AS have_pred FROM head h"))
@@ -421,6 +452,21 @@ def q_shard(spark, d):
     return readers.shard(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), "o_totalprice"), 3, 4, "id")
 
 
+_CAUGHT = "SELECT issue, count(*) AS n, count(*) FILTER (('|' || reasons) LIKE '%|' || CASE issue " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in verification_eval.INTENDED.items()) + " END || '%') AS k FROM j WHERE issue IS NOT NULL GROUP BY issue"
+
+
+@query(_with(f"SELECT * FROM ({_CAUGHT}) a UNION ALL SELECT 'all', sum(n)::BIGINT, sum(k)::BIGINT FROM ({_CAUGHT}) b", *_JUDGED))
+def q_intended_overall(spark, d):
+    """How many documents with an issue the check meant for it caught, by kind and in all."""
+    return verification_eval.caught_counts(_judged(spark, d))
+
+
+@query(_with("SELECT metric, slice, count(*) AS n, round(avg(v), 9) AS mean, CASE WHEN metric <> 'items_level' THEN sum(v)::BIGINT END AS k FROM (" + _LONG + " UNION ALL SELECT 'items_level', '', items_correct / greatest(n_items, 1) FROM scored) x GROUP BY metric, slice", O.SCORE))
+def q_interval_counts(spark, d):
+    """What can be said in SQL of the summary's intervals: their n, mean and k."""
+    return evaluation.summarise(_scored(spark, d)).select("metric", "slice", "n", F.round("mean", 9).alias("mean"), "k")
+
+
 # ---- wrong digits, boxes, pages, summaries
 
 
