@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import resource
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -120,6 +121,25 @@ def map_array(path: str, dtype) -> np.ndarray:
         return np.memmap(own.name, dtype=dtype, mode="r") if os.path.getsize(own.name) else np.empty(0, dtype)
 
 
+class Maps:
+    """Stored arrays by path, memory-mapped. A map holds a file descriptor, so only so many stay open: a quarter of those
+    that the process may have, and 8,192 at most. Readers go over all parts of a model again and again, in the same order;
+    the first arrays therefore stay, and the others are mapped anew at each use, which a bound by last use would do to all.
+    """
+
+    def __init__(self, most: int | None = None) -> None:
+        self.most = most or max(16, min(8192, resource.getrlimit(resource.RLIMIT_NOFILE)[0] // 4))
+        self.open: dict[str, np.ndarray] = {}
+
+    def get(self, path: str, dtype) -> np.ndarray:
+        have = self.open.get(path)
+        if have is None:
+            have = map_array(path, dtype)
+            if len(self.open) < self.most:
+                self.open[path] = have
+        return have
+
+
 @contextlib.contextmanager
 def stream(path: str, mode: str):
     """A file of the shared folder, read ("rb") or written ("wb") from end to end."""

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from chobo.llm import _names, _text
 from chobo.llm._keys import FLUSH, Sums, blobs, merged, pack, unpack
-from chobo.llm._store import drop, map_array, shared_dir, stage, write_array
+from chobo.llm._store import Maps, drop, map_array, shared_dir, stage, write_array
 
 END = np.uint64(0x5851F42D4C957F2D)
 U32 = np.uint64(32)
@@ -78,12 +78,10 @@ class _Reader:
     """The mapped arrays of a model, opened as they are needed, in one worker."""
 
     def __init__(self, model: Model) -> None:
-        self.m, self.open = model, {}
+        self.m, self.maps = model, Maps()
 
     def array(self, name: str, dtype) -> np.ndarray:
-        if name not in self.open:
-            self.open[name] = map_array(f"{self.m.folder}/model/{name}", dtype)
-        return self.open[name]
+        return self.maps.get(f"{self.m.folder}/model/{name}", dtype)
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of sorted hashes; id -1 and count 0 where training had none."""

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from chobo.llm import _names, _text
 from chobo.llm._keys import Sums, blobs, merged, pack, unpack
-from chobo.llm._store import map_array, remove, shared_dir, stage, stream, write_array
+from chobo.llm._store import Maps, remove, shared_dir, stage, stream, write_array
 
 LENGTH, K = 50, 20
 KEPT_BITS = np.uint64(0xFFFFFFFFFFFF0000)
@@ -362,7 +362,7 @@ def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int =
     stored = {r.part: r.hot for r in stage(counted, folder, "counted").collect()}
 
     def lookup():
-        open_files: dict = {}
+        maps = Maps()
 
         def known(name, keys):
             unique, back = np.unique(keys, return_inverse=True)
@@ -373,9 +373,7 @@ def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int =
             for p in np.flatnonzero(np.diff(cut)).tolist():
                 if p not in stored or name == "hot" and not stored[p]:
                     continue
-                if (name, p) not in open_files:
-                    open_files[name, p] = map_array(f"{folder}/shared/{name}-{p}", np.uint64)
-                have, i = open_files[name, p], order[cut[p] : cut[p + 1]]
+                have, i = maps.get(f"{folder}/shared/{name}-{p}", np.uint64), order[cut[p] : cut[p + 1]]
                 if len(have):
                     found[i] = have[np.minimum(np.searchsorted(have, unique[i]), len(have) - 1)] == unique[i]
             return found[back]
