@@ -221,6 +221,29 @@ def q_registry_status(spark, d):
     return registry.look_up(rows, A.registry(spark, d), "number", "issue_date", "printed").select("id", "registry_status", "name_match")
 
 
+@query(_BUILT.replace("c11 AS address", "CASE WHEN right(c11, 1) = '7' THEN c11 || chr(10) || '2F, \"A\"' ELSE c11 END AS address"))
+def q_registry_files(spark, d):
+    """The registry by way of its CSV files, whose addresses hold line breaks, commas and quotes by turns."""
+    folder = shared_folder(spark)
+    address = F.when(F.substring("c11", -1, 1) == "7", F.concat("c11", F.lit('\n2F, "A"'))).otherwise(F.col("c11"))
+    r = A.raw_registry(spark, d).withColumn("c11", address)
+    cells = [F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) if c in r.columns else F.lit('""') for c in (f"c{i}" for i in range(24))]
+    r.repartitionByRange(2, "file").sortWithinPartitions("file", "line").select(F.concat_ws(",", *cells)).write.text(f"{folder}/csv")
+    return registry.build(readers.registry_csv(spark, f"{folder}/csv"))
+
+
+@query(_with("SELECT count(*) AS n, count(*) FILTER (f <> 0) AS predicted, count(*) FILTER (read_at_all) AS parsed_json, count(*) FILTER (exact) AS exact FROM scored", O.SCORE))
+def q_predictions_files(spark, d):
+    """The summary of predictions by way of their JSON lines, the later file's answers replacing the earlier one's."""
+    folder = shared_folder(spark)
+    g = A.gold(spark, d)
+    p = A.predictions(g).select("ordinal", F.concat(F.lit('{"id": "none", "id": "'), "id", F.lit('", "parsed": '), F.coalesce(F.to_json("parsed"), F.lit("null")), F.lit("}")).alias("value"))
+    p.repartitionByRange(2, "ordinal").sortWithinPartitions("ordinal").select("value").write.text(f"{folder}/predictions")
+    s = evaluation.summary_counts(evaluation.evaluate(g, readers.predictions_json(spark, f"{folder}/predictions")))
+    k = lambda m: F.max(F.when(F.col("metric") == m, F.col("k")))
+    return s.agg(F.max("n").alias("n"), *[k(m).alias(m) for m in ("predicted", "parsed_json", "exact")])
+
+
 def _stored(spark, d) -> RegistryTable:
     """The registry's two files, taken into a stored table one after the other."""
     table = RegistryTable(spark, shared_folder(spark), buckets=16)
@@ -507,33 +530,37 @@ def q_rule_extract(spark, d):
     """Fields read back from tilted text boxes with letters in place of digits; the labels are the answer."""
     b = A.boxes(A.gold(spark, d))
     row = lambda keys: lambda x: F.concat_ws("/", *[x[k].cast("string") for k in keys])
-    out = boxes.extract(b.select("invoice_id", "lines")).join(b.select("invoice_id", "id"), "invoice_id")
-    return out.select("id", "issuer_name", "registration_number", "issue_date", "recipient_name", "invoice_number", "tax_included", "grand_total", _joined(F.transform("items", row(["description", "quantity", "unit_price", "amount", "rate"]))).alias("items"), _joined(F.transform("totals", row(["rate", "subtotal", "tax"]))).alias("totals"))
+    out = boxes.extract(b)
+    return out.select(F.replace("invoice_id", F.lit("INV-"), F.lit("")).cast("long").alias("id"), "issuer_name", "registration_number", "issue_date", "recipient_name", "invoice_number", "tax_included", "grand_total", _joined(F.transform("items", row(["description", "quantity", "unit_price", "amount", "rate"]))).alias("items"), _joined(F.transform("totals", row(["rate", "subtotal", "tax"]))).alias("totals"))
 
 
 @query(_with("SELECT id, (id % 3) * 0.01 AS slope FROM head"))
 def q_deskew_slope(spark, d):
     b = A.boxes(A.gold(spark, d))
-    s = boxes.tilt(boxes.header_cells(boxes.explode_lines(b))).join(b.select("invoice_id", "id"), "invoice_id")
-    return s.select("id", F.round("slope", 9).alias("slope"))
+    return boxes.with_tilt(boxes.with_header(boxes.with_lines(b))).select("id", F.round("slope", 9).alias("slope"))
 
 
-@query()
+_BOXES = """page AS (SELECT id, n_items, 340 + 24 * n_items AS foot FROM head JOIN n USING (id)),
+placed AS (SELECT id, unnest([40, 480, 480, 480, 480, 40, 300, 420, 540]) AS x, unnest([200, 200, 200, 200, 200, 90, 90, 90, 90]) AS w, unnest([40, 80, 110, 140, 170, 270, 270, 270, 270]) AS y FROM page
+  UNION ALL SELECT id, unnest([40, 300, 420, 540]), 90, 300 + 24 * i FROM page JOIN item USING (id)
+  UNION ALL SELECT id, unnest([300, 420]), unnest([110, 180]), foot + 24 * (row_number() OVER (PARTITION BY id ORDER BY rate DESC) - 1) FROM page JOIN total USING (id)
+  UNION ALL SELECT id, unnest([300, 440, 40]), unnest([100, 120, 300]), unnest([foot + 72, foot + 72, foot + 110]) FROM page),
+box AS (SELECT id, row_number() OVER () AS i, x, w, y + (id % 3) * 0.01 * (x + w / 2) AS cy FROM placed)"""
+
+
+@query(_with("SELECT a.id, count(DISTINCT a.i) AS lines, count(*) AS pairs FROM box a JOIN box b ON a.id = b.id AND a.i <> b.i AND abs(b.cy - a.cy) < 14 AND b.x - a.x - a.w >= -25 AND b.x - a.x - a.w < 60 GROUP BY a.id", _BOXES))
 def q_line_bands(spark, d):
     """Lines with close neighbours to the right or below, by document."""
     b = A.boxes(A.gold(spark, d))
-    s = boxes.neighbours(boxes.explode_lines(b)).join(b.select("invoice_id", "id"), "invoice_id")
-    return s.groupBy("id").agg(F.count("*").alias("lines"), F.sum(F.size("neighbours")).alias("pairs"))
+    s = boxes.with_lines(b).select("id", F.filter(F.transform("L", lambda a: F.size(boxes.neighbours(F.col("L"), a)).cast("long")), lambda n: n > 0).alias("n"))
+    return s.filter(F.size("n") > 0).select("id", F.size("n").cast("long").alias("lines"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("pairs"))
 
 
 @query(_with("SELECT id, issuer_name, CAST(3 AS BIGINT) AS votes FROM head"))
 def q_issuer_vote(spark, d):
     """The issuer's name and its votes: one of the bank line, two of its own."""
     b = A.boxes(A.gold(spark, d))
-    v = boxes.name_votes(boxes.deskew(boxes.explode_lines(b)))
-    best = boxes.names(v).select("invoice_id", "issuer_name")
-    votes = v.filter("not recipient").groupBy("invoice_id", F.col("name").alias("issuer_name")).agg(F.sum("weight").alias("votes"))
-    return best.join(votes, ["invoice_id", "issuer_name"]).join(b.select("invoice_id", "id"), "invoice_id").select("id", "issuer_name", "votes")
+    return boxes.deskewed(b).select("id", boxes.names(boxes.name_votes(F.col("L"))).alias("n")).select("id", "n.issuer_name", "n.votes")
 
 
 @query("""SELECT page_id, k, (list_sum(list_transform(gap[:k + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[:k], lambda x: length(x))), 0))::INT AS at, hit[k + 1] AS text FROM
@@ -551,7 +578,7 @@ def q_recipient_named_twice(spark, d):
     h = _head(spark, d)
     twice = F.concat("recipient", F.lit(" "), "recipient", F.lit("御中"))
     pages = h.select("id", F.col("id").cast("string").alias("invoice_id"), F.array(line(twice, 40.0), line(F.col("issuer_name"), 90.0), line(F.concat(F.lit("口座名義 "), "issuer_name"), 140.0)).alias("lines"))
-    return boxes.names(boxes.name_votes(boxes.explode_lines(pages))).select(F.col("invoice_id").cast("long").alias("id"), "issuer_name", "recipient_name")
+    return boxes.with_lines(pages).select("id", boxes.names(boxes.name_votes(F.col("L"))).alias("n")).select("id", "n.issuer_name", "n.recipient_name")
 
 
 @query(_with("SELECT id, CASE WHEN id % 9 = 0 THEN reg_no ELSE '' END AS missing FROM head"))
