@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -292,12 +293,10 @@ def q_verify_full(spark, d):
 @query(_with("SELECT id, first_level > 1 AS schema_only, first_level > 3 AS up_to_registry, coalesce(s, '') <> '' OR t IS NULL AS tax_only FROM verdict JOIN (SELECT id, s, t FROM parts) p USING (id)", O.verdicts(_GOLD_READ)))
 def q_verify_layers(spark, d):
     """Approval under three sets of layers; with tax alone, what ends verification is approved."""
-    rows, reg = _as_read(spark, d), A.registry(spark, d)
+    s = verify.layer_reasons(_as_read(spark, d), A.registry(spark, d))
     asked = {"schema_only": ("schema",), "up_to_registry": ("schema", "check_digit", "registry"), "tax_only": ("tax",)}
-    out = rows.select("id")
-    for name, layers in asked.items():
-        out = out.join(verify.verify(rows, reg, layers).select("id", F.col("approved").alias(name)), "id")
-    return out
+    none = lambda layers: functools.reduce(lambda a, b: a & b, [F.size(f"by_{x}") == 0 for x in layers])
+    return s.select("id", *[none(layers).alias(name) for name, layers in asked.items()])
 
 
 @query(_with("SELECT template, reasons = '' AS approved, count(*) AS n FROM verdict GROUP BY 1, 2", O.verdicts(_GOLD_READ)))
@@ -571,6 +570,23 @@ def q_pattern_positions(spark, d):
     return s.select("page_id", F.posexplode(text.matches_at(F.col("html"), "[0-9]+")).alias("k", "m")).select("page_id", "k", "m.at", "m.text")
 
 
+@query(_with("""SELECT id, j::INT AS line, text, x0, y0, x1, y1 FROM (SELECT id, k // 4 AS j, trim(string_agg(substr(t, 1 + k, 1), '' ORDER BY k)) AS text, min(x) AS x0, min(y) AS y0, max(x) + 9.0 AS x1, max(y) + 9.0 AS y1 FROM
+  (SELECT id, t, k, CASE WHEN id % 2 = 1 THEN 300 - 24.0 * (k // 4) + 0.5 * (k % 2) ELSE 100 + 10.0 * (k % 4) END AS x, CASE WHEN id % 2 = 1 THEN 40 + 10.0 * (k % 4) ELSE 40 + 24.0 * (k // 4) + 0.5 * (k % 2) END AS y
+   FROM (SELECT id, issuer_name || '  ' || invoice_number || '    ' AS t, unnest(range(length(issuer_name || '  ' || invoice_number || '    '))) AS k FROM head) c) p GROUP BY id, k // 4) r WHERE text <> ''"""))
+def q_character_runs(spark, d):
+    """Lines of four characters, across and down by turns, rebuilt from the characters' places."""
+    s = _head(spark, d).select("id", F.concat("issuer_name", F.lit("  "), "invoice_number", F.lit("    ")).alias("t"))
+    s = s.select("id", F.posexplode(F.split("t", "")).alias("k", "character"))
+    j, k, down = F.floor(F.col("k") / 4), F.col("k") % 4, F.col("id") % 2 == 1
+    off = 0.5 * (F.col("k") % 2)
+    left, top = F.when(down, 300 - 24.0 * j + off).otherwise(100 + 10.0 * k), F.when(down, 40 + 10.0 * k).otherwise(40 + 24.0 * j + off)
+    placed = s.select(F.col("id").alias("invoice_id"), F.lit(0).alias("node"), F.col("k").alias("i"), "character", left.alias("left"), top.alias("top"), (left + 9).alias("right"), (top + 9).alias("bottom"), down.alias("vertical"))
+    lines = boxes.runs_of_characters(placed).select(F.col("invoice_id").alias("id"), F.explode("lines").alias("l"))
+    at = lambda i: F.get("l.box", F.lit(i))
+    line = F.when(F.col("l.vertical"), F.floor((300 - at(0)) / 24 + 0.5)).otherwise(F.floor((at(1) - 40) / 24)).cast("int")
+    return lines.select("id", line.alias("line"), "l.text", *[at(i).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
+
+
 @query(_with("SELECT id, issuer_name, recipient AS recipient_name FROM head"))
 def q_recipient_named_twice(spark, d):
     """Pages that print the recipient twice in a line, before 御中 the second time only."""

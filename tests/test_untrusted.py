@@ -112,3 +112,15 @@ def test_recipient_is_the_match_before_the_cue(spark):
     df = spark.createDataFrame(docs, f"invoice_id string, lines array<{readers.BOX}>")
     got = {r.invoice_id: (r.issuer_name, r.recipient_name) for r in boxes.with_lines(df).select("invoice_id", boxes.names(boxes.name_votes(F.col("L"))).alias("n")).select("invoice_id", "n.*").collect()}
     assert got == {"a": ("株式会社ああ", "株式会社ああ"), "b": ("株式会社いい", "株式会社ああ")}
+
+
+def test_runs_of_characters(spark):
+    """A change of line begins a run, also back to an earlier line; blank runs, characters without extent or place are none."""
+    def put(node, text, tops, vertical=False, left=None):
+        return [("d", node, i, c, float(10 * i) if left is None else left[i], t, (float(10 * i) if left is None else left[i]) + 8.0, None if t is None else t + 8.0, vertical) for i, (c, t) in enumerate(zip(text, tops, strict=True))]
+
+    rows = put(0, "ab cd", [40.0, 41.0, 41.0, 64.0, 64.0]) + put(1, "xyx", [10.0, 30.0, 10.0]) + put(2, "  ", [0.0, 0.0]) + put(3, "縦書", [5.0, 15.0], True, [30.0, 30.4]) + put(4, "n", [None]) + [("d", 5, 0, "z", 1.0, 1.0, 1.0, 1.0, False)]
+    df = spark.createDataFrame(rows, "invoice_id string, node int, i int, character string, left double, top double, right double, bottom double, vertical boolean").repartition(3)
+    got = boxes.runs_of_characters(df).first()
+    assert [(x.text, x.box, x.vertical) for x in got.lines] == [("ab", [0.0, 40.0, 28.0, 49.0], False), ("cd", [30.0, 64.0, 48.0, 72.0], False), ("x", [0.0, 10.0, 8.0, 18.0], False), ("y", [10.0, 30.0, 18.0, 38.0], False), ("x", [20.0, 10.0, 28.0, 18.0], False), ("縦書", [30.0, 5.0, 38.4, 23.0], True)]
+    assert "".join(x.text for x in boxes.extract(boxes.runs_of_characters(df)).select("invoice_id").withColumnRenamed("invoice_id", "text").collect()) == "d"
