@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chobo.functions.checkdigit import corporate_number
-from chobo.functions.tax import ROUNDINGS, expected_tax
+from chobo.functions.tax import ROUNDINGS, check_tax, expected_tax
 from chobo.functions.text import company_name
 
 FORMS = ("株式会社", "有限会社", "合同会社")
@@ -23,6 +23,16 @@ PLACES = ("東京都千代田区", "大阪府北区", "愛知県中区", "福岡
 TRADES = ("商店", "工務店", "製作所", "運輸", "食品")
 #: Of a hundred issuers these many round down, half up, up; have a seal; of decoys these many are active, expired, revoked.
 ROUNDING_SHARES, SEAL_SHARE, PROCESS_SHARES = (50, 35, 15), 70, (85, 9, 6)
+#: Structures and skins of pages; those of the hold-out are in no other split.
+STRUCTURES, SKINS = ("h_classic", "h_banded", "h_compact", "v_header"), ("k0", "k1", "k2", "k3", "k4")
+HOLDOUT_STRUCTURES, HOLDOUT_SKINS = ("h_twocol", "v_columns"), ("k5", "k6")
+#: Kinds of document issues, quantities, how often in a hundred a seal covers text, kinds of printed numbers.
+ISSUES = ("reg_no_check_digit", "reg_no_unregistered", "reg_no_other_company", "reg_no_revoked", "tax_total_wrong")
+QUANTITIES, OVERLAP_SHARE, NUMBER_HEADS = (1, 1, 2, 3, 5, 10, 12), 25, ("INV", "No.", "R")
+LAST_ISSUE_DAY = "2026-09-30"
+SURNAMES = ("青木", "井上", "上田", "遠藤", "岡本", "加藤", "木村", "久保")
+#: What fictitious companies sell: description, least and largest price, rate. Food at the lower rate is marked.
+PRODUCTS = (("文具一式", 300, 900, 10), ("トナー", 4000, 16000, 10), ("清掃", 9000, 45000, 10), ("保守", 15000, 80000, 10), ("印刷", 1200, 30000, 10), ("配送", 700, 5000, 10), ("会場費", 5000, 20000, 10), ("延長コード", 600, 1500, 10), ("※飲料水", 90, 1000, 8), ("※弁当", 500, 1100, 8), ("※茶葉", 700, 2000, 8), ("※焼き菓子", 1000, 3300, 8))
 FIRST_DAYS = ("2023-10-01", "2023-10-01", "2024-04-01", "2025-01-15")
 OFFSETS = (-100, -10, -3, -2, -1, 1, 2, 3, 10, 100)
 BUCKET = 16
@@ -88,6 +98,72 @@ def phone(key: Column) -> Column:
     return F.concat(F.lit("0"), pick(key, "area", ("3", "6", "52", "92", "11", "22")), F.lit("-"), (draw(key, "exchange", 9000) + 1000).cast("string"), F.lit("-"), (draw(key, "line", 9000) + 1000).cast("string"))
 
 
+def person_name(key: Column) -> Column:
+    """A sole proprietor's trade name."""
+    return F.concat(pick(key, "surname", SURNAMES), pick(key, "trade", TRADES))
+
+
+def layout_of(template: Column) -> Column:
+    return F.when(F.startswith(template, F.lit("v_")), "vertical").otherwise("horizontal")
+
+
+def template_of(split: Column, ordinal: Column) -> Column:
+    """The page of the n-th invoice of a split: structure__skin, every one in turn; the hold-out has pages of its own."""
+
+    def turn(structures, skins):
+        names = [f"{a}__{b}" for a in structures for b in skins]
+        return F.element_at(F.array(*map(F.lit, names)), (F.pmod(ordinal, F.lit(len(names))) + 1).cast("int"))
+
+    return F.when(split == "holdout", turn(HOLDOUT_STRUCTURES, HOLDOUT_SKINS)).otherwise(turn(STRUCTURES, SKINS))
+
+
+def drawn_items(key: Column) -> Column:
+    """array of description, quantity, unit_price, amount, rate: two to seven different products, each at a price in its
+    range, in whole tens where prices exceed a thousand."""
+    number = lambda n: F.lit(n).cast("long")
+    shelf = [F.struct(F.md5(F.concat(F.lit("item:"), key, F.lit(f"/{j}"))).alias("h"), F.concat(key, F.lit(f"/{j}")).alias("k"), F.lit(d).alias("d"), number(lo).alias("lo"), number(10 if hi > 1000 else 1).alias("step"), number((hi - lo) // (10 if hi > 1000 else 1) + 1).alias("n"), F.lit(rate).alias("rate")) for j, (d, lo, hi, rate) in enumerate(PRODUCTS)]
+    chosen = F.slice(F.array_sort(F.array(*shelf)), F.lit(1), (draw(key, "items", 6) + 2).cast("int"))
+    priced = F.transform(chosen, lambda p: F.struct(p.d.alias("d"), pick(p.k, "quantity", QUANTITIES).cast("long").alias("q"), (p.lo + p.step * draw(p.k, "price", p.n)).alias("u"), p.rate.alias("rate")))
+    return F.transform(priced, lambda p: F.struct(p.d.alias("description"), p.q.alias("quantity"), p.u.alias("unit_price"), (p.q * p.u).alias("amount"), p.rate.alias("rate")))
+
+
+def draw_invoices(orders: DataFrame, issuers: DataFrame, recipients: DataFrame, n_recipients: int, issue_share: int = 12) -> DataFrame:
+    """Everything about invoices that is drawn, for make_invoices(): id, issuer, split, template, layout, recipient_name,
+    items, issue_date, date_style, yen_style, invoice_number, seal, seal_overlap, issue.
+
+    orders: id (long), issuer (a key of ``issuers``), split, ordinal; recipients: number (0 to n_recipients - 1), name;
+    issue_share: how many in a hundred have a document issue. A day is not before the issuer's first one.
+    """
+    k = F.col("id").cast("string")
+    s = orders.join(issuers.select(F.col("key").alias("issuer"), "seal", "registered"), "issuer").withColumn("number", draw(k, "recipient", n_recipients))
+    s = s.join(recipients.select("number", F.col("name").alias("recipient_name")), "number")
+    first = F.greatest(F.lit("2023-10-01"), "registered").cast("date")
+    day = F.date_add(first, draw(k, "day", (F.datediff(F.lit(LAST_ISSUE_DAY).cast("date"), first) + 1).cast("long")).cast("int"))
+    template = template_of(F.col("split"), F.col("ordinal"))
+    return s.select(
+        "id", "issuer", "split", template.alias("template"), layout_of(template).alias("layout"), "recipient_name", drawn_items(k).alias("items"), day.cast("string").alias("issue_date"),
+        draw(k, "date-style", 6).cast("int").alias("date_style"), draw(k, "yen-style", 4).cast("int").alias("yen_style"), F.concat(pick(k, "number-head", NUMBER_HEADS), F.lit("-"), (draw(k, "number", 99_000) + 1000).cast("string")).alias("invoice_number"),
+        "seal", (F.col("seal") & (draw(k, "overlap", 100) < OVERLAP_SHARE)).alias("seal_overlap"), F.when(draw(k, "has-issue", 100) < issue_share, pick(k, "issue", ISSUES)).alias("issue"),
+    )
+
+
+def generation_summary(drawn: DataFrame, made: DataFrame) -> DataFrame:
+    """counter, value, n: invoices by template, issue (none if there is none) and layout, those whose seal covers text, and
+    of those without issue how many there are and pass the tax check. One aggregation by grouping sets."""
+    errors = check_tax(F.col("items"), F.col("totals"), F.col("grand_total"), F.col("tax_included")).getField("ok")
+    s = made.select("id", errors.alias("ok")).join(drawn.select("id", "template", "layout", "seal_overlap", F.coalesce("issue", F.lit("none")).alias("issue")), "id")
+    sets = [[], ["template"], ["issue"], ["layout"]]
+    clean = F.col("issue") == "none"
+    s = s.withColumns({"__clean": clean.cast("long"), "__pass": (clean & F.col("ok")).cast("long")})
+    g = s.groupingSets([[F.col(c) for c in x] for x in sets], F.col("template"), F.col("issue"), F.col("layout")).agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.count_if("seal_overlap").alias("seal"), F.coalesce(F.sum("__clean"), F.lit(0)).alias("clean"), F.coalesce(F.sum("__pass"), F.lit(0)).alias("passed"))
+    one = lambda counter, value, n: F.struct(F.lit(counter).alias("counter"), value.alias("value"), n.cast("long").alias("n"))
+    whole = F.array(*[one(c, F.lit(""), F.col(n)) for c, n in (("total", "n"), ("seal_overlap", "seal"), ("tax_checker_clean_total", "clean"), ("tax_checker_clean_pass", "passed"))])
+    rows = F.when(F.col("g") == 7, whole)
+    for g_id, c in ((3, "template"), (5, "issue"), (6, "layout")):
+        rows = rows.when(F.col("g") == g_id, F.array(one(f"by_{c}", F.col(c), F.col("n"))))
+    return g.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def build_issuers(keys: DataFrame, real: DataFrame) -> DataFrame:
     """key, reg_no, name, address, phone, rounding, seal, registered of each key; numbers and names are not in ``real``."""
     k = F.col("key")

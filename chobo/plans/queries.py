@@ -759,6 +759,48 @@ def q_generated_invoices(spark, d):
     return s.groupBy("issue").agg(F.count("*").alias("n"), F.count_if(as_meant).alias("numbers_as_meant"), F.count_if(errors == expected).alias("totals_as_meant"))
 
 
+_TEMPLATES = [f"{a}__{b}" for a in generator.STRUCTURES for b in generator.SKINS]
+_HOLDOUTS = [f"{a}__{b}" for a in generator.HOLDOUT_STRUCTURES for b in generator.HOLDOUT_SKINS]
+_STEP = [10 if hi > 1000 else 1 for _, _, hi, _ in generator.PRODUCTS]
+_SHELF = "SELECT unnest(range({}))::VARCHAR AS j, unnest({}) AS d, unnest({}) AS lo, unnest({}) AS step, unnest({}) AS n, unnest({}) AS rate".format(
+    len(generator.PRODUCTS), [p[0] for p in generator.PRODUCTS], [p[1] for p in generator.PRODUCTS], _STEP, [(p[2] - p[1]) // s + 1 for p, s in zip(generator.PRODUCTS, _STEP, strict=True)], [p[3] for p in generator.PRODUCTS])
+_DRAWN = f"""issuer AS ({_ISSUERS}),
+base AS (SELECT h.id, h.id::VARCHAR AS k, h.split, i.seal, greatest('2023-10-01', i.registered)::DATE AS first FROM head h JOIN issuer i ON i.key = h.k::VARCHAR),
+sold AS (SELECT id, string_agg(concat_ws('/', d, quantity, unit_price, quantity * unit_price, rate), '|' ORDER BY h, j) AS items FROM
+  (SELECT id, k, s.*, md5('item:' || k || '/' || j) AS h, row_number() OVER (PARTITION BY id ORDER BY md5('item:' || k || '/' || j)) AS r, {_pick("k || '/' || j", 'quantity', generator.QUANTITIES)} AS quantity, lo + step * {_draw("k || '/' || j", 'price', 'n')} AS unit_price FROM base, ({_SHELF}) s) x
+  WHERE r <= {_draw('k', 'items', 6)} + 2 GROUP BY id),
+drawn AS (SELECT id, k, CASE WHEN split = 'holdout' THEN ({_HOLDOUTS})[id % {len(_HOLDOUTS)} + 1] ELSE ({_TEMPLATES})[id % {len(_TEMPLATES)} + 1] END AS template,
+  (first + {_draw('k', 'day', "(date_diff('day', first, DATE '" + generator.LAST_ISSUE_DAY + "') + 1)")}::INT)::DATE::VARCHAR AS issue_date, seal AND {_draw('k', 'overlap', 100)} < {generator.OVERLAP_SHARE} AS seal_overlap,
+  CASE WHEN {_draw('k', 'has-issue', 100)} < 12 THEN {_pick('k', 'issue', generator.ISSUES)} END AS issue, {_draw('k', 'recipient', 600)}::VARCHAR AS recipient FROM base)"""
+
+
+def _drawn(spark, d):
+    recipients = generator.unique_names(spark.range(600).select(F.col("id").cast("string").alias("key")), A.registry(spark, d)).select(F.col("key").cast("long").alias("number"), "name")
+    orders = A.flat(spark, d, A.HEAD).select("id", F.col("k").cast("string").alias("issuer"), "split", F.col("id").alias("ordinal"))
+    issuers = generator.build_issuers(_customers(spark, d), A.registry(spark, d))
+    return issuers, generator.draw_invoices(orders, issuers, recipients, 600)
+
+
+@query(_with(f"""SELECT id, template, CASE WHEN template LIKE 'v%' THEN 'vertical' ELSE 'horizontal' END AS layout, items, issue_date, seal_overlap, issue,
+  {_pick("recipient || '/0'", 'name-f', generator.FORMS)} || '架空' || {_draw("recipient || '/0'", 'name-n', 10**9)} || {_pick("recipient || '/0'", 'name-t', generator.TRADES)} AS recipient_name,
+  {_draw('k', 'date-style', 6)}::INT AS date_style, {_draw('k', 'yen-style', 4)}::INT AS yen_style, {_pick('k', 'number-head', generator.NUMBER_HEADS)} || '-' || ({_draw('k', 'number', 99000)} + 1000) AS invoice_number FROM drawn JOIN sold USING (id)""", _DRAWN))
+def q_drawn_invoices(spark, d):
+    """All that is drawn for an invoice of every order."""
+    row = lambda x: F.concat_ws("/", *[x[k].cast("string") for k in ("description", "quantity", "unit_price", "amount", "rate")])
+    s = _drawn(spark, d)[1].drop("issuer", "split", "seal")
+    return s.withColumn("items", _joined(F.transform("items", row)))
+
+
+@query(_with("""SELECT 'total' AS counter, '' AS value, count(*) AS n FROM drawn UNION ALL SELECT 'seal_overlap', '', count(*) FILTER (seal_overlap) FROM drawn
+  UNION ALL SELECT unnest(['tax_checker_clean_total', 'tax_checker_clean_pass']), '', count(*) FILTER (issue IS NULL) FROM drawn UNION ALL SELECT 'by_template', template, count(*) FROM drawn GROUP BY template
+  UNION ALL SELECT 'by_issue', coalesce(issue, 'none'), count(*) FROM drawn GROUP BY issue UNION ALL SELECT 'by_layout', CASE WHEN template LIKE 'v%' THEN 'vertical' ELSE 'horizontal' END, count(*) FROM drawn GROUP BY 2""", _DRAWN))
+def q_generation_summary(spark, d):
+    """The counters of a generated set: drawn, made, and checked by the tax rules."""
+    issuers, drawn = _drawn(spark, d)
+    made = generator.make_invoices(drawn.select("id", "issuer", "issue_date", "issue", "items"), issuers, _made(spark, d))
+    return generator.generation_summary(drawn, made)
+
+
 @query(_with("SELECT reg_no FROM registry ORDER BY md5('sample:' || reg_no), reg_no LIMIT 100"))
 def q_exact_sample(spark, d):
     """A hundred numbers without replacement, for the study of corrupted ones."""

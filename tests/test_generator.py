@@ -95,3 +95,24 @@ def test_printed_values_and_matched(spark):
     want = ["A"] * 6 + ["3,300円", "d", "2", "1,500円", "3,000円", "10%", "3,000円", "300円", "10%", "15円", "1円"]
     assert s.select(text.printed_values(g, F.lit(2))).first()[0] == want
     assert s.select(tax.matched(F.col("totals"), F.lit(False))).first()[0] == {10: ["floor"]}
+
+
+def test_drawn_invoices(spark):
+    """What is drawn is within its bounds, the same for a key in any order, and goes on to whole invoices."""
+    issuers = spark.createDataFrame([("a", "T7000012050002", "株式会社甲", "floor", True, "2023-10-01"), ("b", "T1000020012131", "乙", "ceil", False, "2025-01-15")], "key string, reg_no string, name string, rounding string, seal boolean, registered string")
+    recipients = spark.range(9).select(F.col("id").alias("number"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("name"))
+    orders = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("issuer"), F.when(F.col("id") % 4 == 0, "holdout").otherwise("train").alias("split"), F.floor(F.col("id") / 4).alias("ordinal"))
+    draw = lambda o: generator.draw_invoices(o, issuers, recipients, 9)
+    rows = {r.id: r for r in draw(orders).collect()}
+    assert rows == {r.id: r for r in draw(orders.repartition(7)).collect()} and len(rows) == 400
+    allowed = {d: (lo, hi, rate) for d, lo, hi, rate in generator.PRODUCTS}
+    for r in rows.values():
+        assert 2 <= len(r["items"]) <= 7 and len({i.description for i in r["items"]}) == len(r["items"])
+        for i in r["items"]:
+            lo, hi, rate = allowed[i.description]
+            assert lo <= i.unit_price <= hi and i.amount == i.quantity * i.unit_price and i.rate == rate and i.quantity in generator.QUANTITIES
+        assert ("2023-10-01" if r.issuer == "a" else "2025-01-15") <= r.issue_date <= generator.LAST_ISSUE_DAY
+        assert r.layout == ("vertical" if r.template.startswith("v_") else "horizontal") and not (r.seal_overlap and r.issuer == "b")
+        assert (r.template.split("__")[0] in generator.HOLDOUT_STRUCTURES) == (r.split == "holdout")
+    assert len({r.template for r in rows.values()}) == 4 + 15 and {r.issue for r in rows.values()} == {None, *generator.ISSUES}
+    assert spark.range(1).select(generator.person_name(F.lit("k"))).first()[0].startswith(generator.SURNAMES)
