@@ -9,6 +9,7 @@ from chobo.functions.text import full_width, let, nfkc, strip
 
 # Era, its letter, first and last day, and what is added to its years.
 ERAS = [("令和", "R", "2019-05-01", "9999-12-31", 2018), ("平成", "H", "1989-01-08", "2019-04-30", 1988), ("昭和", "S", "1926-12-25", "1989-01-07", 1925)]
+# The printed forms of dates, and the days of qualified invoices.
 ERA_LONG = r"(?U)^(令和|平成|昭和)\s*([0-9]{1,2})\s*年\s*([0-9]{1,2})\s*月\s*([0-9]{1,2})\s*日?$"
 ERA_SHORT = r"(?iU)^([RHS])\s*\.?\s*([0-9]{1,2})\s*[./年-]\s*([0-9]{1,2})\s*[./月-]\s*([0-9]{1,2})\s*日?$"
 WESTERN = r"(?U)^([0-9]{4})\s*[./年-]\s*([0-9]{1,2})\s*[./月-]\s*([0-9]{1,2})\s*日?$"

@@ -3,7 +3,7 @@
 Draws are md5 of salt and key, so a row's values depend on its key alone, in any order and on any number of machines.
 Where a draw may be unusable (a number that exists, a total that some rounding explains) it is made among the usable
 values, or the first usable one of a few proposals is taken; nothing is drawn again and again on one machine. What a
-round has given is kept by Spark (persist), since the next round and the result both read it.
+round has given is written to the shared folder, since the next round and the result both read it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from chobo.functions.checkdigit import corporate_number
 from chobo.functions.tax import ROUNDINGS, check_tax, expected_tax
 from chobo.functions.text import company_name
+from chobo.sources.folders import written
 
 FORMS = ("株式会社", "有限会社", "合同会社")
 PLACES = ("東京都千代田区", "大阪府北区", "愛知県中区", "福岡県博多区", "北海道中央区")
@@ -69,7 +70,7 @@ def first_free(keys: DataFrame, propose: Callable[[Column], Column], taken: Data
         tried = tried.withColumn("value", propose(F.concat("key", F.lit("/"), F.col("attempt").cast("string")))).withColumn("k", same(F.col("value")))
         free = tried.join(used, "k", "left_anti")
         first = free.groupBy("key").agg(F.min(F.struct("attempt", "value", "k")).alias("f")).select("key", "f.value", "f.k")
-        given = first.groupBy("k").agg(F.min(F.struct("key", "value")).alias("g")).select("g.key", "g.value", "k").persist()
+        given = written(first.groupBy("k").agg(F.min(F.struct("key", "value")).alias("g")).select("g.key", "g.value", "k"))
         done = given if done is None else done.unionByName(given)
         used, at = used.union(given.select("k")), at + tries
         left = left.join(given, "key", "left_anti")
@@ -205,7 +206,7 @@ def other_company(invoices: DataFrame, registry: DataFrame, process: str = "01",
         asked = left.select("id", "reg_no", "issue_date", probe).withColumn("bucket", (draw(key, "decoy", buckets) + F.col("probe")) % buckets)
         fits = asked.join(active, "bucket").filter(F.col("decoy") != F.col("reg_no"))
         fits = fits.filter(F.col("registered") <= F.col("issue_date")) if by_day else fits
-        found = fits.groupBy("id").agg(F.min(F.struct("probe", F.md5(F.concat(key, "decoy")).alias("h"), "decoy", "revoked")).alias("f")).select("id", "f.decoy", "f.revoked").persist()
+        found = written(fits.groupBy("id").agg(F.min(F.struct("probe", F.md5(F.concat(key, "decoy")).alias("h"), "decoy", "revoked")).alias("f")).select("id", "f.decoy", "f.revoked"))
         done = found if done is None else done.unionByName(found)
         left, at = left.join(found, "id", "left_anti"), at + probes
         if at >= buckets or left.isEmpty():
@@ -259,7 +260,7 @@ def make_invoices(orders: DataFrame, issuers: DataFrame, registry: DataFrame) ->
     hit = draw(k, "which-total", F.greatest(F.size("totals"), F.lit(1)))
     wrong = F.transform("totals", lambda t, i: F.when(i == hit, t.withField("tax", wrong_tax(k, t.subtotal, t.rate, F.col("tax_included"), t.tax))).otherwise(t))
     s = s.withColumn("totals", F.when(F.col("issue") == "tax_total_wrong", wrong).otherwise(F.col("totals")))
-    s = s.persist()  # read by each kind of issue
+    s = written(s)  # read by each kind of issue
     asking = lambda issue: s.filter(F.col("issue") == issue).select("id", F.col("true_number").alias("reg_no"), "issue_date")
     others = other_company(asking("reg_no_other_company"), registry).select("id", F.col("decoy").alias("other_no"))
     gone = other_company(asking("reg_no_revoked"), registry, "04", False).select("id", F.col("decoy").alias("gone_no"), F.col("revoked").alias("gone_day"))

@@ -12,6 +12,7 @@ from chobo.functions.checkdigit import registration_number
 from chobo.functions.dates import parse_date
 from chobo.functions.text import company_name, let, nfkc, squeeze
 
+# The fields of an extraction, and which of them checks can see.
 FIELDS = ("issuer_name", "registration_number", "issue_date", "recipient_name", "invoice_number", "tax_included", "grand_total", "items", "totals")
 COVERED = ("issuer_name", "registration_number", "tax_included", "grand_total", "totals")
 """Fields in which some check can see an error; of items, the numbers."""
