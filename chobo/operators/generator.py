@@ -58,11 +58,12 @@ def by_share(key: Column, salt: str, values, shares) -> Column:
     return out.otherwise(F.lit(values[-1]))
 
 
-def first_free(keys: DataFrame, propose: Callable[[Column], Column], taken: DataFrame, tries: int = 4, same: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+def first_free(keys: DataFrame, propose: Callable[[Column], Column], taken: DataFrame, tries: int = 4, same: Callable[[Column], Column] = lambda c: c, unique: bool = True) -> DataFrame:
     """key, value: for each of ``keys`` (key, text) its first proposal that is not in ``taken`` (value) and no other key's.
 
     propose: a value from the text of a key and an attempt. Of keys that propose the same, the least gets it. Each round
-    makes ``tries`` proposals a key; keys left without one go on to the next.
+    makes ``tries`` proposals a key; keys left without one go on to the next. Not ``unique``: each key gets its own first
+    proposal that is not taken, whatever the other keys get.
     """
     left, used, done, at = keys.select("key").distinct(), taken.select(same(F.col("value")).alias("k")), None, 0
     while True:
@@ -70,24 +71,25 @@ def first_free(keys: DataFrame, propose: Callable[[Column], Column], taken: Data
         tried = tried.withColumn("value", propose(F.concat("key", F.lit("/"), F.col("attempt").cast("string")))).withColumn("k", same(F.col("value")))
         free = tried.join(used, "k", "left_anti")
         first = free.groupBy("key").agg(F.min(F.struct("attempt", "value", "k")).alias("f")).select("key", "f.value", "f.k")
-        given = written(first.groupBy("k").agg(F.min(F.struct("key", "value")).alias("g")).select("g.key", "g.value", "k"))
+        given = written(first.groupBy("k").agg(F.min(F.struct("key", "value")).alias("g")).select("g.key", "g.value", "k") if unique else first)
         done = given if done is None else done.unionByName(given)
-        used, at = used.union(given.select("k")), at + tries
+        used, at = used.union(given.select("k")) if unique else used, at + tries
         left = left.join(given, "key", "left_anti")
         if left.isEmpty():
             return done.select("key", "value")
 
 
-def mint_numbers(keys: DataFrame, taken: DataFrame, salt: str = "number") -> DataFrame:
-    """key, reg_no: a valid number for each key (text) that ``taken`` (reg_no) does not hold."""
+def mint_numbers(keys: DataFrame, taken: DataFrame, salt: str = "number", unique: bool = True) -> DataFrame:
+    """key, reg_no: a valid number for each key (text) that ``taken`` (reg_no) does not hold, nor another key if ``unique``."""
     number = lambda k: F.concat(F.lit("T"), corporate_number(F.concat((draw(k, f"{salt}-a", 9) + 1).cast("string"), F.lpad(draw(k, f"{salt}-b", 10**11).cast("string"), 11, "0"))))
-    return first_free(keys, number, taken.select(F.col("reg_no").alias("value"))).withColumnRenamed("value", "reg_no")
+    return first_free(keys, number, taken.select(F.col("reg_no").alias("value")), unique=unique).withColumnRenamed("value", "reg_no")
 
 
-def unique_names(keys: DataFrame, taken: DataFrame, salt: str = "name") -> DataFrame:
-    """key, name: a company's name for each key that, in comparable form, neither ``taken`` (name) holds nor another key."""
+def unique_names(keys: DataFrame, taken: DataFrame, salt: str = "name", unique: bool = True) -> DataFrame:
+    """key, name: a company's name for each key that, in comparable form, neither ``taken`` (name) holds nor another key (the
+    latter if ``unique``)."""
     name = lambda k: F.concat(pick(k, f"{salt}-f", FORMS), F.lit("架空"), draw(k, f"{salt}-n", 10**9).cast("string"), pick(k, f"{salt}-t", TRADES))
-    return first_free(keys, name, taken.select(F.col("name").alias("value")), same=company_name).withColumnRenamed("value", "name")
+    return first_free(keys, name, taken.select(F.col("name").alias("value")), same=company_name, unique=unique).withColumnRenamed("value", "name")
 
 
 def address(key: Column) -> Column:
@@ -165,18 +167,19 @@ def generation_summary(drawn: DataFrame, made: DataFrame) -> DataFrame:
     return g.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def build_issuers(keys: DataFrame, real: DataFrame) -> DataFrame:
-    """key, reg_no, name, address, phone, rounding, seal, registered of each key; numbers and names are not in ``real``."""
+def build_issuers(keys: DataFrame, real: DataFrame, unique: bool = True) -> DataFrame:
+    """key, reg_no, name, address, phone, rounding, seal, registered of each key; numbers and names are not in ``real``, and
+    no two keys' are the same if ``unique``."""
     k = F.col("key")
-    both = mint_numbers(keys, real).join(unique_names(keys, real), "key")
+    both = mint_numbers(keys, real, unique=unique).join(unique_names(keys, real, unique=unique), "key")
     return both.withColumns({"address": address(k), "phone": phone(k), "rounding": by_share(k, "rounding", ROUNDINGS, ROUNDING_SHARES), "seal": draw(k, "seal", 100) < SEAL_SHARE, "registered": pick(k, "registered", FIRST_DAYS)})
 
 
-def build_registry(issuers: DataFrame, decoys: DataFrame, real: DataFrame) -> DataFrame:
+def build_registry(issuers: DataFrame, decoys: DataFrame, real: DataFrame, unique: bool = True) -> DataFrame:
     """The issuers, all active, and a fictitious company for each key of ``decoys``, some expired or revoked."""
     k = F.col("key")
     taken = real.select("reg_no", "name").union(issuers.select("reg_no", "name"))
-    others = mint_numbers(decoys, taken, "decoy").join(unique_names(decoys, taken, "decoy-name"), "key").withColumn("process", by_share(k, "process", ("01", "03", "04"), PROCESS_SHARES))
+    others = mint_numbers(decoys, taken, "decoy", unique).join(unique_names(decoys, taken, "decoy-name", unique), "key").withColumn("process", by_share(k, "process", ("01", "03", "04"), PROCESS_SHARES))
     when = lambda process, salt, days: F.when(F.col("process") == process, pick(k, salt, days)).otherwise("")
     others = others.select("reg_no", "name", address(k).alias("address"), "process", pick(k, "decoy-day", ("2023-10-01", "2024-04-01")).alias("registered"), when("04", "revoked", ("2025-06-30", "2026-01-31")).alias("revoked"), when("03", "expired", ("2025-03-31", "2026-03-31")).alias("expired"))
     return issuers.select("reg_no", "name", "address", F.lit("01").alias("process"), "registered", F.lit("").alias("revoked"), F.lit("").alias("expired")).unionByName(others)
