@@ -2,12 +2,13 @@
 
 import os
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from chobo.functions.dates import parse_date
 from chobo.functions.text import yen
 from chobo.functions.untyped import first_object
-from chobo.operators import boxes, evaluation
+from chobo.operators import bootstrap, boxes, evaluation
 from chobo.plans import adapter as A
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -50,3 +51,12 @@ def test_short_cuts_of_dates_and_amounts(spark):
 def test_neighbours_are_sought_for_lines_with_a_name_only(spark):
     plan = _plan(boxes.with_lines(spark.createDataFrame([], "lines array<struct<text string, box array<double>, vertical boolean>>")).select(boxes.name_votes(F.col("L"))))
     assert plan.lower().count("contains(") > 4
+
+
+def test_seeded_intervals_take_any_number_of_values(spark):
+    n = (1 << 22) + 3
+    got = {r.g: r for r in bootstrap.seeded_intervals(spark.range(n).selectExpr("id % 2 AS g", "id AS i", "CAST(id % 3 = 0 AS DOUBLE) AS value"), ["g"], "i", n_boot=3).collect()}
+    for g, r in got.items():
+        v = (np.arange(g, n, 2) % 3 == 0).astype(float)
+        means = v[np.random.default_rng(0).integers(0, len(v), size=(3, len(v)))].mean(axis=1)
+        assert (r.n, r.mean, r.lo, r.hi) == (len(v), v.mean(), np.quantile(means, 0.025), np.quantile(means, 0.975))
