@@ -60,3 +60,12 @@ def test_seeded_intervals_take_any_number_of_values(spark):
         v = (np.arange(g, n, 2) % 3 == 0).astype(float)
         means = v[np.random.default_rng(0).integers(0, len(v), size=(3, len(v)))].mean(axis=1)
         assert (r.n, r.mean, r.lo, r.hi) == (len(v), v.mean(), np.quantile(means, 0.025), np.quantile(means, 0.975))
+
+
+def test_neighbour_counts_equal_the_neighbours(spark):
+    line = lambda x, y, down=False: ("甲", [float(x), float(y), x + 40.0, y + 14.0], down)
+    docs = spark.createDataFrame([(1, [line(0, 0), line(50, 3), line(80, 40), line(0, 90, True), line(2, 110, True)]), (2, [line(0, 0)]), (3, [])], "id int, lines array<struct<text string, box array<double>, vertical boolean>>")
+    s = boxes.with_lines(docs)
+    plain = s.select("id", F.transform("L", lambda a: F.size(boxes.neighbours(F.col("L"), a))).alias("n")).collect()
+    want = {r.id: (sum(n > 0 for n in r.n), sum(r.n)) for r in plain if any(r.n)}
+    assert {r.id: (r.lines, r.pairs) for r in boxes.neighbour_counts(s, "id").collect()} == want == {1: (2, 2)}
