@@ -4,10 +4,11 @@
    in one document alone cannot repeat. They are counted over the whole corpus.
 2. Runs of the windows left that share a minimizer are short strings, and all occurrences of a window lie in strings with
    its minimizer. Strings are dealt to parts by it; a task sends equal ones once, with their least id.
-3. Each part is one collection whose Burrows-Wheeler transform and common prefixes are built column by column: every
-   round inserts one more symbol, from the right, of every string, and reads the transform's file from end to end to
-   write the next. At the end suffixes that share LENGTH bytes are neighbours, and the least id of each such group goes
-   back to its strings.
+3. Strings that share a minimizer with another string of their part form one collection (one that is alone with its
+   minimizer, as in exact copies, has its own least id). Its Burrows-Wheeler transform and common prefixes are built
+   column by column: every round inserts one more symbol, from the right, of every string, and reads the transform's
+   file from end to end to write the next. At the end suffixes that share LENGTH bytes are neighbours, and the least id
+   of each such group goes back to its strings.
 4. Documents drop the windows for which that id is below their own; overlapping windows are merged.
 
 A minimizer of very many documents would make one part large. Its windows become strings of their own, dealt by their own
@@ -328,6 +329,23 @@ def _least_ids(data: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int,
     return low[out]
 
 
+def _least_of_strings(key: np.ndarray, data: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int, folder: str) -> np.ndarray:
+    """_least_ids() of different strings that are in the order of their keys.
+
+    All occurrences of a window lie in strings with its minimizer. So windows of a string that no other shares its key
+    with occur in texts with this very string alone, and its least id is theirs; only the others need suffix order.
+    Strings of one window have keys of their own and are ordered all the same.
+    """
+    differs = key[1:] != key[:-1]
+    alone = np.append(True, differs)[: len(key)] & np.append(differs, True)[: len(key)] & (size > length)
+    n = size - length + 1
+    least = np.repeat(doc, n)
+    rest = np.flatnonzero(~alone)
+    if len(rest):
+        least[np.repeat(~alone, n)] = _least_ids(_gather(data, (np.cumsum(size) - size)[rest], size[rest]), size[rest], doc[rest], length, folder)
+    return least
+
+
 def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """id, t, a, b: byte ranges a:b of the text that are windows of a document with a smaller id. docs: id, t, text.
 
@@ -452,7 +470,7 @@ def repeated_ranges(docs: DataFrame, folder: str, length: int = LENGTH, k: int =
         first = np.cumsum(size) - size
         one, number = _distinct(key, np.concatenate(get("h", np.uint64)), doc)
         data, size, doc = _gather(data, first[one], size[one]), size[one], doc[one]
-        least = _least_ids(data, size, doc, length, f"{folder}/scratch")
+        least = _least_of_strings(key[one], data, size, doc, length, f"{folder}/scratch")
         n = size - length + 1
         string = np.repeat(np.arange(len(n)), n)
         offset = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)

@@ -75,3 +75,17 @@ def test_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "y" * 60), (None, "y" * 60), (4, "y" * 60)], "doc_id long, text string")
     assert sorted(r.n_removed for r in remove_repeats(df).collect()) == [0, 0, 0]
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_strings_alone_with_their_minimizer_need_no_suffix_order(monkeypatch, tmp_path):
+    ordered = []
+    plain = suffix_dedup._least_ids
+    monkeypatch.setattr(suffix_dedup, "_least_ids", lambda data, size, *more: ordered.append(len(size)) or plain(data, size, *more))
+    strings = [b"abcdefgh", b"xabcdy", b"zabcd", b"qrstuvw", b"hijkl", b"mnop", b"mnopq"]
+    key = np.array([1, 3, 3, 5, 6, 8, 9], np.uint64)
+    size, doc = np.array([len(s) for s in strings]), np.array([7, 5, 2, 1, 4, 9, 8])
+    got = suffix_dedup._least_of_strings(key, np.frombuffer(b"".join(strings), np.uint8), size, doc, 4, str(tmp_path))
+    # of one window is "mnop", ordered all the same; windows of other keys are no matter of those alone
+    assert got.tolist() == [7] * 5 + [5, 2, 5] + [2, 2] + [1] * 4 + [4] * 2 + [9] + [8] * 2 and ordered == [3]
+    none = np.empty(0, np.int64)
+    assert not len(suffix_dedup._least_of_strings(key[:0], np.empty(0, np.uint8), none, none, 4, str(tmp_path)))
