@@ -269,7 +269,11 @@ def make_invoices(orders: DataFrame, issuers: DataFrame, registry: DataFrame) ->
     gone = other_company(asking("reg_no_revoked"), registry, "04", False).select("id", F.col("decoy").alias("gone_no"), F.col("revoked").alias("gone_day"))
     unknown = mint_numbers(s.filter("issue = 'reg_no_unregistered'").select(k.alias("key")), registry, "unregistered")
     unknown = unknown.select(F.col("key").cast("long").alias("id"), F.col("reg_no").alias("minted"))
-    s = s.join(others, "id", "left").join(unknown, "id", "left").join(gone, "id", "left")
+    # only invoices that ask for another number are joined; all others stay where they are
+    asks = F.coalesce(F.col("issue").isin("reg_no_other_company", "reg_no_unregistered", "reg_no_revoked"), F.lit(False))
+    none = F.lit(None).cast("string")
+    told = s.filter(asks).join(others, "id", "left").join(unknown, "id", "left").join(gone, "id", "left")
+    s = told.unionByName(s.filter(~asks).withColumns({c: none for c in ("other_no", "minted", "gone_no", "gone_day")}))
     number = F.when(F.col("issue") == "reg_no_check_digit", broken_number(k, F.col("true_number"))).otherwise(F.coalesce("other_no", "minted", "gone_no", "true_number"))
     day = F.coalesce(F.date_add(F.col("gone_day").cast("date"), (draw(k, "after", 196) + 5).cast("int")).cast("string"), F.col("issue_date"))
     add = lambda c: F.aggregate("totals", F.lit(0).cast("long"), lambda a, t: a + t[c])
